@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing
+from millrace.llm import mixing, quality
 from millrace.llm.shared import table
 
 
@@ -15,9 +15,15 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their statistics and the decision list's verdict."""
+    judged = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def queries() -> dict:
     """Name to callable."""
-    return {f.__name__: f for f in (op6_mix_sources,)}
+    return {f.__name__: f for f in (op6_mix_sources, op7_quality_rules)}
 
 
 def oracle_sql() -> dict:
