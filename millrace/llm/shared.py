@@ -112,8 +112,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0] if len(at) else np.zeros(1, np.int64)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each has about SLICE_BYTES of text, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that each has about SLICE_BYTES of text and ``rows`` rows, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -121,7 +121,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         first = 0
         while first < batch.num_rows:
             last = int(np.searchsorted(sizes, sizes[first] + SLICE_BYTES, "right")) - 1
-            last = min(max(last, first + 1), batch.num_rows)
+            last = min(max(last, first + 1), first + rows, batch.num_rows)
             yield batch.slice(first, last - first)
             first = last
 
