@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, mixing, quality
+from millrace.llm import langid, mixing, quality, sstable
 from millrace.llm.shared import table
 
 
+def op1_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids, written to sorted-string-table shards and read back."""
+    return sstable.tokens_table(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
@@ -28,7 +33,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Name to callable."""
-    return {f.__name__: f for f in (op4_language_id, op6_mix_sources, op7_quality_rules)}
+    return {f.__name__: f for f in (op1_sstable_tokens, op4_language_id, op6_mix_sources, op7_quality_rules)}
 
 
 def oracle_sql() -> dict:
