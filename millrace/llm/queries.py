@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, mixing, quality, sstable
+from millrace.llm import decontaminate, langid, mixing, quality, sstable
 from millrace.llm.shared import table
 
 
@@ -31,9 +31,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the items."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     """Name to callable."""
-    return {f.__name__: f for f in (op1_sstable_tokens, op4_language_id, op6_mix_sources, op7_quality_rules)}
+    return {f.__name__: f for f in (op1_sstable_tokens, op4_language_id, op6_mix_sources, op7_quality_rules, op8_benchmark_leaks)}
 
 
 def oracle_sql() -> dict:
