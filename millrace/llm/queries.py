@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, langid, mixing, quality, rollup, sstable
+from millrace.llm import decontaminate, langid, mixing, quality, rollup, secrets, sstable
 from millrace.llm.shared import fresh_path, stored, table
 
 
@@ -14,6 +14,11 @@ def op1_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.tokens_table(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, after the forest has removed false positives."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
@@ -76,7 +81,7 @@ FROM each GROUP BY source, lang, tokenizer
 
 def queries() -> dict:
     """Name to callable."""
-    return {f.__name__: f for f in (op1_sstable_tokens, op4_language_id, op6_mix_sources, op7_quality_rules, op8_benchmark_leaks, op9_token_rollups)}
+    return {f.__name__: f for f in (op1_sstable_tokens, op2_secret_scan, op4_language_id, op6_mix_sources, op7_quality_rules, op8_benchmark_leaks, op9_token_rollups)}
 
 
 def oracle_sql() -> dict:
