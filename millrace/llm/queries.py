@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, langid, mixing, quality, rollup, secrets, sstable
+from millrace.llm import decontaminate, html, langid, mixing, quality, rollup, secrets, sstable
 from millrace.llm.shared import fresh_path, stored, table
 
 
@@ -24,6 +24,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with how many of their words the mix takes."""
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -81,7 +86,7 @@ FROM each GROUP BY source, lang, tokenizer
 
 def queries() -> dict:
     """Name to callable."""
-    return {f.__name__: f for f in (op1_sstable_tokens, op2_secret_scan, op4_language_id, op6_mix_sources, op7_quality_rules, op8_benchmark_leaks, op9_token_rollups)}
+    return {f.__name__: f for f in (op1_sstable_tokens, op2_secret_scan, op4_language_id, op5_html_extraction, op6_mix_sources, op7_quality_rules, op8_benchmark_leaks, op9_token_rollups)}
 
 
 def oracle_sql() -> dict:
