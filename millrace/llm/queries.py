@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, html, langid, mixing, quality, rollup, secrets, sstable
+from millrace.llm import decontaminate, html, jaccard, langid, mixing, quality, rollup, secrets, sstable
 from millrace.llm.shared import fresh_path, stored, table
 
 
@@ -19,6 +19,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under 3-word shingles and a similarity of 0.9."""
+    return jaccard.link_documents(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
@@ -86,7 +91,7 @@ FROM each GROUP BY source, lang, tokenizer
 
 def queries() -> dict:
     """Name to callable."""
-    return {f.__name__: f for f in (op1_sstable_tokens, op2_secret_scan, op4_language_id, op5_html_extraction, op6_mix_sources, op7_quality_rules, op8_benchmark_leaks, op9_token_rollups)}
+    return {f.__name__: f for f in (op1_sstable_tokens, op2_secret_scan, op3_jaccard_join, op4_language_id, op5_html_extraction, op6_mix_sources, op7_quality_rules, op8_benchmark_leaks, op9_token_rollups)}
 
 
 def oracle_sql() -> dict:
