@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, html, jaccard, langid, mixing, quality, rollup, secrets, sstable
+from millrace.llm import decontaminate, html, jaccard, langid, mixing, quality, rollup, secrets, sstable, suffixes
 from millrace.llm.shared import fresh_path, stored, table
 
 
@@ -73,6 +73,12 @@ def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.totals()
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more of all documents that occur again in the corpus."""
+    found = suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.transform("spans", lambda s: F.array(s["first"], s["last"])).alias("spans"), "n_repeated", "n_words")
+
+
 OP9_SQL = r"""
 WITH marks AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 kept AS (
@@ -91,7 +97,7 @@ FROM each GROUP BY source, lang, tokenizer
 
 def queries() -> dict:
     """Name to callable."""
-    return {f.__name__: f for f in (op1_sstable_tokens, op2_secret_scan, op3_jaccard_join, op4_language_id, op5_html_extraction, op6_mix_sources, op7_quality_rules, op8_benchmark_leaks, op9_token_rollups)}
+    return {f.__name__: f for f in (op1_sstable_tokens, op2_secret_scan, op3_jaccard_join, op4_language_id, op5_html_extraction, op6_mix_sources, op7_quality_rules, op8_benchmark_leaks, op9_token_rollups, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict:
