@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.llm.components import join_checked
 from millrace.llm.shared import cut, row_word_count
 
 #: Weights dealt to the sources in turn.
@@ -158,13 +159,23 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken; the columns of ``docs``."""
-    chosen = mix_sources(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies", F.col("size").alias("_size"), F.col("source").alias("_source"))
-    # Rows with equal keys share their copies: rows are alike for the mix, so their mean is exact in total.
-    per = chosen.groupBy("_id", "_size", "_source").agg(F.sum("copies").alias("_copies"))
-    keyed = docs.withColumn("_key_size", row_word_count(F.col("text")))
-    order = Window.partitionBy("doc_id", "_key_size", "source").orderBy(F.xxhash64("text"))
-    keyed = keyed.withColumn("_n", F.row_number().over(order)).withColumn("_of", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "_key_size", "source")))
-    joined = keyed.join(per, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key_size") == F.col("_size")) & F.col("source").eqNullSafe(F.col("_source")))
-    times = (F.floor(F.col("_copies") / F.col("_of")) + (F.col("_n") <= F.col("_copies") % F.col("_of")).cast("long")).cast("int")
-    return joined.withColumn("_times", times).filter("_times > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """The documents of the mix, each as often as it is taken; the columns of ``docs``.
+
+    Rows whose (doc_id, source) is unique, all but repeated rows, are matched by it without
+    moving their texts while the table of copies may be broadcast (a counted bound). Rows with
+    equal (doc_id, source, size) share the sum of their copies evenly.
+    """
+    mix = cut(mix_sources(docs, **options).withColumn("_key", F.xxhash64("doc_id", "source")))
+    repeated = cut(mix.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key"))
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"))
+    once = mix.join(repeated, "_key", "left_anti").filter("copies > 0").select("_key", F.col("copies").cast("int").alias("_times"))
+    taken = join_checked(docs.withColumn("_key", key), once, "_key")
+    if repeated.limit(1).count():
+        shared = mix.join(repeated, "_key", "left_semi").groupBy("_key", "size").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_of"))
+        sized = join_checked(docs.withColumn("_key", key), repeated, "_key").withColumn("size_", row_word_count(F.col("text")))
+        order = Window.partitionBy("_key", "size_").orderBy(F.xxhash64(*docs.columns))
+        ranked = sized.withColumn("_place", F.row_number().over(order)).withColumnRenamed("size_", "_size")
+        joined = ranked.join(shared.withColumnRenamed("size", "_size"), ["_key", "_size"])
+        times = F.floor(F.col("_copies") / F.col("_of")) + (F.col("_place") <= F.col("_copies") % F.col("_of")).cast("long")
+        taken = taken.unionByName(joined.withColumn("_times", times.cast("int")).filter("_times > 0").select(*docs.columns, "_key", "_times"))
+    return taken.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
