@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Words kept in a worker's memory; further new words are encoded anew for each slice.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_000_000
 _NEWLINES = re.compile(r"(\n+)")
 
 
@@ -31,28 +31,38 @@ class WordMemo:
         names = [self.library.id_to_token(k) or "" for k in range(self.vocabulary)]
         #: Whether an id's text begins with a blank (byte-level BPE writes it as U+0120).
         self.opens = np.array([n.startswith("\u0120") for n in names])
+        self.newline = self.library.encode("\n", add_special_tokens=False).ids[0]
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word after a blank, from one call: a word begins where an id opens with a blank."""
-        ids = np.asarray(self.library.encode("".join([" " + w for w in words]), add_special_tokens=False).ids, "<u4")
-        at = np.flatnonzero(self.opens[ids])
+    def _encode_words(self, words: list[str], gap: str) -> list[bytes]:
+        """Ids of each word after a blank, or at the start of a line, from one call for all.
+
+        After a blank a word begins where an id opens with a blank; after a newline, which is an
+        id of its own, it begins with the next id.
+        """
+        ids = np.asarray(self.library.encode("".join([gap + w for w in words]), add_special_tokens=False).ids, "<u4")
+        at = np.flatnonzero(self.opens[ids] if gap == " " else ids == self.newline)
         if len(at) != len(words):
-            return self._encode([" " + w for w in words])
-        raw, at = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
-        return [raw[a:b] for a, b in zip(at, at[1:])]
+            return self._encode([gap.strip("\n") + w for w in words])
+        raw, skip = ids.tobytes(), 0 if gap == " " else 4
+        at = [*(4 * at).tolist(), 4 * len(ids)]
+        return [raw[a + skip : b] for a, b in zip(at, at[1:])]
 
     def _learn(self, memo: dict, words: list[str], blank: str) -> None:
-        good = [w for w in words if w and not w[0].isspace() and not w[-1].isspace() and not any(t in w for t in self.special)]
+        good = [w for w in words if w and w.strip() is w]
+        joined = " ".join(good)
+        if any(t in joined for t in self.special):
+            good = [w for w in good if not any(t in w for t in self.special)]
         for k in range(0, len(good), 1024):
             some = good[k : k + 1024]
-            memo.update(zip(some, self._encode_words(some) if blank else self._encode(some)))
-        for w in words:
-            memo.setdefault(w, None)  # not a word: the text goes to the library whole
+            memo.update(zip(some, self._encode_words(some, blank)))
+        if len(good) < len(words):
+            for w in words:
+                memo.setdefault(w, None)  # not a word: the text goes to the library whole
 
     def _newlines(self, run: str, at_end: bool) -> bytes:
         if run not in self.first:
@@ -74,8 +84,8 @@ class WordMemo:
             for words in parts[::2]:
                 first.add(words[0])
                 later.update(words[1:])
-        self._learn(self.first, [w for w in first if w not in self.first], "")
-        self._learn(self.later, [w for w in later if w not in self.later], " ")
+        self._learn(self.first, list(first - self.first.keys()), "\n")
+        self._learn(self.later, list(later - self.later.keys()), " ")
         out: list[bytes | None] = []
         whole: list[int] = []
         begin, follow = self.first, self.later
@@ -92,11 +102,12 @@ class WordMemo:
                     found.extend(map(follow.__getitem__, part[1:]))
             if texts[n] == "":
                 out.append(b"")
-            elif None in found:
+                continue
+            try:
+                out.append(b"".join(found))
+            except TypeError:  # a None among the words
                 out.append(None)
                 whole.append(n)
-            else:
-                out.append(b"".join(found))
         for n, ids in zip(whole, self._encode([texts[n] for n in whole])):
             out[n] = ids
         return out
