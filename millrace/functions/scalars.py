@@ -117,8 +117,9 @@ def ends_sentence(text: Column) -> Column:
 
 
 def words(text: Column, least: int = 4) -> Column:
-    """Lower-cased ASCII words of ``least`` letters or more."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z]+\b"), F.lit(0)), lambda w: F.length(w) >= least)
+    """Lower-cased words of ASCII letters only, ``least`` or more; words with other letters are left out."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.filter(runs, lambda w: w.rlike(f"^[a-z]{{{least},}}$"))
 
 
 def noise_line(line: Column) -> Column:

@@ -147,7 +147,8 @@ def snapped_windows(text: str, size: int = 1500, overlap: int = 100) -> list[str
 def language_vote(df: DataFrame, key: str, text: str, profiles: dict[str, list[str]], default: str = "en") -> DataFrame:
     """The language whose stop words occur most, the least code on ties, ``default`` without any."""
     tokens = F.split(F.lower(text), r"[^\p{L}]+")
-    scored = df.select(key, tokens.alias("_w")).select(key, *[F.size(F.filter("_w", lambda w, s=stop: w.isin(s))).alias(f"s_{lang}") for lang, stop in sorted(profiles.items())])
+    known = lambda stop: lambda w: w.isin(stop)
+    scored = df.select(key, tokens.alias("_w")).select(key, *[F.size(F.filter("_w", known(stop))).alias(f"s_{lang}") for lang, stop in sorted(profiles.items())])
     top = F.greatest(*[F.col(f"s_{lang}") for lang in profiles])
     vote = F.coalesce(*[F.when((F.col(f"s_{lang}") == top) & (top > 0), F.lit(lang)) for lang in sorted(profiles)], F.lit(default))
     return scored.select(key, vote.alias("language"), top.alias("votes"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("relational",)
+MODULES = ("relational", "analytics")
 
 
 def _merged(attribute: str) -> dict:
