@@ -1,0 +1,416 @@
+"""The training-data operators against brute force, round trips and held-out accuracy, and odd inputs."""
+
+import os
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import components, decontaminate, html, jaccard, langid, mixing, quality, queries, rollup, secrets, sstable, suffixes
+from millrace.llm.shared import table, text_bytes
+from millrace.llm.tokenize import default_path, memo
+
+FOLDER = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key string, size int, copies int, place int, region string"
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and blank texts, ties, repeated rows, a very long text, clashing extra columns."""
+    long = " ".join(f"word{i % 977} tail{i}" for i in range(12_000))
+    rows = [(1, None, "en", "a"), (2, "", "en", "a"), (3, " \n\t ", None, None), (4, "one", "en", None), (5, "the same text with some words in it " * 3, "en", "a"), (6, "the same text with some words in it " * 3, "de", "b"), (6, "the same text with some words in it " * 3, "de", "b"), (None, "no id here at all but words", "en", "a"), (7, long, "en", "b"), (8, "123 456", "en", "c"), (9, "ÄÖ ß – 中文", None, "c")]
+    return spark.createDataFrame([(*r, None, "k", 1, 2, 3, "r") for r in rows], SCHEMA)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def brute_components(docs, words, percent):
+    def shingles(t):
+        w = WORD.findall((t or "").translate({i: i + 32 for i in range(65, 91)}))
+        return frozenset(tuple(w[i : i + words]) for i in range(len(w) - words + 1)) if len(w) >= words else frozenset([tuple(w)] if w else [])
+
+    sets, parent = {i: shingles(t) for i, t in docs}, {i: i for i, _ in docs}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def near_copies(n, edits, words=160, seed=1):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(3000)}" for _ in range(words)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(edits):
+            w[rng.randrange(words)] = f"n{rng.randrange(10**6)}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+# ---------------------------------------------------------------- tokens
+
+
+def test_memo_encodes_like_the_library():
+    m, rng = memo(default_path()), random.Random(4)
+    alphabet = ["a", "B1", " ", "  ", "\n", "\n\n", "\t", " ", "é", "'s", ".", "<|endoftext|>", "\r\n", "\x85", "中", "x y"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    wanted = [np.asarray(m.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert m.encode(texts) == wanted
+
+
+def test_shards_round_trip_and_lookup(spark, tmp_path):
+    docs = odd_documents(spark)
+    manifest = sstable.write_shards(docs, str(tmp_path / "s"))
+    got = sorted(map(tuple, sstable.read_shards(manifest).collect()), key=lambda r: r[1])
+    library, start = memo(default_path()).library, 0
+    want = sorted([(r["doc_id"], library.encode(r["text"] or "", add_special_tokens=False).ids + [2]) for r in docs.collect()], key=lambda r: (r[0] is not None, r[0]))
+    for (i, ids), row in zip(want, got, strict=True):
+        assert row == (i, start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert len(sstable.lookup(spark, manifest, 6)) == 2 and sstable.lookup(spark, manifest, 99) == []
+    assert sstable.tokens_table(empty(spark)).count() == 0
+
+
+def test_shard_blocks_are_searched(tmp_path):
+    path = str(tmp_path / "x.sst")
+    with pa.OSFile(path, "wb") as f:
+        w = sstable.Writer(f, 2, block_bytes=64)
+        for i in range(-500, 500, 2):
+            w.add(sstable.key_of(i), np.arange(5, dtype="<u2").tobytes(), 5)
+        assert w.close() == (500, 2500)
+    reader = sstable.open_shard(path)
+    assert len(reader.blocks) > 50 and len(reader.get(sstable.key_of(-500))) == 1 and len(reader.get(sstable.key_of(498))) == 1
+    assert sum(reader.may_contain(sstable.key_of(i)) for i in range(-499, 500, 2)) < 40 and reader.get(sstable.key_of(3)) == []
+    assert [sstable.id_of(k) for k, _ in reader.scan()] == list(range(-500, 500, 2))
+
+
+# ---------------------------------------------------------------- secrets
+
+
+def test_secrets_are_found_and_false_positives_removed(spark):
+    key = "9f8b3c1d7e6a5f4b2c1d0e9f8a7b6c5d4e3f2a1b"
+    rows = [(1, f'intro words token = "{key}" and more'), (2, f"see commit {key} for the change"), (3, "write to jane.doe.1984@mail7.example.com today"), (4, None), (5, ""), (6, f'TOKEN = "{key.upper()}"!!')]
+    out = secrets.scan(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, length string")).collect()
+    assert {r["doc_id"] for r in out} == {1, 6}
+    row = next(r for r in out if r["doc_id"] == 1)
+    assert rows[0][1][row["start"] : row["start"] + row["length"]] == key
+
+
+def test_forest_on_held_out_findings(spark):
+    words = ["alpha", "bravo", "charlie", "delta", "report", "table", "number", "figure"]
+    known = secrets.Dictionary.of([(w, 9) for w in words])
+    model = secrets.train(spark, known, secrets.labelled_findings(words, 1500, seed=1), trees=20)
+    test = secrets.labelled_findings(words, 600, seed=99)
+    data = secrets._assembled(spark.createDataFrame([(*secrets.features(t, s, r, known), float(y)) for t, s, r, y in test], ", ".join(f"{f} double" for f in (*secrets.FEATURES, "label"))))
+    assert model.transform(data).select(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0] > 0.95
+
+
+# ---------------------------------------------------------------- Jaccard join
+
+
+@pytest.mark.parametrize("words,percent", [(3, 90), (5, 80)])
+def test_join_equals_brute_force(spark, words, percent):
+    rows = near_copies(40, 2) + [(100 + i, t) for i, t in near_copies(40, 4, 90, 2)] + [(200 + i, t) for i, t in near_copies(10, 0, 30, 3)] + [(300, None), (301, ""), (302, "a b"), (303, "A B"), (304, "a b c")]
+    df = spark.createDataFrame([(*r, "k", 7) for r in rows], "doc_id long, text string, key string, region int")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_documents(df, words, percent).collect()}
+    assert got == brute_components(rows, words, percent)
+
+
+def test_large_regions_recur_around_pivots(spark):
+    rows = near_copies(50, 2, 120, 5) + [(500 + i, t) for i, t in near_copies(25, 3, 120, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for depth in (8, 0):
+        threshold = jaccard.Threshold(90)
+        members = spark.createDataFrame([(1, i) for i, _ in rows], "region long, id long")
+        links = jaccard.join_regions(jaccard.member_sets(df, members, 3), threshold, work=60_000, most_depth=depth)
+        labels = {r["node"]: r["label"] for r in components.components(links).collect()}
+        want = brute_components(rows, 3, 90)
+        assert all(labels.get(i, i) == want[i][1] for i, _ in rows)
+
+
+def test_join_on_odd_rows(spark):
+    got = jaccard.link_documents(odd_documents(spark)).collect()
+    assert len(got) == 11 and {r["component_id"] for r in got if r["doc_id"] in (5, 6)} == {5}
+    assert all(r["component_id"] == r["doc_id"] for r in got if r["doc_id"] not in (6,))
+    assert jaccard.link_documents(empty(spark)).count() == 0
+    kept = jaccard.one_of_each(odd_documents(spark))
+    assert kept.columns == odd_documents(spark).columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 8, 9]
+
+
+def test_components_of_a_long_chain_and_a_hub(spark):
+    links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)]
+    got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert set(got.values()) == {0, 1000} and got[200] == 0 and len(got) == 201 + 300
+
+
+# ---------------------------------------------------------------- languages
+
+
+def test_language_on_held_out_documents(spark):
+    docs = table(spark, FOLDER, "documents")
+    out = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in out]) > 0.95 and all(0 <= r["score"] <= 1 for r in out)
+
+
+def test_language_of_odd_rows(spark):
+    out = {r["doc_id"]: r["lang_pred"] for r in langid.identify(odd_documents(spark)).collect()}
+    assert out[1] == out[2] == out[3] == out[8] == "und" and out[9] != "und"
+    assert langid.identify(empty(spark)).count() == 0
+    kept = langid.with_language(odd_documents(spark))
+    assert kept.columns == odd_documents(spark).columns and kept.filter("doc_id in (1, 2, 3, 8)").count() == 0
+
+
+def test_codewords_differ_and_decode_corrects_a_bit():
+    for k in (2, 3, 4, 5, 9, 30):
+        words = langid.codebook(k)
+        apart = (words.shape[1] - words @ words.T) / 2
+        assert apart[~np.eye(k, dtype=bool)].min() >= 1
+    words = langid.codebook(4)
+    flipped = words[2].copy()
+    flipped[0] *= -1
+    model = langid.Codes(list("abcd"), words, np.eye(7, dtype=np.float32), np.zeros(7, np.float32), np.ones(7))
+    assert model.decode(flipped[None].astype(np.float32) * 3)[0][0] == 2
+
+
+# ---------------------------------------------------------------- pages
+
+
+def test_template_and_fallback(spark):
+    def page(host, i):
+        return (i, f"http://{host}/en/{i}", f"<html><head><title>t{i}</title><style>p{{}}</style><script>var a='</p>';</script></head><body><nav><ul><li><a href='/'>Home</a><li><a href='/x'>News</a></ul></nav><div class=\"ad\">Buy {i}</div><div id=content><h1>Title {i} &amp; more</h1><p>First  para\n{i} &lt;b&gt;<p>Second <b>bold</b><br>line {i}<form><input>Send</form></div><div class='comments'><p>reader {i}</p></div><aside>Side</aside><footer>&copy; x</footer>")
+
+    rows = [page("a.example.com", i) for i in range(8)] + [page("lone.example.org", 50)] + [(60, None, None), (61, "http://a.example.com/", ""), (62, "odd", "plain text only")]
+    out = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame([(*r, "m") for r in rows], "page_id long, url string, html string, main string")).collect()}
+    for i in (*range(8), 50):
+        assert out[i] == f"Title {i} & more\nFirst para {i} <b>\nSecond bold line {i}"
+    assert out[60] == "" and out[61] == ""
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_articles_of_all_test_pages(spark):
+    for r in queries.op5_html_extraction(spark, FOLDER).join(table(spark, FOLDER, "pages").select("page_id", "html"), "page_id").collect():
+        inner = r["html"].split("<article>")[1].split("</article>")[0]
+        from html import unescape
+
+        parts = [" ".join(unescape(re.sub(r"<[^>]*>", " ", p)).split()) for p in re.split(r"</?(?:p|h1)>", inner)]
+        assert r["text"] == "\n".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
+
+
+# ---------------------------------------------------------------- mixing
+
+
+def brute_targets(sizes, weights=(5, 2, 1)):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    left, target, total = set(names), {}, 1.5 * sum(sizes.values())
+    while left:
+        share = total / sum(w[s] for s in left)
+        over = [s for s in left if share * w[s] > 2 * sizes[s]]
+        for s in over or list(left):
+            target[s] = 2 * sizes[s] if over else share * w[s]
+            total -= target[s] if over else 0
+            left.discard(s)
+    return target
+
+
+def test_mix_meets_targets_and_repeats_itself(spark):
+    docs = table(spark, FOLDER, "documents")
+    a, b = (sorted(map(tuple, mixing.mix_sources(docs).collect())) for _ in range(2))
+    assert a == b and len(a) == docs.count()
+    sizes, taken, goal = Counter(), Counter(), {}
+    for _, s, size, _, target, copies in a:
+        sizes[s] += size
+        taken[s] += size * copies
+        goal[s] = target
+        assert 0 <= copies <= 2
+    want = brute_targets(sizes)
+    for s in sizes:
+        assert goal[s] == pytest.approx(want[s]) and abs(taken[s] - goal[s]) <= 0.05 * max(goal[s], 2000)
+
+
+def test_flight_keeps_totals_and_landing_is_small():
+    rng = np.random.default_rng(5)
+    pi, size, u = rng.uniform(0.1, 0.9, 300), rng.integers(1, 900, 300).astype(float), rng.uniform(size=300)
+    out = mixing.flight(pi, size, u)
+    assert ((out > 0) & (out < 1)).sum() <= 2 and out.sum() == pytest.approx(pi.sum()) and (out * size).sum() == pytest.approx((pi * size).sum())
+    assert set(np.unique(mixing.land(out, size))) <= {0.0, 1.0}
+
+
+def test_mix_of_odd_rows(spark):
+    docs = odd_documents(spark)
+    assert mixing.mix_sources(docs).count() == 11 and mixing.mix_sources(empty(spark)).count() == 0
+    mixed = mixing.mixed_documents(docs)
+    want = mixing.mix_sources(docs).agg(F.sum("copies")).first()[0]
+    assert mixed.columns == docs.columns and mixed.count() == want
+
+
+# ---------------------------------------------------------------- quality
+
+
+def test_counts_equal_brute_force(spark):
+    rows = [r["text"] for r in table(spark, FOLDER, "documents").collect()] + ["", " a  a\n a \na a\n", "x\nx\nx y z x y z x y z x y\n", "#*$ %&|<>\n\n"]
+    got = quality.text_counts(*text_bytes(pa.array(rows)))
+    for k, t in enumerate(rows):
+        w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        at, cover = {}, set()
+        for i in range(len(w) - 4):
+            at.setdefault(tuple(w[i : i + 5]), []).append(i)
+        for places in at.values():
+            if len(places) > 1:
+                cover.update(j for i in places for j in range(i, i + 5))
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover), len(set(w)))
+        assert tuple(int(got[c][k]) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct_words")) == want
+
+
+def test_rules_are_learned_and_speak_in_order(spark):
+    rng = np.random.default_rng(8)
+    x = {t: rng.uniform(0, 1, 900) for t in quality.TESTS}
+    y = (x["symbols_per_word"] > 0.8) | ((x["dup_line_share"] > 0.7) & (x["upper_share"] <= 0.3))
+    rules = quality.learn_rules(x, y, rng.uniform(size=900) > 0.33)
+    found = np.any([r.mask(x) for r in rules], axis=0)
+    assert (found == y).mean() > 0.95 and len(rules) <= 8
+    out = quality.score_quality(odd_documents(spark), spark.createDataFrame([(5, 1, 0), (None, 0, 0), (6, None, 1)], "doc_id long, quality int, toxic int")).collect()
+    assert len(out) == 11 and all(not r["kept"] for r in out if r["doc_id"] in (1, 2, 3, 4))
+    assert quality.score_quality(empty(spark), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+
+
+# ---------------------------------------------------------------- benchmark
+
+
+def test_leaks_with_edits_and_clean_documents(spark):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = lambda n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(n))
+    items, docs, want = [(i, text(30 + i)) for i in range(12)], [], set()
+    for i in range(60):
+        body = text(200)
+        if i % 3 == 0:
+            item = list(items[i % 12][1])
+            for _ in range(decontaminate.edit_budget(len(item)) - 1):
+                k = rng.randrange(len(item))
+                item[k] = rng.choice([rng.choice(letters), "", item[k] + rng.choice(letters)])
+            body = body[:300] + " " + "".join(item).upper() + "!! " + body[300:]
+            want.add((i, i % 12))
+        docs.append((i, body))
+    docs += [(100, None), (101, ""), (102, items[3][1])]
+    df = spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, item_id int")
+    bench = spark.createDataFrame(items + [(50, None), (51, ""), (52, "tiny")], "item_id long, text string")
+    for part in (10**6, 500):
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, bench, part).collect()} == want | {(102, 3)}
+    assert decontaminate.clean(df, bench).count() == len(docs) - len(want) - 1
+    assert decontaminate.leaks(empty(spark), bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
+
+
+def test_banded_distance_equals_plain():
+    rng = random.Random(7)
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [row[0] + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+            row = new
+        return min(row)
+
+    for _ in range(200):
+        a, b = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 14))), bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 24)))
+        budget, want = rng.randint(0, 5), plain(a, b)
+        got = decontaminate.banded_distance(a, b, budget)
+        assert (got is None) == (want > budget) and (got is None or got[0] == want)
+
+
+# ---------------------------------------------------------------- rollups
+
+
+def test_rollup_is_idempotent_and_additive(spark, tmp_path):
+    docs = odd_documents(spark)
+    rows = rollup.counted(docs, {"v1": r"[^\x20\x09-\x0D]+"})
+    kept = rollup.Rollup(spark, str(tmp_path / "r"))
+    assert kept.totals().count() == 0 and kept.compact() is None
+    assert kept.commit("one", rollup.inserts(rows)) and not kept.commit("one", rollup.inserts(rows))
+    before = sorted(map(str, kept.totals().collect()))
+    gone = rows.filter("source = 'c'")
+    assert kept.commit("two", rollup.deletes(gone)) and kept.totals().filter("source = 'c'").count() == 0
+    kept.compact()
+    assert not kept.commit("two", rollup.deletes(gone))
+    assert kept.commit("three", rollup.inserts(gone)) and sorted(map(str, kept.totals().collect())) == before
+    assert kept.commit("four", rollup.revisions(rows.filter("source = 'b'").withColumn("new", F.lit(0)), "new"))
+    assert kept.totals().filter("source = 'b'").agg(F.sum("n_tokens"), F.sum("n_docs")).first()[:] == (0, 3)
+
+
+# ---------------------------------------------------------------- repeated passages
+
+
+def brute_passages(docs, n=50):
+    words = [(i, WORD.findall(t or "")) for i, t in docs if i is not None]
+    count, out = Counter(tuple(w[s : s + n]) for _, w in words for s in range(len(w) - n + 1)), {}
+    for i, w in words:
+        for s in range(len(w) - n + 1):
+            if count[tuple(w[s : s + n])] > 1:
+                spans = out.setdefault(i, [])
+                if spans and s <= spans[-1][1]:
+                    spans[-1][1] = s + n
+                else:
+                    spans.append([s, s + n])
+    return out
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    passages = [text(n) for n in (49, 50, 51, 75, 120)]
+    docs = [(i, " ".join([text(rng.randint(0, 60)), passages[i % 5], text(rng.randint(0, 60))])) for i in range(60)]
+    docs += [(100, docs[3][1]), (101, docs[3][1]), (102, "same " * 130), (103, None), (104, text(400)), (105, " ".join([passages[3], passages[4], passages[3]]))]
+    df = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, start int, gram int")
+    for parts in (1, 7):
+        got = {r["doc_id"]: [[s["first"], s["last"]] for s in r["spans"]] for r in suffixes.repeated_passages(df.repartition(parts)).collect()}
+        assert got == brute_passages(docs)
+    assert suffixes.repeated_passages(empty(spark)).count() == 0 and suffixes.repeated_passages(odd_documents(spark)).count() == 0
+
+
+# ---------------------------------------------------------------- registration and pipeline
+
+
+def test_ten_queries_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_pipeline_stage_by_stage(spark):
+    import corpus_pipeline as C
+
+    docs = table(spark, FOLDER, "documents")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    stages = dict(C.STAGES)
+    assert [n for n, _ in C.STAGES] == ["language_id", "near_duplicates", "decontamination", "mixing_sources", "token_shards"]
+    one = stages["language_id"](spark, docs, FOLDER)
+    assert {r["doc_id"] for r in one.collect()} == {i for i, t in rows if any(c.isalpha() for c in t)}
+    two = stages["near_duplicates"](spark, docs, FOLDER)
+    assert {r["doc_id"] for r in two.collect()} == {c for _, c in brute_components(rows, 5, 80).values()}
+    three = stages["decontamination"](spark, docs, FOLDER)
+    norm = lambda t: " " + " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())) + " "
+    bench = [norm(r["text"]) for r in table(spark, FOLDER, "benchmark").collect()]
+    assert {r["doc_id"] for r in three.collect()} == {i for i, t in rows if not any(b in norm(t) for b in bench)}
+    assert one.columns == two.columns == three.columns == stages["mixing_sources"](spark, docs, FOLDER).columns == docs.columns
+    out = C.run(spark, FOLDER)
+    assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
+    assert all(f(spark, docs.limit(0), FOLDER).count() == 0 for _, f in C.STAGES)
