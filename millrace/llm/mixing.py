@@ -169,13 +169,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     repeated = cut(mix.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key"))
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"))
     once = mix.join(repeated, "_key", "left_anti").filter("copies > 0").select("_key", F.col("copies").cast("int").alias("_times"))
-    taken = join_checked(docs.withColumn("_key", key), once, "_key")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("_key"), F.col("text").cast("string").alias("_text"))
+    taken = join_checked(packed, once, "_key").select("row", "_times")
     if repeated.limit(1).count():
-        shared = mix.join(repeated, "_key", "left_semi").groupBy("_key", "size").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_of"))
-        sized = join_checked(docs.withColumn("_key", key), repeated, "_key").withColumn("size_", row_word_count(F.col("text")))
-        order = Window.partitionBy("_key", "size_").orderBy(F.xxhash64(*docs.columns))
-        ranked = sized.withColumn("_place", F.row_number().over(order)).withColumnRenamed("size_", "_size")
-        joined = ranked.join(shared.withColumnRenamed("size", "_size"), ["_key", "_size"])
+        shared = mix.join(repeated, "_key", "left_semi").groupBy("_key", F.col("size").alias("_size")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_of"))
+        sized = join_checked(packed, repeated, "_key").withColumn("_size", row_word_count(F.col("_text")))
+        order = Window.partitionBy("_key", "_size").orderBy(F.xxhash64("row"))
+        joined = sized.withColumn("_place", F.row_number().over(order)).join(shared, ["_key", "_size"])
         times = F.floor(F.col("_copies") / F.col("_of")) + (F.col("_place") <= F.col("_copies") % F.col("_of")).cast("long")
-        taken = taken.unionByName(joined.withColumn("_times", times.cast("int")).filter("_times > 0").select(*docs.columns, "_key", "_times"))
-    return taken.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+        taken = taken.unionByName(joined.select("row", times.cast("int").alias("_times")).filter("_times > 0"))
+    return taken.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
