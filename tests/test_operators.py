@@ -90,6 +90,17 @@ def test_mmr_with_lambda_one_is_similarity_search(spark):
     assert near[0, 1] == 0 and len(near) == 10
 
 
+def test_mmr_answers_every_hundredth_item(spark, tmp_path):
+    from millrace.plans import analytics
+
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=4)], i // 100 % 3) for i in range(450)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = analytics.mmr_topk(spark, str(tmp_path)).collect()
+    assert {r["query_id"] for r in out} == {0, 100, 200, 300, 400} and len(out) == 25
+    assert all(r["item_id"] // 100 % 3 == r["query_id"] // 100 % 3 for r in out)
+
+
 def test_chunks_are_lossless_and_bounded():
     parts = ["A short start here that is long enough.", *["Word " * 60 + "end." for _ in range(12)], "x" * 4000]
     found = T.semantic_chunks(parts, 600, 1400)
