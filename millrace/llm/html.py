@@ -19,8 +19,8 @@ from millrace.llm.shared import slices
 SUPPORT, LEAST_PAGES = 0.5, 3
 #: A slot holds the main text while one child has this share of its text.
 DESCEND = 0.8
-#: A slot repeats itself if its distinct texts are fewer than this share of its pages.
-CONSTANT = 0.2
+#: A slot repeats itself if one text is in it on this share of the distinct pages that have it.
+SAME = 0.98
 #: Paths are cut at this depth; deeper elements count for the ancestor there.
 MOST_DEPTH = 24
 
@@ -150,14 +150,15 @@ def host_of(url):
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
 
 
-_TOKENS = "host string, path string, vector long, times long, chars long, link_chars long, text_hash long, place double, out boolean"
+_TOKENS = "host string, page long, path string, vector long, times long, chars long, link_chars long, text_hash long, place double, out boolean"
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
     """A row per page and path: how often the token occurs there, and the text directly in it.
 
-    ``vector`` is a hash of (page, occurrences): the xor of it over a host's pages stands for the
-    token's whole occurrence vector.
+    ``page`` is a hash of the html, so pages that are equal are one. ``vector`` is a hash of
+    (page, occurrences): the xor of it over a host's distinct pages stands for the token's whole
+    occurrence vector.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,12 +179,12 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                     entry[3].update(b.text)
                 for path, (times, chars, link, digest, place, never) in found.items():
                     vector = xxhash.xxh64_intdigest(f"{page}\0{times}") - (1 << 63)
-                    rows.append((host, path, vector, times, chars, link, digest.intdigest() - (1 << 63), place, never))
+                    rows.append((host, page, path, vector, times, chars, link, digest.intdigest() - (1 << 63), place, never))
             if rows:
-                kinds = [pa.string(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.bool_()]
+                kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[f.split()[0] for f in _TOKENS.split(", ")])
 
-    keyed = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("page"), F.col("html").cast("string").alias("html"))
+    keyed = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64(F.col("html").cast("string")).alias("page"), F.col("html").cast("string").alias("html"))
     return keyed.mapInArrow(scan, _TOKENS)
 
 
@@ -207,7 +208,7 @@ def deduce(tokens: pd.DataFrame, host_pages: int) -> dict:
         if nested and (len(members) > 1 or members[0].pages >= SUPPORT * host_pages):
             valid.update(r.path for r in members)
     rows = rows[rows["path"].isin(valid)]
-    constant = rows[(rows["texts"] <= CONSTANT * rows["pages"]) & (rows["chars"] > 0) & (rows["pages"] >= 5)]
+    constant = rows[(rows["same"] >= SAME * rows["pages"]) & (rows["chars"] > 0) & (rows["pages"] >= 5)]
     useful: dict[str, float] = {}
     for r in tokens.itertuples():
         if r.out or r.chars == 0 or r.link_chars > 0.5 * r.chars or r.path in set(constant["path"]):
@@ -229,14 +230,20 @@ def deduce(tokens: pd.DataFrame, host_pages: int) -> dict:
 
 
 def templates(tokens: DataFrame) -> DataFrame:
-    """host, main, constant: one row a host, from all its pages.
+    """host, main, constant: one row a host, from all its distinct pages.
 
-    Tokens are summed per host and path before a host's paths meet, so a host with a third of
-    all pages sends no more rows than one with few.
+    Tokens are summed per host, path and text, then per host and path, before a host's paths
+    meet, so a host with a third of all pages sends no more rows than one with few. ``same`` is
+    the exact count of distinct pages with the path's most frequent text.
     """
-    summed = tokens.groupBy("host", "path").agg(
+    each = tokens.groupBy("host", "path", "text_hash", "page").agg(*[F.first(c).alias(c) for c in ("vector", "times", "chars", "link_chars", "place", "out")])
+    texts = each.groupBy("host", "path", "text_hash").agg(
         F.bit_xor("vector").alias("vector"), F.count(F.lit(1)).alias("pages"), F.sum("times").alias("times"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"),
-        F.approx_count_distinct("text_hash", 0.05).alias("texts"), F.avg("place").alias("place"), F.bool_and("out").alias("out"),
+        F.sum("place").alias("place"), F.bool_and("out").alias("out"),
+    )
+    summed = texts.groupBy("host", "path").agg(
+        F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("times").alias("times"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"),
+        F.max("pages").alias("same"), (F.sum("place") / F.sum("pages")).alias("place"), F.bool_and("out").alias("out"),
     )
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
@@ -279,8 +286,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and the slot of every page's main text from its whole html.
 
     Null or empty html, and pages without main text, give an empty text. Null or odd urls share
-    the host ''. Repeated pages are extracted each. Hosts with fewer than LEAST_PAGES pages have
-    no template; their pages are judged by themselves.
+    the host ''. Repeated pages are extracted each and count once for the template. Hosts with fewer
+    than LEAST_PAGES distinct pages have no template; their pages are judged by themselves.
     """
     from millrace.llm.shared import stored
 

@@ -205,6 +205,15 @@ def test_template_and_fallback(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_slots_with_several_values_are_kept(spark):
+    body = lambda i: f"<nav>Home</nav><div class=content><h2>Section {i % 10}</h2><p>Story {i} tells of {i * i}</p><h5>Read on here</h5></div><footer>f</footer>"
+    rows = [(i, f"http://many.example.com/{i}", body(i)) for i in range(120)]
+    rows += [(1000 + i, f"http://copies.example.com/{i}", body(i % 6) + f"<div class=count>{i}</div>" * (i < 3)) for i in range(600)]
+    out = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"Section {i % 10}\nStory {i} tells of {i * i}" for i in range(120))
+    assert all(out[1000 + i] == f"Section {i % 6}\nStory {i % 6} tells of {(i % 6) ** 2}" for i in range(3, 600))
+
+
 def test_articles_of_all_test_pages(spark):
     for r in queries.op5_html_extraction(spark, FOLDER).join(table(spark, FOLDER, "pages").select("page_id", "html"), "page_id").collect():
         inner = r["html"].split("<article>")[1].split("</article>")[0]
