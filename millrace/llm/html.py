@@ -21,6 +21,8 @@ SUPPORT, LEAST_PAGES = 0.5, 3
 DESCEND = 0.8
 #: A slot repeats itself if one text is in it on this share of the distinct pages that have it.
 SAME = 0.98
+#: Elements named like side matter are left out only if they have this share of the unlinked text at most.
+SIDE = 0.3
 #: Paths are cut at this depth; deeper elements count for the ancestor there.
 MOST_DEPTH = 24
 
@@ -34,34 +36,52 @@ _BLOCK = frozenset("html body head article section nav header footer aside main
 _CLOSES_P = _BLOCK - {"object", "canvas", "video", "audio", "svg", "select", "button", "template"}
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"thead", "tbody", "tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _SCOPE = frozenset("ul ol dl table article section nav header footer aside main form div body html td th blockquote".split())
-#: Elements, and words of class, id or role, whose text is never main text.
+#: Elements whose text is never main text, and words of class, id or role that are evidence against it.
 _OUT_TAGS = frozenset("head nav header footer aside form script style noscript template iframe button select dialog menu svg textarea title canvas object video audio search xmp noembed noframes".split())
 _OUT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments reply replies disqus discussion respond share sharing social related recommended recommendations widget toolbar pagination pager login search copyright legal disclaimer contentinfo complementary form hidden skip".split())
 
 
 @dataclass
 class Piece:
-    """A block of text: its path of block elements, its text, and how much of it is links."""
+    """A block of text: its path of block elements, its text, and how much of it is links.
+
+    ``out`` is for elements that are never main text, ``sides`` are the paths of those around
+    the block that are only named like side matter (see ``main_sides``).
+    """
 
     path: str
     text: str
     chars: int
     link_chars: int
     out: bool
+    sides: tuple[str, ...] = ()
+
+
+def main_sides(weights: dict[tuple[str, tuple[str, ...]], float]) -> set[str]:
+    """The paths named like side matter whose text is main text all the same.
+
+    ``weights`` has the unlinked characters by path and ``sides``. Those around the slot with
+    most text are kept, and those with more than SIDE of all text.
+    """
+    total, below = sum(weights.values()), {}
+    for (_, sides), chars in weights.items():
+        for p in sides:
+            below[p] = below.get(p, 0.0) + chars
+    most = max(weights, key=lambda k: (weights[k], k), default=("", ()))
+    return {p for p, chars in below.items() if chars > SIDE * total} | set(most[1])
 
 
-def _step(tag: str, attributes: str) -> tuple[str, bool]:
-    """An element's token (tag and first name of its class or id), and whether its text is never main."""
+def _step(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """An element's token (tag and first name of its class or id), whether its text is never main, and whether it is named like side matter."""
     if not attributes.strip():
-        return tag, tag in _OUT_TAGS
+        return tag, tag in _OUT_TAGS, False
     found, out = {}, tag in _OUT_TAGS
     for m in _ATTRIBUTE.finditer(attributes):
         found.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or "").lower())
     names = [w for key in ("class", "id", "role") for w in _NAME.findall(found.get(key, ""))]
-    if tag not in ("html", "body", "main", "article"):
-        out = out or any(w in _OUT_WORDS for w in names)
+    side = tag not in ("html", "body", "main", "article") and any(w in _OUT_WORDS for w in names)
     out = out or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    return f"{tag}.{names[0]}" if names else tag, out
+    return f"{tag}.{names[0]}" if names else tag, out, side
 
 
 def pieces(html: str) -> list[Piece]:
@@ -72,7 +92,7 @@ def pieces(html: str) -> list[Piece]:
     elements are in paths.
     """
     out: list[Piece] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, token, never main
+    stack: list[tuple[str, str, bool, bool]] = []  # tag, token, never main, named like side matter
     text: list[str] = []
     links = link_depth = 0
     at, size = 0, len(html)
@@ -82,7 +102,9 @@ def pieces(html: str) -> list[Piece]:
         if text:
             joined = " ".join(unescape("".join(text)).split())
             if joined:
-                out.append(Piece("/".join(s[1] for s in stack[:MOST_DEPTH]), joined, len(joined), min(links, len(joined)), any(s[2] for s in stack)))
+                names = [s[1] for s in stack[:MOST_DEPTH]]
+                sides = tuple(dict.fromkeys("/".join(names[: k + 1]) for k, s in enumerate(stack) if s[3]))
+                out.append(Piece("/".join(names), joined, len(joined), min(links, len(joined)), any(s[2] for s in stack), sides))
             text.clear()
         links = 0
 
@@ -136,9 +158,9 @@ def pieces(html: str) -> list[Piece]:
                         close(k)
                     elif stack[k][0] in _SCOPE:
                         break
-            token, never = _step(tag, m[3] or "")
+            token, never, side = _step(tag, m[3] or "")
             if not (m[3] or "").rstrip().endswith("/") or tag not in ("svg", "canvas"):
-                stack.append((tag, token, never))
+                stack.append((tag, token, never, side))
     if at < size:
         text.append(html[at:])
     flush()
@@ -150,12 +172,23 @@ def host_of(url):
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
 
 
-_TOKENS = "host string, page long, path string, vector long, times long, chars long, link_chars long, text_hash long, place double, out boolean"
+def unlinked(blocks: list[Piece]) -> dict[tuple[str, tuple[str, ...]], int]:
+    """Characters by path and sides of the blocks that may be main text and are no link lists."""
+    found: dict[tuple[str, tuple[str, ...]], int] = {}
+    for b in blocks:
+        if not b.out and b.link_chars <= 0.5 * b.chars:
+            found[b.path, b.sides] = found.get((b.path, b.sides), 0) + b.chars
+    return found
+
+
+_TOKENS = "host string, page long, path string, vector long, times long, chars long, link_chars long, text_hash long, place double, out boolean, sides string"
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
     """A row per page and path: how often the token occurs there, and the text directly in it.
 
+    Rows with ``sides`` (paths by lines) have the unlinked characters of a path inside these, and nothing else.
+
     ``page`` is a hash of the html, so pages that are equal are one. ``vector`` is a hash of
     (page, occurrences): the xor of it over a host's distinct pages stands for the token's whole
     occurrence vector.
@@ -166,7 +199,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
             rows = []
             for host, page, html in zip(*(part.column(c).to_pylist() for c in ("host", "page", "html"))):
                 found: dict[str, list] = {}
-                blocks = pieces(html or "")
+                weights = unlinked(blocks := pieces(html or ""))
                 for n, b in enumerate(blocks):
                     names = b.path.split("/")
                     for k in range(1, len(names) + 1):  # an element with text below it occurs, whether or not text is in it
@@ -179,9 +212,10 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                     entry[3].update(b.text)
                 for path, (times, chars, link, digest, place, never) in found.items():
                     vector = xxhash.xxh64_intdigest(f"{page}\0{times}") - (1 << 63)
-                    rows.append((host, page, path, vector, times, chars, link, digest.intdigest() - (1 << 63), place, never))
+                    rows.append((host, page, path, vector, times, chars, link, digest.intdigest() - (1 << 63), place, never, None))
+                rows.extend((host, page, path, 0, 0, chars, 0, 0, 0.0, False, "\n".join(sides)) for (path, sides), chars in weights.items())
             if rows:
-                kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.bool_()]
+                kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.bool_(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[f.split()[0] for f in _TOKENS.split(", ")])
 
     keyed = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64(F.col("html").cast("string")).alias("page"), F.col("html").cast("string").alias("html"))
@@ -195,11 +229,15 @@ def deduce(tokens: pd.DataFrame, host_pages: int) -> dict:
     their paths: a class lies in the deepest slot of another class that is above all its tokens,
     and one whose tokens lie in no common order or slot is left out. The main slot is found from
     the outermost class inwards: a step goes to the child slot with DESCEND of the text that is
-    no menu, link list or repetition. Returns the main slot's path and the slots below it that repeat.
+    no menu, link list, side matter or repetition. Returns the main slot's path, the slots below it
+    that repeat, and the paths named like side matter that hold main text.
     """
+    parts = tokens[tokens["sides"].notna()]
+    weights = {(r.path, tuple(r.sides.split("\n")) if r.sides else ()): float(r.chars) for r in parts.itertuples()}
+    tokens = tokens[tokens["sides"].isna()]
     rows = tokens[(tokens["pages"] >= max(LEAST_PAGES, SUPPORT * host_pages))].sort_values("path", kind="stable")
     if rows.empty:
-        return {"main": None, "constant": []}
+        return {"main": None, "constant": [], "kept": []}
     classes = {key: list(part.itertuples()) for key, part in rows.groupby(["vector", "pages"], sort=True)}
     valid: set[str] = set()
     for members in classes.values():
@@ -209,66 +247,71 @@ def deduce(tokens: pd.DataFrame, host_pages: int) -> dict:
             valid.update(r.path for r in members)
     rows = rows[rows["path"].isin(valid)]
     constant = rows[(rows["same"] >= SAME * rows["pages"]) & (rows["chars"] > 0) & (rows["pages"] >= 5)]
+    repeats = set(constant["path"])
+    weights = {k: chars for k, chars in weights.items() if k[0] not in repeats}
+    kept = main_sides(weights)
     useful: dict[str, float] = {}
-    for r in tokens.itertuples():
-        if r.out or r.chars == 0 or r.link_chars > 0.5 * r.chars or r.path in set(constant["path"]):
-            continue
-        names = r.path.split("/")
-        for k in range(1, len(names) + 1):
-            p = "/".join(names[:k])
-            useful[p] = useful.get(p, 0.0) + r.chars
+    for (path, sides), chars in weights.items():
+        if kept.issuperset(sides):
+            names = path.split("/")
+            for k in range(1, len(names) + 1):
+                p = "/".join(names[:k])
+                useful[p] = useful.get(p, 0.0) + chars
     main = max((p for p in valid if "/" not in p), key=lambda p: (useful.get(p, 0.0), p), default=None)
     if main is None or not useful.get(main):
-        return {"main": None, "constant": []}
+        return {"main": None, "constant": [], "kept": []}
     leaf = re.compile(r"(?:p|h[1-6]|li|td|th|dt|dd|pre|blockquote|tr)(?:\.|$)")
     while True:
         below = [p for p in valid if p.startswith(main + "/") and "/" not in p[len(main) + 1 :]]
         best = max(below, key=lambda p: (useful.get(p, 0.0), p), default=None)
         if best is None or useful.get(best, 0.0) < DESCEND * useful[main] or leaf.match(best.rsplit("/", 1)[-1]):
-            return {"main": main, "constant": sorted(p for p in constant["path"] if p.startswith(main + "/"))}
+            return {"main": main, "constant": sorted(p for p in constant["path"] if p.startswith(main + "/")), "kept": sorted(kept)}
         main = best
 
 
 def templates(tokens: DataFrame) -> DataFrame:
-    """host, main, constant: one row a host, from all its distinct pages.
+    """host, main, constant, kept: one row a host, from all its distinct pages.
 
     Tokens are summed per host, path and text, then per host and path, before a host's paths
     meet, so a host with a third of all pages sends no more rows than one with few. ``same`` is
     the exact count of distinct pages with the path's most frequent text.
     """
-    each = tokens.groupBy("host", "path", "text_hash", "page").agg(*[F.first(c).alias(c) for c in ("vector", "times", "chars", "link_chars", "place", "out")])
-    texts = each.groupBy("host", "path", "text_hash").agg(
+    each = tokens.groupBy("host", "path", "sides", "text_hash", "page").agg(*[F.first(c).alias(c) for c in ("vector", "times", "chars", "link_chars", "place", "out")])
+    texts = each.groupBy("host", "path", "sides", "text_hash").agg(
         F.bit_xor("vector").alias("vector"), F.count(F.lit(1)).alias("pages"), F.sum("times").alias("times"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"),
         F.sum("place").alias("place"), F.bool_and("out").alias("out"),
     )
-    summed = texts.groupBy("host", "path").agg(
+    summed = texts.groupBy("host", "path", "sides").agg(
         F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("times").alias("times"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"),
         F.max("pages").alias("same"), (F.sum("place") / F.sum("pages")).alias("place"), F.bool_and("out").alias("out"),
     )
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         found = deduce(rows, int(rows["pages"].max()))
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "main": [found["main"]], "constant": [found["constant"]]})
+        return pd.DataFrame({"host": [rows["host"].iloc[0]], "main": [found["main"]], "constant": [found["constant"]], "kept": [found["kept"]]})
 
-    return summed.groupBy("host").applyInPandas(one, "host string, main string, constant array<string>")
+    return summed.groupBy("host").applyInPandas(one, "host string, main string, constant array<string>, kept array<string>")
 
 
-def main_blocks(blocks: list[Piece], main: str | None, constant: frozenset = frozenset()) -> list[str]:
+def main_blocks(blocks: list[Piece], main: str | None, constant: frozenset = frozenset(), kept: frozenset = frozenset()) -> list[str]:
     """The texts of a page's main slot.
 
     Without a template, or where the page does not have its main slot, the slot is the page's own
-    article or main element, else the element below which most unlinked text of blocks lies.
+    article or main element, else the element below which most unlinked text of blocks lies;
+    which elements are side matter is then judged by the page's own text.
     """
     inside = lambda b, p: b.path == p or b.path.startswith(p + "/")
-    if main is None or not any(inside(b, main) and not b.out for b in blocks):
-        marked = [re.match(r"(?:.*/)?(?:article|main)(?:\.[a-z]+)?(?=/|$)", b.path) for b in blocks if not b.out]
+    free = lambda b: not b.out and kept.issuperset(b.sides)
+    if main is None or not any(inside(b, main) and free(b) for b in blocks):
+        kept = frozenset(main_sides(unlinked(blocks)))
+        marked = [re.match(r"(?:.*/)?(?:article|main)(?:\.[a-z]+)?(?=/|$)", b.path) for b in blocks if free(b)]
         marked = [m.group() for m in marked if m]
         if marked:
             main = min(marked, key=len)
         else:
             weight: dict[str, int] = {}
             for b in blocks:
-                if not b.out and b.link_chars <= 0.5 * b.chars:
+                if free(b) and b.link_chars <= 0.5 * b.chars:
                     names = b.path.split("/")
                     for k in range(1, len(names) + 1):
                         p = "/".join(names[:k])
@@ -279,7 +322,7 @@ def main_blocks(blocks: list[Piece], main: str | None, constant: frozenset = fro
             main = max((p for p, w in weight.items() if w >= DESCEND * top), key=lambda p: (p.count("/"), p))
             if re.match(r"(?:p|h[1-6]|li|pre)(?:\.|$)", main.rsplit("/", 1)[-1]) and "/" in main:
                 main = main.rsplit("/", 1)[0]
-    return [b.text for b in blocks if not b.out and inside(b, main) and b.path not in constant]
+    return [b.text for b in blocks if free(b) and inside(b, main) and b.path not in constant]
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -299,9 +342,9 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text="html"):
             texts, slots = [], []
-            for html, main, constant in zip(*(part.column(c).to_pylist() for c in ("html", "main", "constant"))):
-                texts.append("\n".join(main_blocks(pieces(html or ""), main, frozenset(constant or ()))))
+            for html, main, constant, kept in zip(*(part.column(c).to_pylist() for c in ("html", "main", "constant", "kept"))):
+                texts.append("\n".join(main_blocks(pieces(html or ""), main, frozenset(constant or ()), frozenset(kept or ()))))
                 slots.append(main)
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(slots, pa.string())], names=["page_id", "url", "text", "n_chars", "slot"])
 
-    return joined.select("page_id", "url", "html", "main", "constant").mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars long, slot string")
+    return joined.select("page_id", "url", "html", "main", "constant", "kept").mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars long, slot string")

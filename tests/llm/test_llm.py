@@ -214,6 +214,15 @@ def test_slots_with_several_values_are_kept(spark):
     assert all(out[1000 + i] == f"Section {i % 6}\nStory {i % 6} tells of {(i % 6) ** 2}" for i in range(3, 600))
 
 
+def test_wrappers_named_like_side_matter_keep_their_article(spark):
+    wraps = ['<div class="content with-sidebar">', '<div id="page-no-sidebar">', '<section class="article-share-layout">', '<div class="legal article-body">']
+    page = lambda w, i: f"<nav>Home</nav>{w}<h1>Title {i}</h1><p>Story {i} tells of {i * i} things that went on here<div class=sidebar>side {i}</div></{w[1:].split()[0]}><div class=comments><p>reader {i}</p></div>"
+    rows = [(100 * k + i, f"http://h{k}.example.com/{i}", page(w, i)) for k, w in enumerate(wraps) for i in range(8)] + [(900 + k, f"http://lone{k}.example.com/", page(w, k)) for k, w in enumerate(wraps)]
+    for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        i = r["page_id"] % 100
+        assert r["text"] == f"Title {i}\nStory {i} tells of {i * i} things that went on here"
+
+
 def test_articles_of_all_test_pages(spark):
     for r in queries.op5_html_extraction(spark, FOLDER).join(table(spark, FOLDER, "pages").select("page_id", "html"), "page_id").collect():
         inner = r["html"].split("<article>")[1].split("</article>")[0]
