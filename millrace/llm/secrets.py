@@ -28,8 +28,8 @@ _DIGIT = re.compile(r"[0-9]")
 CONTEXT = 60
 #: Words of the corpus dictionary: the most frequent of four letters or more.
 DICTIONARY_WORDS = 4000
-#: A word counts for the dictionary in slices of text where it occurs this often.
-_LEAST_IN_SLICE = 3
+#: A task sends its counts when it holds this many words, and at its end.
+_HELD_WORDS = 200_000
 _SECRET_WORDS = frozenset("token key secret password passwd pwd auth bearer credential credentials api apikey private access signature session".split())
 _DIGEST_WORDS = frozenset("commit sha sha1 sha256 md5 checksum digest hash uuid guid revision rev version id etag build order invoice".split())
 FEATURES = ("length", "entropy", "class_changes", "digit_share", "upper_share", "hex_only", "bigram_score", "dictionary_share", "slashes", "dots", "has_at", "after_scheme", "ends_like_file", "assigned", "quoted", "secret_word", "digest_word", "distinct_share", "dashes")
@@ -55,19 +55,30 @@ class Dictionary:
 def dictionary_counts(docs: DataFrame, words: int = DICTIONARY_WORDS) -> list[tuple[str, int]]:
     """The most frequent lower-case words of four ASCII letters or more over all documents.
 
-    Each slice of text sends the words that it has three times or more; sums are made per word,
-    and ``words`` rows come to the driver. Rare words cannot reach the list by their nature.
+    Each task sums its counts over its slices and sends all of them; sums are made per word, so
+    they do not depend on how the input is split, and ``words`` rows come to the driver.
     """
     plain = re.compile(rb"[a-z]{4,24}\Z")
 
+    def lines(held: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in held]), pa.array(held.values(), pa.int64())], names=["word", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
         for part in slices(batches):
             raw, offsets = text_bytes(part.column("text"))
             starts, ends, _ = word_bounds(raw, offsets)
+            fit = (ends - starts >= 4) & (ends - starts <= 24)
+            starts, ends = starts[fit], ends[fit]
             _, first, n = np.unique(word_hashes(raw, starts, ends), return_index=True, return_counts=True)
-            found = [(w.decode(), int(c)) for k, c in zip(first[n >= _LEAST_IN_SLICE], n[n >= _LEAST_IN_SLICE]) if plain.match(w := bytes(raw[starts[k] : ends[k]]))]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.int64())], names=["word", "n"])
+            for a, b, c in zip(starts[first].tolist(), ends[first].tolist(), n.tolist()):
+                if plain.match(w := raw[a:b].tobytes()):
+                    held[w] += c
+            if len(held) >= _HELD_WORDS:
+                yield lines(held)
+                held.clear()
+        if held:
+            yield lines(held)
 
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [tuple(r) for r in rows.orderBy(F.desc("n"), "word").limit(words).collect()]
@@ -125,23 +136,26 @@ def labelled_findings(words: list[str], rows: int = 4000, seed: int = 11) -> lis
 
     Secrets are random keys beside assignments and words for secrets; the others are mail
     addresses, links, paths, digests that are named so, long words with numbers, cards, phones,
-    dates, versions and repeated patterns, in running text of ``words``.
+    dates, versions and repeated patterns, in running text of ``words`` that name no secret or digest, and of words that
+    no dictionary has.
     """
     rng, out = random.Random(seed), []
-    words = words or ["lorem", "ipsum", "dolor"]
+    words = [w for w in words if w not in _SECRET_WORDS | _DIGEST_WORDS] or ["lorem", "ipsum", "dolor"]
     hexes, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     some = lambda a, k: "".join(rng.choice(a) for _ in range(k))
-    word = lambda: rng.choice(words)
+    name = lambda: "".join(rng.choice("bcdfghjklmnprstvw") + rng.choice("aeiou") + rng.choice(["", "", "n", "r", "s"]) for _ in range(rng.randint(2, 3)))
+    word = lambda: name() if rng.random() < 0.3 else rng.choice(words)
 
     def secret() -> str:
-        name = rng.choice(["token", "api_key", "secret", "password", "access_key", "auth", "private_key", "client_secret", "bearer token", "session key"])
+        label = rng.choice(["token", "api_key", "secret", "password", "access_key", "auth", "private_key", "client_secret", "bearer token", "session key"])
         key = rng.choice([lambda: some(hexes, rng.choice([20, 32, 40, 64])), lambda: some(alnum, rng.randint(18, 48)), lambda: "AK" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 18), lambda: rng.choice(["pk_", "sk_live_", "tok-"]) + some(alnum, rng.randint(20, 36)), lambda: some(alnum + "+/", 40) + "="])()
         q = rng.choice(['"', "'", '"', ""])
-        return name + rng.choice([" = ", "=", ": ", ":", " "]) + q + key + q
+        return label + rng.choice([" = ", "=", ": ", ":", " "]) + q + key + q
 
     def other() -> str:
         return rng.choice([
             lambda: f"{word()}.{rng.randint(1, 99):02d}@mail{rng.randint(1, 9)}.example.com",
+            lambda: f"{name()}.{name()}.{rng.randint(1950, 2010)}@{word()}{rng.randint(1, 9)}.example.{rng.choice(['com', 'org', 'net'])}",
             lambda: f"https://www.{word()}.example.org/{word()}/{rng.randint(1, 99999)}.html",
             lambda: f"/usr/share/{word()}/{word()}-{rng.randint(1, 99)}.{rng.randint(0, 9)}/{word()}.txt",
             lambda: f"{rng.choice(['commit', 'sha1', 'md5', 'checksum', 'revision', 'digest'])} {some(hexes, rng.choice([32, 40, 64]))}",

@@ -114,6 +114,13 @@ def test_secrets_are_found_and_false_positives_removed(spark):
     assert rows[0][1][row["start"] : row["start"] + row["length"]] == key
 
 
+def test_dictionary_does_not_depend_on_the_split(spark):
+    rows = [(i, f"often alpha{'' if i % 2 else ' beta'} gamma{i}") for i in range(40)] + [(99, "beta " * 5 + "Upper x1 abc"), (100, None), (101, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 20):
+        assert secrets.dictionary_counts(df.repartition(parts)) == [("alpha", 40), ("often", 40), ("beta", 25)]
+
+
 def test_forest_on_held_out_findings(spark):
     words = ["alpha", "bravo", "charlie", "delta", "report", "table", "number", "figure"]
     known = secrets.Dictionary.of([(w, 9) for w in words])
