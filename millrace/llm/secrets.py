@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.shared import slices, text_bytes, word_bounds, word_hashes
 
-#: A candidate: a run of characters of keys, hashes and encodings with a digit, of this length or more.
+#: A candidate anywhere: a run of characters of keys, hashes and encodings with a digit, of this length or more.
+#: A candidate after an assignment or a word for secrets: the value there, of any length and characters.
 LEAST_LENGTH = 16
 _RUN = re.compile(r"[A-Za-z0-9+/=_\-.@:]{%d,}" % LEAST_LENGTH)
 _DIGIT = re.compile(r"[0-9]")
@@ -32,7 +34,14 @@ DICTIONARY_WORDS = 4000
 _HELD_WORDS = 200_000
 _SECRET_WORDS = frozenset("token key secret password passwd pwd auth bearer credential credentials api apikey private access signature session".split())
 _DIGEST_WORDS = frozenset("commit sha sha1 sha256 md5 checksum digest hash uuid guid revision rev version id etag build order invoice".split())
-FEATURES = ("length", "entropy", "class_changes", "digit_share", "upper_share", "hex_only", "bigram_score", "dictionary_share", "slashes", "dots", "has_at", "after_scheme", "ends_like_file", "assigned", "quoted", "secret_word", "digest_word", "distinct_share", "dashes")
+FEATURES = ("length", "entropy", "class_changes", "digit_share", "upper_share", "hex_only", "bigram_score", "dictionary_share", "slashes", "dots", "has_at", "after_scheme", "ends_like_file", "assigned", "quoted", "secret_word", "digest_word", "distinct_share", "dashes", "symbol_share", "spaces", "letters_only", "named_secret")
+_ASSIGNED = re.compile(r"[\"'`]?[ \t]*(?:=>|:=|==?|:(?!//))[ \t]*")
+_NAMED = re.compile(r"\b(?:%s)[ \t]+(?:(?:is|was)[ \t]+)?(?=[^\s=:])" % "|".join(sorted(_SECRET_WORDS, key=len, reverse=True)), re.I)
+_ENDS_NAMED = re.compile(r"(?:%s)(?: is| was)?\Z" % "|".join(_SECRET_WORDS))
+_QUOTED = re.compile(r"\"([^\"\n]+)\"|'([^'\n]+)'|`([^`\n]+)`")
+_BARE = re.compile(r"[^\s\"'`]+")
+_NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-.")
+_REPEATED_MARK = re.compile(r"([!#%*?&$~])\1+\Z")
 
 
 @dataclass
@@ -84,12 +93,56 @@ def dictionary_counts(docs: DataFrame, words: int = DICTIONARY_WORDS) -> list[tu
     return [tuple(r) for r in rows.orderBy(F.desc("n"), "word").limit(words).collect()]
 
 
+def _value(text: str, at: int) -> tuple[int, str]:
+    """Start and characters of the value at a place: what is quoted there, else all up to a blank or quote."""
+    if m := _QUOTED.match(text, at):
+        return m.start(m.lastindex), m.group(m.lastindex)
+    m = _BARE.match(text, at + (text[at : at + 1] in "\"'`"))
+    return (m.start(), _REPEATED_MARK.sub("", m.group().rstrip(",.;:)]}>"))) if m else (at, "")
+
+
 def candidates(text: str) -> Iterator[tuple[int, str]]:
-    """Start and characters of each candidate of a text."""
+    """Start and characters of each candidate of a text, in order.
+
+    A value takes the place of the runs in it, unless it has blanks, and of a run that begins with
+    its name; a value further inside a run is left to the run. So no key is reported twice.
+    """
+    runs: dict[int, str] = {}
     for m in _RUN.finditer(text):
         run = m.group().strip(".:=@-")
         if len(run) >= LEAST_LENGTH and _DIGIT.search(run):
-            yield m.start() + m.group().index(run), run
+            runs[m.start() + m.group().index(run)] = run
+    values: dict[int, tuple[str, int]] = {}
+    for m in _ASSIGNED.finditer(text):
+        first = m.start()
+        while first and text[first - 1] in _NAME_CHARS:
+            first -= 1
+        if first < m.start():
+            start, value = _value(text, m.end())
+            values[start] = (value, first)
+    for m in _NAMED.finditer(text):
+        start, value = _value(text, m.end())
+        values.setdefault(start, (value, start))
+    found, starts, done = dict(runs), sorted(runs), 0
+    for start, (value, first) in sorted(values.items()):
+        end = start + len(value)
+        if not value or start < done:
+            continue
+        k = bisect_right(starts, start) - 1
+        around = starts[k] if k >= 0 and starts[k] + len(runs[starts[k]]) > start else None
+        if around is not None and around < first:
+            continue
+        if around is not None and around + len(runs[around]) > end:
+            value, end = text[start : around + len(runs[around])], around + len(runs[around])
+        blanks = " " in value or "\t" in value
+        if around is not None:
+            found.pop(around, None)
+        if not blanks:
+            for s in starts[bisect_left(starts, start) : bisect_left(starts, end)]:
+                found.pop(s, None)
+            done = end
+        found[start] = value
+    yield from sorted(found.items())
 
 
 def features(text: str, start: int, run: str, known: Dictionary) -> list[float]:
@@ -128,13 +181,18 @@ def features(text: str, start: int, run: str, known: Dictionary) -> list[float]:
         float(sum(w in _DIGEST_WORDS for w in near)),
         len(counts) / n,
         float(run.count("-")),
+        kinds.count("s") / n,
+        float(run.count(" ")),
+        float(run.isalpha()),
+        float(bool(_ENDS_NAMED.search(tight.rstrip("\"'`=:> \t").lower()))),
     ]
 
 
 def labelled_findings(words: list[str], rows: int = 4000, seed: int = 11) -> list[tuple[str, int, str, int]]:
     """Labelled findings to train on: (text, start, candidate, 1 for a secret) from known constructions.
 
-    Secrets are random keys beside assignments and words for secrets; the others are mail
+    Secrets are random keys beside assignments and words for secrets, and passwords: short, of letters
+    only, and with other marks, and keys in running text that show by themselves; the others are plain words and numbers in such places, mail
     addresses, links, paths, digests that are named so, long words with numbers, cards, phones,
     dates, versions and repeated patterns, in running text of ``words`` that name no secret or digest, and of words that
     no dictionary has.
@@ -146,12 +204,26 @@ def labelled_findings(words: list[str], rows: int = 4000, seed: int = 11) -> lis
     name = lambda: "".join(rng.choice("bcdfghjklmnprstvw") + rng.choice("aeiou") + rng.choice(["", "", "n", "r", "s"]) for _ in range(rng.randint(2, 3)))
     word = lambda: name() if rng.random() < 0.3 else rng.choice(words)
 
+    marks = "!#$%&*~^+@?"
+
+    def password() -> str:
+        odd = "".join(some(a, rng.randint(1, 4)) for a in rng.sample([alnum[:26], alnum[26:52], "0123456789", alnum, marks[:6]], 4))
+        return rng.choice([lambda: word() + some("0123456789", rng.randint(1, 4)) + some(alnum, rng.randint(1, 4)), lambda: word().title() + some("0123456789", rng.randint(2, 4)) + some(marks, 1), lambda: odd if len(odd) > 5 else odd + some(alnum, 4)])()
+
     def secret() -> str:
         label = rng.choice(["token", "api_key", "secret", "password", "access_key", "auth", "private_key", "client_secret", "bearer token", "session key"])
-        key = rng.choice([lambda: some(hexes, rng.choice([20, 32, 40, 64])), lambda: some(alnum, rng.randint(18, 48)), lambda: "AK" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 18), lambda: rng.choice(["pk_", "sk_live_", "tok-"]) + some(alnum, rng.randint(20, 36)), lambda: some(alnum + "+/", 40) + "="])()
+        key = rng.choice([lambda: some(hexes, rng.choice([20, 32, 40, 64])), lambda: some(alnum, rng.randint(18, 48)), lambda: "AK" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 18), lambda: rng.choice(["pk_", "sk_live_", "tok-"]) + some(alnum, rng.randint(20, 36)), lambda: some(alnum + "+/", 40) + "=", password, password, lambda: some(alnum[:52], rng.randint(12, 40)), lambda: some(alnum + marks, rng.randint(8, 32))])()
+        if rng.random() < 0.25:  # keys that show by themselves, in running text
+            return rng.choice([lambda: rng.choice(["AK", "AKIA", "AS"]) + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", rng.choice([16, 16, 18])), lambda: rng.choice(["pk_", "sk_live_", "ghp_", "tok-"]) + some(alnum, rng.randint(20, 36)), lambda: some(alnum, rng.randint(24, 48))])()
         q = rng.choice(['"', "'", '"', ""])
         return label + rng.choice([" = ", "=", ": ", ":", " "]) + q + key + q
 
+    def plain() -> str:
+        label = rng.choice([word(), word(), "note", "name", "port", "version", "date", "title", "time", "token", "password", "key", "secret", "session", "access"])
+        value = rng.choice([word, word, lambda: f"{word()} {word()} {word()}", lambda: str(rng.randint(0, 99999)), lambda: f"{rng.randint(0, 23)}:{rng.randint(10, 59)}", lambda: f"{rng.randint(0, 9)}.{rng.randint(0, 99)}", lambda: rng.choice(["true", "false", "null", "none", "required", "of", "the", "and", "is"]), lambda: word().title(), lambda: f"{word()}_{word()}", lambda: f"{word()}({word()})", lambda: rng.choice("$%") + "{" + word() + "}"])()
+        q = rng.choice(['"', "", "", ""])
+        return label + rng.choice([" = ", "=", ": ", ":", " ", " is "]) + q + value + q
+
     def other() -> str:
         return rng.choice([
             lambda: f"{word()}.{rng.randint(1, 99):02d}@mail{rng.randint(1, 9)}.example.com",
@@ -167,6 +239,7 @@ def labelled_findings(words: list[str], rows: int = 4000, seed: int = 11) -> lis
             lambda: f"2024-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}T{rng.randint(0, 23):02d}:00:00.000",
             lambda: f"{word()}-{rng.randint(1, 9)}.{rng.randint(0, 99)}.{rng.randint(0, 999)}-{word()}.tar.gz",
             lambda: some("01", rng.randint(16, 40)),
+            plain, plain, plain, plain,
             lambda: "1234567890" * 2,
             lambda: f"key{'=' * rng.randint(1, 3)}{''.join(word() for _ in range(3))}{rng.randint(1, 9)}",
         ])()
