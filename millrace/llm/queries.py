@@ -59,16 +59,13 @@ def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup knows and leaves out.
     """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    plain = dict(rollup.TOKENIZERS) | {"recount": rollup.RECOUNT}
-    counts = stored(rollup.counted(docs, plain), "token-counts")
-    known = counts.filter(F.col("tokenizer") != "recount")
+    known = stored(rollup.counted(docs, rollup.TOKENIZERS, again=rollup.RECOUNT), "token-counts")
     marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"), F.min("quality").alias("_quality"))
     gone = known.join(marks.filter("_toxic = 1"), "doc_id")
     poor = marks.filter("_quality = 0 and coalesce(_toxic, 0) <> 1").select("doc_id")
-    again = counts.filter(F.col("tokenizer") == "recount").select("doc_id", F.col("n_tokens").alias("_new"), F.col("n_chars").alias("_same")).dropDuplicates(["doc_id"])
-    revised = known.filter(F.col("tokenizer") == "words-1").join(poor, "doc_id").join(again, "doc_id")
+    revised = known.filter(F.col("tokenizer") == "words-1").join(poor, "doc_id")
     kept = rollup.Rollup(spark, fresh_path(spark, "rollup"))
-    for name, change in (("load", rollup.inserts(known)), ("takedown", rollup.deletes(gone)), ("recount", rollup.revisions(revised, "_new")), ("load", rollup.inserts(known))):
+    for name, change in (("load", rollup.inserts(known)), ("takedown", rollup.deletes(gone)), ("recount", rollup.revisions(revised, "n_again")), ("load", rollup.inserts(known))):
         kept.commit(name, change)
     return kept.totals()
 

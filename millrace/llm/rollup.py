@@ -18,17 +18,21 @@ MEASURES = ("n_docs", "n_tokens", "n_chars")
 _SCHEMA = T.StructType([*(T.StructField(k, T.StringType()) for k in KEYS), *(T.StructField(m, T.LongType()) for m in MEASURES)])
 
 
-def counted(docs: DataFrame, tokenizers: dict[str, str], text: str = "text") -> DataFrame:
+def counted(docs: DataFrame, tokenizers: dict[str, str], text: str = "text", again: str | None = None) -> DataFrame:
     """A row per document and tokenizer version: doc_id, KEYS, n_tokens, n_chars.
 
+    With a pattern ``again``, each row also has n_again, the count of the same text by it.
+
     ``tokenizers`` maps a version to the pattern of its tokens. Null text has no tokens and no
     characters; null source or lang are groups of their own. The text is read once.
     """
     c = F.col(text)
     count = lambda pattern: F.coalesce(F.regexp_count(c, F.lit(pattern)), F.lit(0)).cast("long")
     each = F.array(*[F.struct(F.lit(v).alias("tokenizer"), count(p).alias("n_tokens")) for v, p in tokenizers.items()])
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.length(c), F.lit(0)).cast("long").alias("n_chars"), each.alias("_each"))
-    return rows.select("doc_id", "source", "lang", "n_chars", F.inline("_each")).select("doc_id", *KEYS, "n_tokens", "n_chars")
+    extra = [] if again is None else [count(again).alias("n_again")]
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.length(c), F.lit(0)).cast("long").alias("n_chars"), each.alias("_each"), *extra)
+    names = ["n_again"] * len(extra)
+    return rows.select("doc_id", "source", "lang", "n_chars", *names, F.inline("_each")).select("doc_id", *KEYS, "n_tokens", "n_chars", *names)
 
 
 def _signed(rows: DataFrame, sign: int, tokens: Column | str = "n_tokens", chars: Column | str = "n_chars", docs: int | None = None) -> DataFrame:

@@ -399,6 +399,20 @@ def test_rollup_is_idempotent_and_additive(spark, tmp_path):
     assert kept.totals().filter("source = 'b'").agg(F.sum("n_tokens"), F.sum("n_docs")).first()[:] == (0, 3)
 
 
+def test_rows_of_one_id_are_recounted_each(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "one 2 three", "en", "a"), (1, "a b c d 5 6 7", "en", "a"), (1, "9 9", "de", "b"), (2, "two 2", "en", "a"), (None, "x 1", "en", "a"), (3, "gone 3", "en", "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0, 0), (2, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    columns = ["source", "lang", "tokenizer", "n_docs", "n_tokens", "n_chars"]
+    got = sorted(tuple(r[c] for c in columns) for r in queries.op9_token_rollups(spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(queries.OP9_SQL).fetchall())
+
+
 # ---------------------------------------------------------------- repeated passages
 
 
