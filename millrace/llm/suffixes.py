@@ -54,11 +54,13 @@ def anchors(words: np.ndarray, row_of: np.ndarray, passage: int = PASSAGE) -> tu
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id and text of all rows, and a key of both: rows that repeat an id, or have none, are told apart by it."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("key", F.xxhash64("doc_id", "text"))
 
 
 def sparse_suffixes(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
-    """doc_id, n_words, digest, and the gram hashes and positions of the selected suffixes."""
+    """key, doc_id, n_words, digest, and the gram hashes and positions of the selected suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -70,27 +72,27 @@ def sparse_suffixes(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
             digest = one[first[1:]] - one[first[:-1]]
             local = (at - first[row_of[at]]).astype(np.int32) if len(at) else np.zeros(0, np.int32)
             ends = pa.array(bounds.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(first)), pa.array(digest.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(grams.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(local))], names=["doc_id", "n_words", "digest", "grams", "places"])
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(np.diff(first)), pa.array(digest.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(grams.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(local))], names=["key", "doc_id", "n_words", "digest", "grams", "places"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, n_words long, digest long, grams array<long>, places array<int>")
+    return _rows(docs).mapInArrow(run, "key long, doc_id long, n_words long, digest long, grams array<long>, places array<int>")
 
 
 def repeated_suffixes(suffixes: DataFrame) -> DataFrame:
-    """doc_id, place of the suffixes of (gram, doc_id, place) whose gram occurs again.
+    """key, place of the suffixes of (gram, key, place) whose gram occurs again.
 
-    The suffixes are sorted over the cluster by (gram, doc_id, place) and neighbours compared.
+    The suffixes are sorted over the cluster by (gram, key, place) and neighbours compared.
     A gram that many documents share is spread over several sorted runs. A suffix alone with its
     gram in its run can have equals in other runs only if it is the run's first or last; these
     edges, two a run, are matched among all runs afterwards.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "doc_id", "place", "kind"]
+        names = ["gram", "key", "place", "kind"]
 
         def lines(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.string()))], names=names)
 
-        held = None  # the last row: (gram, doc_id, place, equals the row before, is the run's first)
+        held = None  # the last row: (gram, key, place, equals the row before, is the run's first)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -112,24 +114,24 @@ def repeated_suffixes(suffixes: DataFrame) -> DataFrame:
         if held is not None:
             yield lines([(*held[:3], "again" if held[3] else "edge")])
 
-    order = ["gram", "doc_id", "place"]
+    order = ["gram", "key", "place"]
     runs = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = cut(runs.mapInArrow(compare, "gram long, doc_id long, place int, kind string"))
+    found = cut(runs.mapInArrow(compare, "gram long, key long, place int, kind string"))
     edges = found.filter("kind = 'edge'").groupBy("gram").agg(F.count(F.lit(1)).alias("_edges"))
     inner = found.filter("kind = 'again'").join(edges.select("gram"), "gram", "left_semi").select("gram").distinct().withColumn("_inner", F.lit(True))
     known = edges.join(inner, "gram", "left").filter("_edges > 1 or _inner").select("gram")
-    return found.filter("kind = 'again'").select("doc_id", "place").unionByName(found.filter("kind = 'edge'").join(known, "gram").select("doc_id", "place"))
+    return found.filter("kind = 'again'").select("key", "place").unionByName(found.filter("kind = 'edge'").join(known, "gram").select("key", "place"))
 
 
 def _extended(docs: DataFrame, places: DataFrame, passage: int) -> DataFrame:
-    """hash, doc_id, start of each run of ``passage`` words around a repeated suffix.
+    """hash, key, start of each run of ``passage`` words around a repeated suffix.
 
     A suffix reaches left and right as far as a passage with its gram inside can.
     """
     gram = passage // 2 + 1
     reach = passage - gram
-    per = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    chosen = join_checked(_rows(docs), per, "doc_id", most=200_000)
+    per = places.groupBy("key").agg(F.collect_list("place").alias("places"))
+    chosen = join_checked(_rows(docs), per, "key", most=200_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -148,11 +150,11 @@ def _extended(docs: DataFrame, places: DataFrame, passage: int) -> DataFrame:
             bounds = np.searchsorted(starts, first)
             ends = pa.array(bounds.astype(np.int32))
             local = (starts - first[row_of[starts]]).astype(np.int32) if len(starts) else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(hashes[starts].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(local))], names=["doc_id", "hashes", "starts"])
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.ListArray.from_arrays(ends, pa.array(hashes[starts].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(local))], names=["key", "hashes", "starts"])
 
-    found = chosen.select("doc_id", "text", "places").mapInArrow(run, "doc_id long, hashes array<long>, starts array<int>")
-    zipped = stored(found.filter(F.size("hashes") > 0), "runs").select("doc_id", F.explode(F.arrays_zip("hashes", "starts")).alias("_r"))
-    return zipped.select(F.col("_r.hashes").alias("hash"), "doc_id", F.col("_r.starts").alias("start"))
+    found = chosen.select("key", "text", "places").mapInArrow(run, "key long, hashes array<long>, starts array<int>")
+    zipped = stored(found.filter(F.size("hashes") > 0), "runs").select("key", F.explode(F.arrays_zip("hashes", "starts")).alias("_r"))
+    return zipped.select(F.col("_r.hashes").alias("hash"), "key", F.col("_r.starts").alias("start"))
 
 
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
@@ -168,25 +170,26 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     3. Around the suffixes that match, the runs to the left and right that hold their gram are
        compared exactly, and the runs that occur again are joined to maximal spans.
 
-    Null, empty and shorter texts have no passages; rows without doc_id are left out; rows that
-    repeat an id are places of their own and reported together.
+    Null, empty and shorter texts have no passages; rows without doc_id are compared with the
+    others and not reported; rows that repeat an id are places of their own, and the spans of
+    its different texts are reported together, each in the words of its own text.
     """
     table = stored(sparse_suffixes(docs, passage), "suffixes")
-    alike = table.groupBy("n_words", "digest").agg(F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("copies")).filter(f"copies > 1 and n_words >= {int(passage)}")
-    alike = cut(table.select("doc_id", "n_words", "digest").join(alike.hint("shuffle_hash"), ["n_words", "digest"]).select("doc_id", "n_words", "keep"))
-    others = alike.filter("doc_id <> keep").select("doc_id").distinct()
-    suffixes = join_checked(table.filter(F.size("grams") > 0), others, "doc_id", "left_anti").select("doc_id", F.explode(F.arrays_zip("grams", "places")).alias("_s")).select(F.col("_s.grams").alias("gram"), "doc_id", F.col("_s.places").alias("place"))
+    alike = table.groupBy("n_words", "digest").agg(F.min("key").alias("keep"), F.count(F.lit(1)).alias("copies")).filter(f"copies > 1 and n_words >= {int(passage)}")
+    alike = cut(table.select("key", "doc_id", "n_words", "digest").join(alike.hint("shuffle_hash"), ["n_words", "digest"]))
+    others = alike.filter("key <> keep").select("key").distinct()
+    suffixes = join_checked(table.filter(F.size("grams") > 0), others, "key", "left_anti").select("key", F.explode(F.arrays_zip("grams", "places")).alias("_s")).select(F.col("_s.grams").alias("gram"), "key", F.col("_s.places").alias("place"))
     places = cut(repeated_suffixes(suffixes))
     runs = _extended(docs, places, passage)
     again = runs.groupBy("hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("hash")
-    hits = runs.join(again.hint("shuffle_hash"), "hash").select("doc_id", "start")
-    per = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("start")).alias("starts"))
-    per = per.select("doc_id", F.expr(_merge(passage)).alias("spans"))
-    whole = alike.groupBy("doc_id").agg(F.max("n_words").alias("_all"))
-    sizes = table.groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
-    joined = per.join(whole, "doc_id", "full_outer").join(sizes, "doc_id")
-    spans = F.when(F.col("_all").isNotNull(), F.array(F.struct(F.lit(0).alias("first"), F.col("_all").cast("int").alias("last")))).otherwise(F.col("spans"))
-    out = joined.select("doc_id", spans.alias("spans"), "n_words")
+    hits = runs.join(again.hint("shuffle_hash"), "hash").select("key", "start")
+    per = hits.groupBy("key").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    per = per.select("key", F.expr(_merge(passage)).alias("spans")).join(alike.select("key").distinct(), "key", "left_anti")
+    named = table.filter("doc_id is not null").select("key", "doc_id").distinct()
+    whole = alike.filter("doc_id is not null").select("doc_id", "n_words", "digest").distinct()
+    whole = whole.select("doc_id", F.array(F.struct(F.lit(0).alias("first"), F.col("n_words").cast("int").alias("last"))).alias("spans"))
+    spans = per.join(named, "key").select("doc_id", "spans").unionByName(whole).groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    out = spans.join(table.groupBy("doc_id").agg(F.max("n_words").alias("n_words")), "doc_id")
     return out.select("doc_id", "spans", F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["last"] - s["first"]).alias("n_repeated"), "n_words")
 
 

@@ -443,6 +443,16 @@ def test_passages_equal_brute_force(spark):
     assert suffixes.repeated_passages(empty(spark)).count() == 0 and suffixes.repeated_passages(odd_documents(spark)).count() == 0
 
 
+def test_passages_of_rows_that_repeat_an_id_or_have_none(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    a, shared, other = text(80), text(60), text(55)
+    rows = [(3, a), (7, a), (7, f"{text(10)} {shared} {text(5)}"), (9, f"{text(20)} {shared}"), (None, f"{other} {text(9)}"), (12, f"{text(3)} {other}"), (None, a)]
+    for order in (rows, rows[::-1]):
+        got = {r["doc_id"]: ([[s["first"], s["last"]] for s in r["spans"]], r["n_repeated"]) for r in suffixes.repeated_passages(spark.createDataFrame(order, "doc_id long, text string")).collect()}
+        assert got == {3: ([[0, 80]], 80), 7: ([[0, 80], [10, 70]], 140), 9: ([[20, 80]], 60), 12: ([[3, 58]], 55)}
+
+
 # ---------------------------------------------------------------- registration and pipeline
 
 
