@@ -9,7 +9,7 @@ from millrace.llm.shared import stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without letters go."""
+    """Documents that op4's verdict gives a language; ambiguous ones stay, so on labelled languages only those without letters go."""
     return langid.with_language(docs)
 
 

@@ -164,26 +164,31 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def verdicts(column: pa.Array, model: Codes | None) -> tuple[np.ndarray, np.ndarray]:
+    """The language and score of each text; ``und`` with score 0 for texts without a letter, and for all without a model."""
+    names = np.array((model.languages if model else []) + [UNDETERMINED], object)
+    raw, offsets = text_bytes(column)
+    n = len(offsets) - 1
+    best, score = np.full(n, len(names) - 1), np.zeros(n)
+    if model:
+        best, score = model.decode(vectors(raw, offsets))
+    ascii_letters = np.concatenate([[0], np.cumsum((_FOLD[raw] != 32) & (raw < 128))])
+    for k in np.flatnonzero(ascii_letters[offsets[1:]] == ascii_letters[offsets[:-1]]):
+        if not any(c.isalpha() for c in bytes(raw[offsets[k] : offsets[k + 1]]).decode("utf-8", "replace")):
+            best[k], score[k] = len(names) - 1, 0.0
+    return names[best], score
+
+
 def predict(docs: DataFrame, model: Codes | None, clear: float = CLEAR) -> DataFrame:
     """doc_id, lang_pred, score, second-best flag ``ambiguous`` for every whole text.
 
     Only the text is looked at. Null text and text without a letter: ``und`` with score 0;
     without a model all are. Rows that repeat get the same result.
     """
-    names = np.array((model.languages if model else []) + [UNDETERMINED], object)
-
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, rows=ROWS):
-            raw, offsets = text_bytes(part.column("text"))
-            n = part.num_rows
-            best, score = np.full(n, len(names) - 1), np.zeros(n)
-            if model:
-                best, score = model.decode(vectors(raw, offsets))
-            ascii_letters = np.concatenate([[0], np.cumsum((_FOLD[raw] != 32) & (raw < 128))])
-            for k in np.flatnonzero(ascii_letters[offsets[1:]] == ascii_letters[offsets[:-1]]):
-                if not any(c.isalpha() for c in bytes(raw[offsets[k] : offsets[k + 1]]).decode("utf-8", "replace")):
-                    best[k], score[k] = len(names) - 1, 0.0
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score.astype(float)), pa.array(score < clear)], names=["doc_id", "lang_pred", "score", "ambiguous"])
+            named, score = verdicts(part.column("text"), model)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(named, pa.string()), pa.array(score.astype(float)), pa.array(score < clear)], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(judge, "doc_id long, lang_pred string, score double, ambiguous boolean")
@@ -196,20 +201,16 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told; those without letters go. Columns are kept."""
+    """The documents that ``predict`` gives a language; those it calls ``und`` go. Columns are kept.
+
+    Ambiguous documents have a language and stay. Where no document is labelled ``und``, the
+    verdict falls on texts without letters only.
+    """
     model = train(docs.filter(~held_out(F.col("doc_id"))))
     schema, names = docs.schema, docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, rows=ROWS):
-            raw, offsets = text_bytes(part.column("text"))
-            letters = np.concatenate([[0], np.cumsum((_FOLD[raw] != 32) & (raw < 128))])
-            best = model.decode(vectors(raw, offsets))[0] if model else None
-            ok = letters[offsets[1:]] > letters[offsets[:-1]]
-            for k in np.flatnonzero(~ok):
-                ok[k] = any(c.isalpha() for c in bytes(raw[offsets[k] : offsets[k + 1]]).decode("utf-8", "replace"))
-            if best is None:
-                ok[:] = False
-            yield part.filter(pa.array(ok)).select(names)
+            yield part.filter(pa.array(verdicts(part.column("text"), model)[0] != UNDETERMINED, pa.bool_())).select(names)
 
     return docs.mapInArrow(keep, schema)

@@ -201,6 +201,14 @@ def test_language_of_odd_rows(spark):
     assert kept.columns == odd_documents(spark).columns and kept.filter("doc_id in (1, 2, 3, 8)").count() == 0
 
 
+def test_language_stage_rejects_by_the_verdict(spark):
+    words = {"en": "the house and the river with many old trees", "de": "das haus und der fluss mit vielen alten baeumen", "und": "zzqx qqzv xkcd vvbq jjxz wqqk"}
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(words[k].split()) for _ in range(30)), k) for i in range(240) for k in [("en", "de", "und")[i % 3]]]
+    kept = {r["doc_id"] for r in langid.with_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert kept == {i for i, _, k in rows if k != "und"}
+
+
 def test_codewords_differ_and_decode_corrects_a_bit():
     for k in (2, 3, 4, 5, 9, 30):
         words = langid.codebook(k)
