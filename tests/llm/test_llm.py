@@ -157,16 +157,61 @@ def test_join_equals_brute_force(spark, words, percent):
     assert got == brute_components(rows, words, percent)
 
 
+def as_rows(spark, docs, threshold, words):
+    """All sets of documents as one region."""
+    table = jaccard.digests(docs, words, threshold)
+    members = table.select(F.col("doc_id").alias("node"), "doc_id", "d1")
+    return jaccard.member_sets(docs, members, words).select(F.lit(1).cast("long").alias("region"), "id", "n", F.col("elements").alias("delta"), F.lit(None).cast("long").alias("comp"))
+
+
 def test_large_regions_recur_around_pivots(spark):
-    rows = near_copies(50, 2, 120, 5) + [(500 + i, t) for i, t in near_copies(25, 3, 120, 6)]
+    rows = near_copies(50, 2, 120, 5) + [(500 + i, t) for i, t in near_copies(25, 3, 120, 6)] + [(700 + i, t) for i, t in near_copies(25, 8, 120, 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for depth in (8, 0):
-        threshold = jaccard.Threshold(90)
-        members = spark.createDataFrame([(1, i) for i, _ in rows], "region long, id long")
-        links = jaccard.join_regions(jaccard.member_sets(df, members, 3), threshold, work=60_000, most_depth=depth)
-        labels = {r["node"]: r["label"] for r in components.components(links).collect()}
-        want = brute_components(rows, 3, 90)
-        assert all(labels.get(i, i) == want[i][1] for i, _ in rows)
+    for percent in (90, 80):
+        want = brute_components(rows, 3, percent)
+        for depth in (8, 0):
+            threshold = jaccard.Threshold(percent)
+            links = jaccard.join_regions(as_rows(spark, df, threshold, 3), threshold, work=60_000, most_depth=depth)
+            labels = {r["node"]: r["label"] for r in components.components(links).collect()}
+            assert all(labels.get(i, i) == want[i][1] for i, _ in rows)
+
+
+def test_linked_pairs_meet_in_a_voronoi_cell(spark):
+    rows = near_copies(30, 4, 100, 5) + [(100 + i, t) for i, t in near_copies(30, 12, 100, 6)] + [(200, near_copies(1, 0, 100, 5)[0][1] + " " + near_copies(1, 0, 100, 6)[0][1])]
+    df, threshold = spark.createDataFrame(rows, "doc_id long, text string"), jaccard.Threshold(80)
+    sets = as_rows(spark, df, threshold, 3)
+    all_sets = {r["id"]: frozenset(r["delta"]) for r in sets.collect()}
+    centres = jaccard.centres_of([np.array(sorted(s), np.int64).view(np.uint64) for s in (all_sets[0], all_sets[100], all_sets[101])], 10)
+    assert len(centres) > 1
+    pivots = spark.createDataFrame([(1, [c.view(np.int64).tolist() for c in centres])], "region long, pivots array<array<long>>")
+    cells = {}
+    for r in jaccard.voronoi(sets, pivots, threshold).collect():
+        cells.setdefault(r["id"], set()).add(r["region"])
+    assert all(cells[i] for i in all_sets)
+    for i, a in all_sets.items():
+        for j, b in all_sets.items():
+            if i < j and threshold.linked(len(a) + len(b), len(a ^ b)):
+                assert cells[i] & cells[j]
+
+
+@pytest.mark.parametrize("percent", [80, 90, 100])
+def test_sets_without_partners_are_set_aside_and_no_other(spark, percent):
+    shared = " ".join(f"common{i}" for i in range(40))
+    rows = near_copies(20, 3, 150, 8) + [(100 + i, f"{shared} " + " ".join(f"own{i}x{k}" for k in range(200))) for i in range(30)] + [(200, "a b"), (201, "a b c"), (202, "a b c d e f g h i j k l"), (203, "a b c d e f g h i j k l m")]
+    df, threshold = spark.createDataFrame(rows, "doc_id long, text string"), jaccard.Threshold(percent)
+    table = components.cut(jaccard.digests(df, 3, threshold))
+    nodes = table.select(F.col("doc_id").alias("node"), "doc_id", "n_shingles", "d1")
+    left = {r["node"] for r in jaccard.partnered(table, nodes, threshold).collect()}
+    want = brute_components(rows, 3, percent)
+    linked = {i for i in want if sum(want[j][1] == want[i][1] for j in want) > 1}
+    assert linked <= left and not left & set(range(100, 130))
+
+
+def test_repeated_ids_with_different_texts_are_one_document(spark):
+    a, b = (t for _, t in near_copies(1, 0, 60, 1) + near_copies(1, 0, 60, 2))
+    rows = [(5, a), (5, b), (5, b), (7, a + " more"), (9, b + " more"), (9, b + " more"), (11, "alone here and nowhere else")]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.link_documents(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {(5, 5), (7, 5), (9, 5), (11, 11)}
 
 
 def test_join_on_odd_rows(spark):
