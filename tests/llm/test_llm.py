@@ -299,6 +299,43 @@ def test_wrappers_named_like_side_matter_keep_their_article(spark):
         assert r["text"] == f"Title {i}\nStory {i} tells of {i * i} things that went on here"
 
 
+def test_classes_decide_what_is_extracted(spark, monkeypatch):
+    page = lambda i: f"<div class=top><b>Our site</b></div><div class=lead>Read this first</div><div class=content><h2>Head {i}</h2><p>Story {i} goes on for {i * i} days</p><h5>Read on here</h5></div><div class=end>The end</div>"
+    df = spark.createDataFrame([(i, f"http://a.example.com/{i}", page(i)) for i in range(12)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.extract(df).collect()} == {i: f"Head {i}\nStory {i} goes on for {i * i} days" for i in range(12)}
+    plain = html.page_tokens
+    monkeypatch.setattr(html, "page_tokens", lambda pages: plain(pages).withColumn("vector", F.xxhash64("vector", "token")))
+    scrambled = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert all("Read on here" in t for t in scrambled.values())
+
+
+def test_class_members_out_of_order_are_no_template(spark):
+    items = ["alpha", "beta", "gamma"]
+    page = lambda i: f"<nav>Home</nav><div class=content><h1>Title {i}</h1><ul class=w><li>{items[i % 3]}<li>{items[(i + 1) % 3]}<li>{items[(i + 2) % 3]}</ul><p>Body {i} of the page</p></div><footer>f</footer>"
+    out = html.extract(spark.createDataFrame([(i, f"http://a.example.com/{i}", page(i)) for i in range(9)], "page_id long, url string, html string")).collect()
+    assert all(set(items) < set(r["text"].split("\n")) for r in out)
+    known = html.classes(html.page_tokens(spark.createDataFrame([(i, f"http://a.example.com/{i}", page(i)) for i in range(9)], "page_id long, url string, html string"))).first()
+    assert {html._hash("div.content/ul.w/li\0" + w) for w in items} < set(known["tokens"])
+
+
+def test_sections_with_compound_names_are_kept(spark):
+    extra = {2: "<div class='legal-history'>The law of 1900</div>", 3: "<section class='related-work'><p>Others did so</p></section>", 4: "<div class='comment-list'><p>reader</p></div>"}
+    page = lambda i: f"<nav>Home</nav><article><h1>Title {i}</h1><p>Story {i} tells of {i * i} things that went on here</p>{extra.get(i, '')}</article><footer>f</footer>"
+    rows = [(i, f"http://a.example.com/{i}", page(i)) for i in range(8)] + [(10 + i, f"http://lone{i}.example.com/", page(i)) for i in (2, 3, 4)]
+    out = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i].endswith("The law of 1900") for i in (2, 12)) and all(out[i].endswith("Others did so") for i in (3, 13))
+    assert all("reader" not in t for t in out.values())
+
+
+def test_odd_pages(spark):
+    deep = "<div>" * 3000 + "deep text" + "</div>" * 3000
+    long = "<article>" + "".join(f"<p>para {i}" for i in range(20_000)) + "</article>"
+    rows = [(1, "http://a.example.com/", deep), (2, "http://a.example.com/", long), (2, "http://a.example.com/", long), (None, "http://a.example.com/", "<p>no id"), (5, "http://a.example.com/", "<<<>>><p"), (6, "http://a.example.com/", " ")]
+    out = [(r["page_id"], r["text"]) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert len(out) == 6 and (1, "deep text") in out and (None, "no id") in out and (6, "") in out
+    assert sum(t == "\n".join(f"para {i}" for i in range(20_000)) for _, t in out) == 2
+
+
 def test_articles_of_all_test_pages(spark):
     for r in queries.op5_html_extraction(spark, FOLDER).join(table(spark, FOLDER, "pages").select("page_id", "html"), "page_id").collect():
         inner = r["html"].split("<article>")[1].split("</article>")[0]
