@@ -9,15 +9,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.llm.shared import slices, text_bytes
 
 #: Buckets of hashed n-grams, for each of ORDERS.
 BUCKETS = 2048
 ORDERS = (2, 3, 4)
-#: Expected number of training texts of a language, at most; and languages, the most frequent.
-PER_LANGUAGE = 600
-MOST_LANGUAGES = 256
+#: Training texts of a language, at most, and of all languages (each has one at least).
+PER_LANGUAGE, TRAIN_ROWS = 600, 12_000
+#: Rows that are dense at once in the fit.
+DENSE_ROWS = 3000
 #: Rows whose vectors are held at once.
 ROWS = 256
 UNDETERMINED = "und"
@@ -103,58 +105,88 @@ class Codes:
         return best, share[np.arange(len(best)), best]
 
 
-def fit(x: np.ndarray, y: np.ndarray, languages: list[str], rounds: int = 150, ridge: float = 1e-4) -> Codes:
+class Rows:
+    """Training vectors, kept sparse; ``blocks`` gives them dense, DENSE_ROWS at a time."""
+
+    def __init__(self, at: list[np.ndarray], value: list[np.ndarray], width: int = BUCKETS * len(ORDERS)):
+        self.at, self.value, self.width = at, value, width
+        self._only = self._dense(0, len(at)) if len(at) <= DENSE_ROWS else None
+
+    def _dense(self, first: int, last: int) -> np.ndarray:
+        out = np.zeros((last - first, self.width), np.float32)
+        for k in range(first, last):
+            out[k - first, self.at[k]] = self.value[k]
+        return out
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def blocks(self) -> Iterator[tuple[slice, np.ndarray]]:
+        if self._only is not None:
+            yield slice(0, len(self.at)), self._only
+            return
+        for k in range(0, len(self.at), DENSE_ROWS):
+            last = min(k + DENSE_ROWS, len(self.at))
+            yield slice(k, last), self._dense(k, last)
+
+
+def fit(x: Rows, y: np.ndarray, languages: list[str], rounds: int = 150, ridge: float = 1e-4) -> Codes:
     """Fit each bit by accelerated gradient descent on the logistic loss, classes weighing the same.
 
     The weight of a bit in decoding is one minus twice its error on every fifth row, which is
     left out of the fit.
     """
     words = codebook(len(languages))
-    target, spare = words[y].astype(np.float32), np.arange(len(y)) % 5 == 4
-    if spare.all() or not spare.any():
-        spare = np.zeros(len(y), bool)
+    goal, spare = words[y].astype(np.float32), np.arange(len(y)) % 5 == 4
     share = (1 / np.bincount(y, minlength=len(languages)).clip(1))[y].astype(np.float32)
-    rows, goal, weight = x[~spare], target[~spare], (share[~spare] / max(share[~spare].sum(), 1e-9))[:, None]
-    w, b = np.zeros((x.shape[1], words.shape[1]), np.float32), np.zeros(words.shape[1], np.float32)
+    share[spare] = 0
+    weight = (share / max(share.sum(), 1e-9))[:, None]
+    w, b = np.zeros((x.width, words.shape[1]), np.float32), np.zeros(words.shape[1], np.float32)
     ahead_w, ahead_b, rate = w, b, 6.0
     for k in range(rounds):
-        pull = weight * goal / (1 + np.exp(np.clip(goal * (rows @ ahead_w + ahead_b), -30, 30)))
-        new_w = ahead_w + rate * (rows.T @ pull - ridge * ahead_w)
-        new_b = ahead_b + rate * 0.3 * pull.sum(0)
+        slope_w, slope_b = np.zeros_like(w), np.zeros_like(b)
+        for rows, dense in x.blocks():
+            pull = weight[rows] * goal[rows] / (1 + np.exp(np.clip(goal[rows] * (dense @ ahead_w + ahead_b), -30, 30)))
+            slope_w += dense.T @ pull
+            slope_b += pull.sum(0)
+        new_w = ahead_w + rate * (slope_w - ridge * ahead_w)
+        new_b = ahead_b + rate * 0.3 * slope_b
         speed = k / (k + 3)
         ahead_w, ahead_b = new_w + speed * (new_w - w), new_b + speed * (new_b - b)
         w, b = new_w, new_b
     judged = spare if spare.any() else ~spare
-    right = ((x[judged] @ w + b) * target[judged] > 0).mean(0) if len(y) else np.ones(words.shape[1])
+    margins = [dense @ w + b for _, dense in x.blocks()]
+    right = ((np.concatenate(margins) * goal)[judged] > 0).mean(0) if len(y) else np.ones(words.shape[1])
     return Codes(languages, words, w, b, np.maximum(2 * right - 1, 0.05))
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Codes | None:
-    """Fit on rows with text and lang: about ``per_language`` rows a language, those of lowest hash.
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = TRAIN_ROWS) -> Codes | None:
+    """Fit on rows with text and lang: ``per_language`` rows a language at most, those of lowest hash.
 
-    None if there are no such rows.
+    With many languages each has fewer, so that all have ``most_rows`` at most, or one row each. Rows that
+    repeat are hashed alike, and the bound holds for them too. None if there are no such rows.
     """
     rows = docs.filter("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text")).alias("distinct")).orderBy("lang").collect()
     if not counts:
         return None
     languages = sorted(r["lang"] for r in counts)
-    rate = {r["lang"]: min(1.0, per_language / r["count"]) for r in counts}
-    chosen = F.element_at(F.create_map(*[F.lit(v) for lang in languages for v in (lang, rate[lang])]), F.col("lang"))
-    unit = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(F.col("lang").isin(languages)).filter(unit < chosen).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    number = max(1, min(per_language, most_rows // len(languages)))
+    rate = {r["lang"]: min(1.0, 1.3 * (number + 20) / max(r["distinct"], 1)) for r in counts}  # a bound that lets enough rows pass
+    known = docs.sparkSession.createDataFrame(list(rate.items()), "lang string, _rate double")
+    unit = F.pmod(F.xxhash64(F.lit("train"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    near = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text"), unit.alias("_u")).join(F.broadcast(known), "lang").filter("_u < _rate")
+    sample = near.withColumn("_at", F.row_number().over(Window.partitionBy("lang").orderBy("_u", "doc_id"))).filter(F.col("_at") <= number).select("doc_id", "lang", "text", "_u")
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, rows=ROWS):
             x = vectors(*text_bytes(part.column("text"))).astype(np.float16)
             where = [np.flatnonzero(v).astype(np.uint16) for v in x]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array([w.tobytes() for w in where], pa.binary()), pa.array([v[w].tobytes() for v, w in zip(x, where)], pa.binary())], names=["doc_id", "lang", "at", "value"])
+            yield pa.RecordBatch.from_arrays([part.column("_u"), part.column("lang"), pa.array([w.tobytes() for w in where], pa.binary()), pa.array([v[w].tobytes() for v, w in zip(x, where)], pa.binary())], names=["u", "lang", "at", "value"])
 
-    got = sample.mapInArrow(vectorise, "doc_id long, lang string, at binary, value binary").toPandas()
-    got = got.sort_values(["doc_id", "lang"], ignore_index=True)
-    x = np.zeros((len(got), BUCKETS * len(ORDERS)), np.float32)
-    for k, (at, value) in enumerate(zip(got["at"], got["value"])):
-        x[k, np.frombuffer(at, np.uint16)] = np.frombuffer(value, np.float16)
+    got = sample.mapInArrow(vectorise, "u double, lang string, at binary, value binary").toPandas()
+    got = got.sort_values(["u", "lang", "at"], ignore_index=True)
+    x = Rows([np.frombuffer(a, np.uint16) for a in got["at"]], [np.frombuffer(v, np.float16) for v in got["value"]])
     y = np.searchsorted(languages, got["lang"].to_numpy(object).astype(str)) if len(got) else np.zeros(0, int)
     return fit(x, y, languages)
 
@@ -200,17 +232,26 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, model).withColumn("held_out", held_out(F.col("doc_id")))
 
 
-def with_language(docs: DataFrame) -> DataFrame:
-    """The documents that ``predict`` gives a language; those it calls ``und`` go. Columns are kept.
+def with_language(docs: DataFrame, clear: float = CLEAR) -> DataFrame:
+    """The documents that the codes give a language clearly; columns are kept.
 
-    Ambiguous documents have a language and stay. Where no document is labelled ``und``, the
-    verdict falls on texts without letters only.
+    Those that ``predict`` calls ``und`` and those that it flags as ambiguous, with no codeword
+    clearly the nearest, go. Null texts and texts without letters go. If no document is labelled there
+    is nothing to learn from, and only texts without letters go. Repeated rows fare alike.
     """
     model = train(docs.filter(~held_out(F.col("doc_id"))))
     schema, names = docs.schema, docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, rows=ROWS):
-            yield part.filter(pa.array(verdicts(part.column("text"), model)[0] != UNDETERMINED, pa.bool_())).select(names)
+            named, score = verdicts(part.column("text"), model or _NO_CODES)
+            good = named != UNDETERMINED
+            if model:
+                good &= score >= clear
+            yield part.filter(pa.array(good, pa.bool_())).select(names)
 
     return docs.mapInArrow(keep, schema)
+
+
+#: Stands in where nothing is labelled: one language for every text with letters.
+_NO_CODES = Codes(["any"], np.ones((1, 1)), np.zeros((BUCKETS * len(ORDERS), 1), np.float32), np.zeros(1, np.float32), np.ones(1))

@@ -254,6 +254,46 @@ def test_language_stage_rejects_by_the_verdict(spark):
     assert kept == {i for i, _, k in rows if k != "und"}
 
 
+def test_language_stage_needs_its_weights(spark, monkeypatch):
+    docs = table(spark, FOLDER, "documents").limit(200)
+    assert langid.with_language(docs).count() > 190
+    plain = langid.train
+
+    def zeroed(docs, **options):
+        model = plain(docs, **options)
+        return langid.Codes(model.languages, model.words, model.weights * 0, model.bias * 0, model.trust)
+
+    monkeypatch.setattr(langid, "train", zeroed)
+    assert langid.with_language(docs).count() == 0
+
+
+def test_without_labelled_documents_only_texts_without_letters_go(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "Ä", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in langid.with_language(docs).collect()} == {1, 4}
+    assert {r["lang_pred"] for r in langid.identify(docs).collect()} == {"und"}
+
+
+def test_all_of_many_languages_are_learned_from_bounded_rows(spark, monkeypatch):
+    rng = random.Random(3)
+    stems = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for k in range(300)}
+    rows = [(i, " ".join(rng.choice(stems[k]) for _ in range(40)), k) for i in range(3600) for k in [f"l{i % 300:03d}"]] + [(7, "the same row again", "l000")] * 500
+    seen = []
+    plain = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda x, y, languages: seen.append((len(x), len(set(y.tolist())), languages)) or plain(x, y, languages, rounds=1))
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_rows=1500)
+    assert seen[0][0] <= 1500 and seen[0][1] == 300 and len(seen[0][2]) == 300
+
+
+def test_sparse_rows_fit_like_dense_ones(monkeypatch):
+    rng = np.random.default_rng(1)
+    at = [np.sort(rng.choice(200, 20, replace=False)).astype(np.uint16) for _ in range(90)]
+    value, y = [rng.random(20).astype(np.float16) for _ in at], np.arange(90) % 3
+    one = langid.fit(langid.Rows(at, value, 200), y, list("abc"), rounds=20)
+    monkeypatch.setattr(langid, "DENSE_ROWS", 16)
+    two = langid.fit(langid.Rows(at, value, 200), y, list("abc"), rounds=20)
+    assert np.allclose(one.weights, two.weights, atol=1e-4) and np.allclose(one.trust, two.trust)
+
+
 def test_codewords_differ_and_decode_corrects_a_bit():
     for k in (2, 3, 4, 5, 9, 30):
         words = langid.codebook(k)
