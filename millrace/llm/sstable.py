@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -229,7 +229,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     task; each task sorts its range and streams it into one file, which gets its name only when
     it is whole: a lost or repeated task leaves nothing half written. Null text encodes as empty;
     each document ends with ``end_id``; null ids come first; repeated rows are all kept.
-    The manifest (one row a shard, ascending) is collected: shard, path, entries, ids.
+    The manifest (one row a shard, ascending) is collected: shard, path, entries, ids, first, last (least and largest doc_id).
     """
     tokenizer = tokenizer or default_path()
 
@@ -241,24 +241,28 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         width = 2 if encoder.vocabulary <= 1 << 16 and end_id < 1 << 16 else 4
         end = np.array([end_id], "<u2" if width == 2 else "<u4").tobytes()
         draft, final = f"{inner}/.draft-{task.partitionId():06d}-{task.taskAttemptId()}", f"{inner}/shard-{task.partitionId():06d}.sst"
+        first = last = None
         for part in slices(batches):
+            keys = part.column("doc_id").to_pylist()
             if writer is None:
                 sink = store.open_output_stream(draft)
-                writer = Writer(sink, width)
-            keys = part.column("doc_id").to_pylist()
-            for doc_id, ids in zip(keys, encoder.encode([t or "" for t in part.column("text").to_pylist()])):
-                count = len(ids) // 4 + 1
-                writer.add(key_of(doc_id), (np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids) + end, count)
+                writer, first = Writer(sink, width), keys[0]
+            last = keys[-1]
+            ids, bounds = encoder.encode_column(part.column("text"))
+            raw, at = ids.astype("<u2" if width == 2 else "<u4").tobytes(), (bounds * width).tolist()
+            for doc_id, a, b in zip(keys, at, at[1:]):
+                writer.add(key_of(doc_id), raw[a:b] + end, (b - a) // width + 1)
         if writer is not None:
             entries, total = writer.close()
             sink.close()
             store.move(draft, final)
-            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([f"{folder}/shard-{task.partitionId():06d}.sst"]), pa.array([entries], pa.int64()), pa.array([total], pa.int64())], names=["shard", "path", "entries", "ids"])
+            row = [task.partitionId(), f"{folder}/shard-{task.partitionId():06d}.sst", entries, total, first, last]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int32(), pa.string(), *[pa.int64()] * 4))], names=["shard", "path", "entries", "ids", "first", "last"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    shape = "shard int, path string, entries long, ids long"
-    manifest = sorted(map(tuple, rows.mapInArrow(write, shape).collect()))
+    shape = "shard int, path string, entries long, ids long, first long, last long"
+    manifest = sorted(map(tuple, rows.mapInArrow(write, shape).collect()), key=lambda r: r[0])
     return docs.sparkSession.createDataFrame(manifest, shape)
 
 
@@ -294,14 +298,28 @@ def _lines(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def tokens_table(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None) -> DataFrame:
-    """Write the shards of ``docs`` and read them back; no documents give no shards and no rows."""
+    """Write the shards of ``docs`` and read them back: a row a document, see ``read_shards``.
+
+    Null and empty texts have the end id only; null ids come first; rows that repeat are all kept,
+    in the order of their texts' hashes; no documents give no shards and no rows. Other columns are ignored.
+    """
     folder = folder or fresh_path(docs.sparkSession, "shards")
     return read_shards(write_shards(docs, folder, tokenizer))
 
 
-def lookup(spark: SparkSession, folder_manifest: DataFrame, doc_id: int) -> list[np.ndarray]:
-    """The ids of one document through the shards' Bloom filters and indexes."""
-    found: list[np.ndarray] = []
-    for r in folder_manifest.orderBy("shard").collect():
-        found += open_shard(r["path"]).get(key_of(doc_id))
+def lookup(manifest: DataFrame, doc_ids: list[int | None]) -> dict[int | None, list[np.ndarray]]:
+    """The ids of some documents: a binary search for their shards, then each shard's Bloom filter and index.
+
+    A document that is in no shard has no entry in its list; one that repeats has several.
+    """
+    shards = [(key_of(r["first"]), key_of(r["last"]), r["path"]) for r in manifest.orderBy("shard").collect()]
+    lasts, opened, found = [s[1] for s in shards], {}, {}
+    for doc_id in doc_ids:
+        key, found[doc_id] = key_of(doc_id), []
+        for first, _, path in shards[bisect_left(lasts, key) :]:
+            if first > key:
+                break
+            if path not in opened:
+                opened[path] = open_shard(path)
+            found[doc_id] += opened[path].get(key)
     return found

@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
 
-#: Words kept in a worker's memory; further new words are encoded anew for each slice.
-MEMO_WORDS = 1_000_000
-_NEWLINES = re.compile(r"(\n+)")
+from millrace.llm.shared import mix, text_bytes, word_hashes
+
+#: Units kept in a worker's memory; beyond that the memo begins anew.
+MEMO_UNITS = 2_000_000
+#: Kinds of units: a word at the start of a line or text, a word after a blank, a run of newlines, one at the end of a text.
+FIRST, LATER, LINES, LAST_LINES = range(4)
+_CLASS = np.full(256, 2, np.uint8)
+_CLASS[0x20], _CLASS[0x0A] = 0, 1
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _heads(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each unit as a number."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray((len(raw) + 1,), "<u8", padded.data, 0, (1,))[starts] & _MASK[np.minimum(ends - starts, 8)]
 
 
 class WordMemo:
@@ -17,8 +29,10 @@ class WordMemo:
 
     Byte-level BPE never merges across its pre-tokens, and a blank between two characters that
     are not white space always begins one; a run of newlines between such characters stands
-    alone, its last newline apart unless it ends the text. So a text can be cut there without
-    changing its ids. Texts with any other white space beside a cut go to the library whole.
+    alone, its last newline apart unless it ends the text. So a text can be cut there into units
+    without changing its ids. Texts with any other white space beside a cut go to the library whole.
+
+    Units are told apart by a 64-bit hash, and by their first eight bytes; a text in which these disagree goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -30,87 +44,113 @@ class WordMemo:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         names = [self.library.id_to_token(k) or "" for k in range(self.vocabulary)]
         #: Whether an id's text begins with a blank (byte-level BPE writes it as U+0120).
-        self.opens = np.array([n.startswith("\u0120") for n in names])
+        self.opens = np.array([n.startswith("Ġ") for n in names])
         self.newline = self.library.encode("\n", add_special_tokens=False).ids[0]
-        self.first: dict[str, bytes | None] = {}
-        self.later: dict[str, bytes | None] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Sorted unit keys with their heads, places in ``ids`` and counts; a count of -1 is for no word."""
+        self.keys, self.heads = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint32)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, np.uint32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str], gap: str) -> list[bytes]:
+    def _words(self, words: list[str], gap: str) -> list[np.ndarray]:
         """Ids of each word after a blank, or at the start of a line, from one call for all.
 
         After a blank a word begins where an id opens with a blank; after a newline, which is an
         id of its own, it begins with the next id.
         """
-        ids = np.asarray(self.library.encode("".join([gap + w for w in words]), add_special_tokens=False).ids, "<u4")
+        ids = np.asarray(self.library.encode("".join([gap + w for w in words]), add_special_tokens=False).ids, np.uint32)
         at = np.flatnonzero(self.opens[ids] if gap == " " else ids == self.newline)
         if len(at) != len(words):
-            return self._encode([gap.strip("\n") + w for w in words])
-        raw, skip = ids.tobytes(), 0 if gap == " " else 4
-        at = [*(4 * at).tolist(), 4 * len(ids)]
-        return [raw[a + skip : b] for a, b in zip(at, at[1:])]
-
-    def _learn(self, memo: dict, words: list[str], blank: str) -> None:
-        good = [w for w in words if w and w.strip() is w]
-        joined = " ".join(good)
-        if any(t in joined for t in self.special):
-            good = [w for w in good if not any(t in w for t in self.special)]
-        for k in range(0, len(good), 1024):
-            some = good[k : k + 1024]
-            memo.update(zip(some, self._encode_words(some, blank)))
-        if len(good) < len(words):
-            for w in words:
-                memo.setdefault(w, None)  # not a word: the text goes to the library whole
-
-    def _newlines(self, run: str, at_end: bool) -> bytes:
-        if run not in self.first:
-            single = self._encode(["\n"])[0]
-            whole = self._encode([run])[0]
-            self.first[run] = single if len(run) == 1 else self._encode([run[:-1]])[0] + single
-            self.later[run] = whole
-        return self.later[run] if at_end else self.first[run]
+            return self._whole([gap.strip("\n") + w for w in words])
+        skip, ends = int(gap != " "), np.append(at[1:], len(ids))
+        return [ids[a + skip : b] for a, b in zip(at.tolist(), ends.tolist())]
+
+    def _learn(self, keys: np.ndarray, heads: np.ndarray, kinds: np.ndarray, units: list[str]) -> None:
+        """Add new units (sorted by key)."""
+        found: list[np.ndarray | None] = [None] * len(units)
+        joined = "\n".join(units)
+        special = any(t in joined for t in self.special)
+        for kind, gap in ((FIRST, "\n"), (LATER, " ")):
+            good = [k for k in np.flatnonzero(kinds == kind).tolist() if (w := units[k]) and w.strip() is w and not (special and any(t in w for t in self.special))]
+            for k in range(0, len(good), 1024):
+                some = good[k : k + 1024]
+                for n, ids in zip(some, self._words([units[n] for n in some], gap)):
+                    found[n] = ids
+        for k in np.flatnonzero(kinds >= LINES).tolist():
+            run = units[k]
+            found[k] = np.concatenate(self._whole([run] if kinds[k] == LAST_LINES else [p for p in (run[:-1], "\n") if p]))
+        count = np.array([-1 if f is None else len(f) for f in found], np.int32)
+        size = np.maximum(count, 0).astype(np.int64)
+        at = len(self.ids) + np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
+        self.ids = np.concatenate([self.ids, *(f for f in found if f is not None)])
+        where = np.searchsorted(self.keys, keys)
+        self.keys, self.heads = np.insert(self.keys, where, keys), np.insert(self.heads, where, heads)
+        self.at, self.count = np.insert(self.at, where, at), np.insert(self.count, where, count)
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column, one after the other, and the n + 1 bounds; null is empty."""
+        raw, offsets = text_bytes(column)
+        n = len(offsets) - 1
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
+        if len(self.keys) > MEMO_UNITS:
+            self._forget()
+        kind = _CLASS[raw]
+        fresh = np.zeros(len(raw) + 1, bool)  # where a text begins or ends
+        fresh[offsets] = True
+        before = np.concatenate([[3], kind[:-1]])
+        begins = (kind > 0) & ((kind != before) | fresh[:-1])
+        finishes = np.empty(len(raw), bool)
+        finishes[:-1] = (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | fresh[1:-1])
+        finishes[-1] = kind[-1] > 0
+        starts, ends = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
+        # a blank at a text's or line's end or beside another, or a newline at a text's start: no cut is safe there
+        after = np.concatenate([kind[1:], [3]])
+        odd = np.flatnonzero(((kind == 0) & ((before < 2) | fresh[:-1] | (after < 2) | fresh[1:])) | ((kind == 1) & fresh[:-1]))
+        whole = np.zeros(n, bool)
+        whole[np.searchsorted(offsets, odd, "right") - 1] = True
+        kinds = np.where(kind[starts] == 1, np.where(fresh[ends], LAST_LINES, LINES), np.where((before[starts] == 0) & ~fresh[starts], LATER, FIRST))
+        keys = mix(word_hashes(raw, starts, ends) + kinds.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        heads = _heads(raw, starts, ends)
+        where = np.searchsorted(self.keys, unique)
+        new = np.flatnonzero(self.keys[np.minimum(where, len(self.keys) - 1)] != unique) if len(self.keys) else np.arange(len(unique))
+        if len(new):
+            at = first[new]
+            data = raw.tobytes()
+            units = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+            self._learn(unique[new], heads[at], kinds[at], units)
+            where = np.searchsorted(self.keys, unique)
+        entry = where[inverse]
+        count = self.count[entry]
+        row = np.searchsorted(offsets, starts, "right") - 1
+        whole[row[(count < 0) | (self.heads[entry] != heads)]] = True
+        count = np.where(whole[row], 0, count).astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(count)])
+        ids = self.ids[np.repeat(self.at[entry] - total[:-1], count) + np.arange(total[-1])]
+        bounds = total[np.searchsorted(starts, offsets)]
+        redo = np.flatnonzero(whole)
+        if not len(redo):
+            return ids, bounds
+        data = raw.tobytes()
+        again = self._whole([data[offsets[k] : offsets[k + 1]].decode("utf-8", "replace") for k in redo])
+        sizes = np.diff(bounds)
+        parts, done = [], 0
+        for k, found in zip(redo.tolist(), again):
+            parts += (ids[done : bounds[k]], found)
+            done, sizes[k] = bounds[k], len(found)
+        return np.concatenate([*parts, ids[done:]]), np.concatenate([[0], np.cumsum(sizes)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.first) + len(self.later) > MEMO_WORDS:
-            keep = MEMO_WORDS // 2
-            self.first = dict(list(self.first.items())[: keep // 4])
-            self.later = dict(list(self.later.items())[:keep])
-        cut = [[part if k % 2 else part.split(" ") for k, part in enumerate(_NEWLINES.split(t))] for t in texts]
-        first, later = set(), set()
-        for parts in cut:
-            for words in parts[::2]:
-                first.add(words[0])
-                later.update(words[1:])
-        self._learn(self.first, list(first - self.first.keys()), "\n")
-        self._learn(self.later, list(later - self.later.keys()), " ")
-        out: list[bytes | None] = []
-        whole: list[int] = []
-        begin, follow = self.first, self.later
-        for n, parts in enumerate(cut):
-            found: list[bytes | None] = []
-            last = len(parts) - 1
-            for k, part in enumerate(parts):
-                if k % 2:
-                    found.append(self._newlines(part, k == last - 1 and parts[last] == [""]))
-                elif part == [""] and k == last and k:
-                    continue
-                else:
-                    found.append(begin[part[0]])
-                    found.extend(map(follow.__getitem__, part[1:]))
-            if texts[n] == "":
-                out.append(b"")
-                continue
-            try:
-                out.append(b"".join(found))
-            except TypeError:  # a None among the words
-                out.append(None)
-                whole.append(n)
-        for n, ids in zip(whole, self._encode([texts[n] for n in whole])):
-            out[n] = ids
-        return out
+        ids, bounds = self.encode_column(pa.array(texts, pa.string()))
+        raw = ids.astype("<u4").tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
 
 
 _memos: dict[str, WordMemo] = {}
@@ -123,8 +163,8 @@ def memo(path: str) -> WordMemo:
     return _memos[path]
 
 
-def default_path() -> str:
-    """The byte-level BPE file of the public tokenizers package."""
+def default_path(name: str = "byte_bpe_50k.json") -> str:
+    """A byte-level BPE file of the public tokenizers package."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)

@@ -85,10 +85,34 @@ def test_shards_round_trip_and_lookup(spark, tmp_path):
     for (i, ids), row in zip(want, got, strict=True):
         assert row == (i, start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()))
         start += len(ids)
-    assert len(sstable.lookup(spark, manifest, 6)) == 2 and sstable.lookup(spark, manifest, 99) == []
+    found = sstable.lookup(manifest, [6, 99, None, -5])
+    assert len(found[6]) == 2 and len(found[None]) == 1 and found[99] == found[-5] == []
     assert sstable.tokens_table(empty(spark)).count() == 0
 
 
+def test_lookup_opens_only_the_shards_of_a_key(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(3 * i, f"text {i}") for i in range(400)], "doc_id long, text string")
+    manifest = sstable.write_shards(docs.repartition(4), str(tmp_path / "s"))
+    assert manifest.count() > 1
+    opened, plain = [], sstable.open_shard
+    monkeypatch.setattr(sstable, "open_shard", lambda path: opened.append(path) or plain(path))
+    found = sstable.lookup(manifest, [0, 3, 1197, 600, 601])
+    assert all(len(found[i]) == 1 for i in (0, 3, 1197, 600)) and found[601] == [] and len(opened) <= 3
+    opened.clear()
+    assert len(sstable.lookup(manifest, [0])[0]) == 1 and len(opened) == 1
+
+
+def test_memo_of_few_units_and_rows_of_slices(monkeypatch):
+    from millrace.llm import tokenize
+
+    monkeypatch.setattr(tokenize, "MEMO_UNITS", 20)
+    m, rng = tokenize.WordMemo(default_path()), random.Random(9)
+    for _ in range(30):
+        texts = [None if rng.random() < 0.1 else rng.choice([" ", "\n"]).join(f"w{rng.randrange(60)}" for _ in range(rng.randint(0, 9))) for _ in range(12)]
+        ids, bounds = m.encode_column(pa.array(["skip", *texts], pa.string())[1:])
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [m.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_shard_blocks_are_searched(tmp_path):
     path = str(tmp_path / "x.sst")
     with pa.OSFile(path, "wb") as f:
