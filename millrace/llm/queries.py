@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, html, jaccard, langid, mixing, quality, rollup, secrets, sstable, suffixes
-from millrace.llm.shared import fresh_path, stored, table
+from millrace.llm.components import join_checked
+from millrace.llm.shared import cut, fresh_path, stored, table
 
 
 def op1_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,17 +56,15 @@ def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token totals of all documents by source, language and tokenizer version, kept by deltas.
 
     Batches: all documents under both versions; documents labelled toxic go; those labelled as
-    poor are counted anew under the first version; then the first batch once more, which the
-    rollup knows and leaves out.
+    poor lose their SYMBOLS and are counted anew; then the first batch once more, which the rollup knows and leaves out.
     """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    known = stored(rollup.counted(docs, rollup.TOKENIZERS, again=rollup.RECOUNT), "token-counts")
-    marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"), F.min("quality").alias("_quality"))
-    gone = known.join(marks.filter("_toxic = 1"), "doc_id")
-    poor = marks.filter("_quality = 0 and coalesce(_toxic, 0) <> 1").select("doc_id")
-    revised = known.filter(F.col("tokenizer") == "words-1").join(poor, "doc_id")
+    marks = cut(labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"), F.min("quality").alias("_quality")))
+    poor = F.when((F.col("_quality") == 0) & (F.coalesce("_toxic", F.lit(0)) != 1), F.regexp_replace("text", rollup.SYMBOLS, ""))
+    known = stored(rollup.counted(join_checked(docs, marks, "doc_id", "left").withColumn("_again", poor), rollup.versions(), again="_again"), "token-counts")
+    gone = join_checked(known, cut(marks.filter("_toxic = 1").select("doc_id")), "doc_id")
     kept = rollup.Rollup(spark, fresh_path(spark, "rollup"))
-    for name, change in (("load", rollup.inserts(known)), ("takedown", rollup.deletes(gone)), ("recount", rollup.revisions(revised, "n_again")), ("load", rollup.inserts(known))):
+    for name, change in (("load", rollup.inserts(known)), ("takedown", rollup.deletes(gone)), ("recount", rollup.revisions(known.filter("n_again is not null"), "n_again", "chars_again")), ("load", rollup.inserts(known))):
         kept.commit(name, change)
     return kept.totals()
 
@@ -76,27 +75,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.transform("spans", lambda s: F.array(s["first"], s["last"])).alias("spans"), "n_repeated", "n_words")
 
 
-OP9_SQL = r"""
-WITH marks AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
-kept AS (
-  SELECT d.source, d.lang, coalesce(length(d.text), 0) AS chars, coalesce(m.quality, 1) AS quality,
-         coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0) AS words,
-         coalesce(len(regexp_extract_all(d.text, '[0-9A-Za-z]+')), 0) AS alnum,
-         coalesce(len(regexp_extract_all(d.text, '[A-Za-z]+')), 0) AS letters
-  FROM documents d LEFT JOIN marks m ON d.doc_id = m.doc_id WHERE coalesce(m.toxic, 0) <> 1),
-each AS (
-  SELECT source, lang, 'words-1' AS tokenizer, CASE WHEN quality = 0 THEN letters ELSE words END AS tokens, chars FROM kept
-  UNION ALL SELECT source, lang, 'alnum-2', alnum, chars FROM kept)
-SELECT source, lang, tokenizer, count(*)::BIGINT AS n_docs, sum(tokens)::BIGINT AS n_tokens, sum(chars)::BIGINT AS n_chars
-FROM each GROUP BY source, lang, tokenizer
-"""
-
-
 def queries() -> dict:
     """Name to callable."""
     return {f.__name__: f for f in (op1_sstable_tokens, op2_secret_scan, op3_jaccard_join, op4_language_id, op5_html_extraction, op6_mix_sources, op7_quality_rules, op8_benchmark_leaks, op9_token_rollups, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict:
-    """Name to DuckDB SQL."""
-    return {"op9_token_rollups": OP9_SQL}
+    """Name to DuckDB SQL: none, all ten need tokenizers, learned models or joins that SQL has no terms for."""
+    return {}

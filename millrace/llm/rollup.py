@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.shared import WORD_PATTERN
+from millrace.llm.shared import slices
+from millrace.llm.tokenize import Units, default_path, memo
 
 #: What totals are kept by, and what is added up.
 KEYS = ("source", "lang", "tokenizer")
@@ -19,20 +24,33 @@ _SCHEMA = T.StructType([*(T.StructField(k, T.StringType()) for k in KEYS), *(T.S
 
 
 def counted(docs: DataFrame, tokenizers: dict[str, str], text: str = "text", again: str | None = None) -> DataFrame:
-    """A row per document and tokenizer version: doc_id, KEYS, n_tokens, n_chars.
+    """A row per document row and tokenizer version: doc_id, KEYS, n_tokens, n_chars.
 
-    With a pattern ``again``, each row also has n_again, the count of the same text by it.
-
-    ``tokenizers`` maps a version to the pattern of its tokens. Null text has no tokens and no
-    characters; null source or lang are groups of their own. The text is read once.
+    ``tokenizers`` maps a version to the file of its vocabulary; tokens are those of the whole text by
+    it. With a column ``again`` each row also has n_again and chars_again, the counts of the text there, null
+    where it is null. Null text has no tokens and no characters; null source or lang are groups
+    of their own; rows that repeat an id are counted each. The text is read and cut once for all versions.
     """
-    c = F.col(text)
-    count = lambda pattern: F.coalesce(F.regexp_count(c, F.lit(pattern)), F.lit(0)).cast("long")
-    each = F.array(*[F.struct(F.lit(v).alias("tokenizer"), count(p).alias("n_tokens")) for v, p in tokenizers.items()])
-    extra = [] if again is None else [count(again).alias("n_again")]
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.length(c), F.lit(0)).cast("long").alias("n_chars"), each.alias("_each"), *extra)
-    names = ["n_again"] * len(extra)
-    return rows.select("doc_id", "source", "lang", "n_chars", *names, F.inline("_each")).select("doc_id", *KEYS, "n_tokens", "n_chars", *names)
+    names = ["doc_id", "source", "lang"]
+    schema = "doc_id long, source string, lang string, tokenizer string, n_tokens long, n_chars long"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            old, chars = Units.of(part.column("text")), pc.fill_null(pc.utf8_length(part.column("text")), 0).cast(pa.int64())
+            if again:
+                new, new_chars = Units.of(part.column("again")), pc.utf8_length(part.column("again")).cast(pa.int64())
+                missing = np.asarray(part.column("again").is_null())
+            for version, path in tokenizers.items():
+                encoder = memo(path)
+                columns = [*(part.column(c) for c in names), pa.array([version] * part.num_rows), pa.array(encoder.count_ids(old)), chars]
+                if again:
+                    columns += [pa.array(encoder.count_ids(new), mask=missing), new_chars]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "tokenizer", "n_tokens", "n_chars", "n_again", "chars_again"][: len(columns)])
+
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("source", "lang")), F.col(text).cast("string").alias("text")]
+    if again:
+        columns.append(F.col(again).cast("string").alias("again"))
+    return docs.select(*columns).mapInArrow(count, schema + (", n_again long, chars_again long" if again else ""))
 
 
 def _signed(rows: DataFrame, sign: int, tokens: Column | str = "n_tokens", chars: Column | str = "n_chars", docs: int | None = None) -> DataFrame:
@@ -61,7 +79,7 @@ class Rollup:
     A batch is committed by writing the sums of its changes to a folder of its own name; Spark's
     job commit puts the success mark last, so a batch counts wholly or not at all, and a batch
     whose mark is there is not written again: commits may be repeated after any failure.
-    Measures are additive, so batches may come in any order. ``compact`` folds all batches into
+    Measures are additive, so batches may come in any order, deletes before the inserts that they undo too. ``compact`` folds all batches into
     one snapshot that lists their names; a batch in a snapshot stays committed.
     """
 
@@ -104,15 +122,20 @@ class Rollup:
         sums.coalesce(8).write.mode("overwrite").parquet(f"{self.folder}/batches/{batch}")
         return True
 
-    def totals(self) -> DataFrame:
-        """KEYS and MEASURES over all committed batches; groups without documents are left out."""
+    def _sums(self) -> DataFrame | None:
+        """KEYS and MEASURES over all committed batches, whatever their signs; None without any."""
         snapshot, members = self._snapshot()
         paths = [f"{self.folder}/batches/{b}" for b in self._children("batches") if b not in members]
         paths += [f"{self.folder}/snapshots/{snapshot}"] if snapshot else []
         if not paths:
-            return self.spark.createDataFrame([], _SCHEMA)
+            return None
         rows = self.spark.read.schema(_SCHEMA).parquet(*paths)
-        return rows.groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES]).filter("n_docs > 0")
+        return rows.groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES])
+
+    def totals(self) -> DataFrame:
+        """KEYS and MEASURES over all committed batches; groups without documents are left out."""
+        sums = self._sums()
+        return self.spark.createDataFrame([], _SCHEMA) if sums is None else sums.filter("n_docs > 0")
 
     def compact(self) -> str | None:
         """Fold all batches into a new snapshot; its name, or None if nothing is committed."""
@@ -122,11 +145,15 @@ class Rollup:
         old = self._children("snapshots")
         name = f"{len(old):08d}-{uuid.uuid4().hex[:8]}"
         self.spark.createDataFrame([(json.dumps(members),)], "value string").coalesce(1).write.text(f"{self.folder}/members/{name}")
-        rows = self.totals()
+        rows = self._sums().filter(" or ".join(f"{m} <> 0" for m in MEASURES))
         rows.coalesce(8).write.parquet(f"{self.folder}/snapshots/{name}")
         return name
 
 
-#: Token patterns of the query's two tokenizer versions, and of the recount of poor documents.
-TOKENIZERS = {"words-1": WORD_PATTERN, "alnum-2": "[0-9A-Za-z]+"}
-RECOUNT = "[A-Za-z]+"
+def versions() -> dict[str, str]:
+    """The query's two tokenizer versions, and the files of their vocabularies."""
+    return {"byte-50k": default_path(), "multi-50k": default_path("byte_bpe_multi_50k.tiktoken")}
+
+
+#: Characters that a document labelled as poor loses before it is counted anew.
+SYMBOLS = "[#*$%&|<>]+"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import os
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,79 @@ def _heads(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.ndarray((len(raw) + 1,), "<u8", padded.data, 0, (1,))[starts] & _MASK[np.minimum(ends - starts, 8)]
 
 
+@dataclass
+class Units:
+    """A slice of texts cut at blanks and newline runs; ``whole`` are the texts in which no cut is safe."""
+
+    raw: np.ndarray
+    offsets: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    kinds: np.ndarray
+    heads: np.ndarray
+    unique: np.ndarray
+    first: np.ndarray
+    inverse: np.ndarray
+    row: np.ndarray
+    whole: np.ndarray
+
+    @classmethod
+    def of(cls, column: pa.Array) -> "Units":
+        raw, offsets = text_bytes(column)
+        n = len(offsets) - 1
+        kind = _CLASS[raw]
+        fresh = np.zeros(len(raw) + 1, bool)  # where a text begins or ends
+        fresh[offsets] = True
+        before, after = np.concatenate([[3], kind[:-1]])[: len(raw)], np.concatenate([kind[1:], [3]])[: len(raw)]
+        starts = np.flatnonzero((kind > 0) & ((kind != before) | fresh[:-1]))
+        ends = np.flatnonzero((kind > 0) & ((kind != after) | fresh[1:])) + 1
+        # a blank at a text's or line's end or beside another, or a newline at a text's start: no cut is safe there
+        odd = np.flatnonzero(((kind == 0) & ((before < 2) | fresh[:-1] | (after < 2) | fresh[1:])) | ((kind == 1) & fresh[:-1]))
+        whole = np.zeros(n, bool)
+        whole[np.searchsorted(offsets, odd, "right") - 1] = True
+        kinds = np.where(kind[starts] == 1, np.where(fresh[ends], LAST_LINES, LINES), np.where((before[starts] == 0) & ~fresh[starts], LATER, FIRST))
+        keys = mix(word_hashes(raw, starts, ends) + kinds.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        return cls(raw, offsets, starts, ends, kinds, _heads(raw, starts, ends), unique, first, inverse, np.searchsorted(offsets, starts, "right") - 1, whole)
+
+    def texts(self, rows: np.ndarray) -> list[str]:
+        data = self.raw.tobytes() if len(rows) else b""
+        return [data[self.offsets[k] : self.offsets[k + 1]].decode("utf-8", "replace") for k in rows]
+
+
+class _Ranks:
+    """A rank file behind the calls of the tokenizers library that the memo makes; texts hold no special tokens."""
+
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.opens = np.zeros(max(ranks.values()) + 1, bool)
+        self.opens[[n for token, n in ranks.items() if token.startswith(b" ")]] = True
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [self.own.encode_ordinary(t) for t in texts]
+
+
+class _Library:
+    """A file of the tokenizers library."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.own = Tokenizer.from_file(path)
+        names = [self.own.id_to_token(k) or "" for k in range(self.own.get_vocab_size(with_added_tokens=True))]
+        #: Whether an id's text begins with a blank (byte-level BPE writes it as U+0120).
+        self.opens = np.array([n.startswith("\u0120") for n in names])
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.own.encode_batch(texts, add_special_tokens=False)]
+
+
 class WordMemo:
     """Encodes whole texts; equal words are given to the library once.
 
@@ -36,16 +111,11 @@ class WordMemo:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        names = [self.library.id_to_token(k) or "" for k in range(self.vocabulary)]
-        #: Whether an id's text begins with a blank (byte-level BPE writes it as U+0120).
-        self.opens = np.array([n.startswith("Ġ") for n in names])
-        self.newline = self.library.encode("\n", add_special_tokens=False).ids[0]
+        backend = _Ranks(path) if path.endswith(".tiktoken") else _Library(path)
+        self.library, self.opens, self._ids = backend.own, backend.opens, backend.ids
+        self.vocabulary = len(self.opens)
+        self.special = [] if path.endswith(".tiktoken") else [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.newline = self._ids(["\n"])[0][0]
         self._forget()
 
     def _forget(self) -> None:
@@ -55,7 +125,7 @@ class WordMemo:
         self.ids = np.zeros(0, np.uint32)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, np.uint32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.asarray(ids, np.uint32) for ids in self._ids(texts)]
 
     def _words(self, words: list[str], gap: str) -> list[np.ndarray]:
         """Ids of each word after a blank, or at the start of a line, from one call for all.
@@ -63,7 +133,7 @@ class WordMemo:
         After a blank a word begins where an id opens with a blank; after a newline, which is an
         id of its own, it begins with the next id.
         """
-        ids = np.asarray(self.library.encode("".join([gap + w for w in words]), add_special_tokens=False).ids, np.uint32)
+        ids = np.asarray(self._ids(["".join([gap + w for w in words])])[0], np.uint32)
         at = np.flatnonzero(self.opens[ids] if gap == " " else ids == self.newline)
         if len(at) != len(words):
             return self._whole([gap.strip("\n") + w for w in words])
@@ -92,56 +162,43 @@ class WordMemo:
         self.keys, self.heads = np.insert(self.keys, where, keys), np.insert(self.heads, where, heads)
         self.at, self.count = np.insert(self.at, where, at), np.insert(self.count, where, count)
 
-    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts of a column, one after the other, and the n + 1 bounds; null is empty."""
-        raw, offsets = text_bytes(column)
-        n = len(offsets) - 1
-        if not len(raw):
-            return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
+    def _entries(self, units: Units) -> tuple[np.ndarray, np.ndarray]:
+        """The memo's entry of each unit, and the rows that go to the library whole."""
         if len(self.keys) > MEMO_UNITS:
             self._forget()
-        kind = _CLASS[raw]
-        fresh = np.zeros(len(raw) + 1, bool)  # where a text begins or ends
-        fresh[offsets] = True
-        before = np.concatenate([[3], kind[:-1]])
-        begins = (kind > 0) & ((kind != before) | fresh[:-1])
-        finishes = np.empty(len(raw), bool)
-        finishes[:-1] = (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | fresh[1:-1])
-        finishes[-1] = kind[-1] > 0
-        starts, ends = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
-        # a blank at a text's or line's end or beside another, or a newline at a text's start: no cut is safe there
-        after = np.concatenate([kind[1:], [3]])
-        odd = np.flatnonzero(((kind == 0) & ((before < 2) | fresh[:-1] | (after < 2) | fresh[1:])) | ((kind == 1) & fresh[:-1]))
-        whole = np.zeros(n, bool)
-        whole[np.searchsorted(offsets, odd, "right") - 1] = True
-        kinds = np.where(kind[starts] == 1, np.where(fresh[ends], LAST_LINES, LINES), np.where((before[starts] == 0) & ~fresh[starts], LATER, FIRST))
-        keys = mix(word_hashes(raw, starts, ends) + kinds.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        heads = _heads(raw, starts, ends)
-        where = np.searchsorted(self.keys, unique)
-        new = np.flatnonzero(self.keys[np.minimum(where, len(self.keys) - 1)] != unique) if len(self.keys) else np.arange(len(unique))
+        where = np.searchsorted(self.keys, units.unique)
+        new = np.flatnonzero(self.keys[np.minimum(where, len(self.keys) - 1)] != units.unique) if len(self.keys) else np.arange(len(units.unique))
         if len(new):
-            at = first[new]
-            data = raw.tobytes()
-            units = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-            self._learn(unique[new], heads[at], kinds[at], units)
-            where = np.searchsorted(self.keys, unique)
-        entry = where[inverse]
-        count = self.count[entry]
-        row = np.searchsorted(offsets, starts, "right") - 1
-        whole[row[(count < 0) | (self.heads[entry] != heads)]] = True
-        count = np.where(whole[row], 0, count).astype(np.int64)
+            at, data = units.first[new], units.raw.tobytes()
+            words = [data[a:b].decode("utf-8", "replace") for a, b in zip(units.starts[at].tolist(), units.ends[at].tolist())]
+            self._learn(units.unique[new], units.heads[at], units.kinds[at], words)
+            where = np.searchsorted(self.keys, units.unique)
+        entry, whole = where[units.inverse], units.whole.copy()
+        whole[units.row[(self.count[entry] < 0) | (self.heads[entry] != units.heads)]] = True
+        return entry, whole
+
+    def count_ids(self, units: Units) -> np.ndarray:
+        """The number of ids of each text."""
+        entry, whole = self._entries(units)
+        total = np.concatenate([[0], np.cumsum(self.count[entry].astype(np.int64))])
+        at = np.searchsorted(units.starts, units.offsets)
+        out, redo = total[at[1:]] - total[at[:-1]], np.flatnonzero(whole)
+        out[redo] = [len(ids) for ids in self._ids(units.texts(redo))]
+        return out
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column, one after the other, and the n + 1 bounds; null is empty."""
+        units = Units.of(column)
+        entry, whole = self._entries(units)
+        count = np.where(whole[units.row], 0, self.count[entry]).astype(np.int64)
         total = np.concatenate([[0], np.cumsum(count)])
         ids = self.ids[np.repeat(self.at[entry] - total[:-1], count) + np.arange(total[-1])]
-        bounds = total[np.searchsorted(starts, offsets)]
+        bounds = total[np.searchsorted(units.starts, units.offsets)]
         redo = np.flatnonzero(whole)
         if not len(redo):
             return ids, bounds
-        data = raw.tobytes()
-        again = self._whole([data[offsets[k] : offsets[k + 1]].decode("utf-8", "replace") for k in redo])
-        sizes = np.diff(bounds)
-        parts, done = [], 0
-        for k, found in zip(redo.tolist(), again):
+        sizes, parts, done = np.diff(bounds), [], 0
+        for k, found in zip(redo.tolist(), self._whole(units.texts(redo))):
             parts += (ids[done : bounds[k]], found)
             done, sizes[k] = bounds[k], len(found)
         return np.concatenate([*parts, ids[done:]]), np.concatenate([[0], np.cumsum(sizes)])
