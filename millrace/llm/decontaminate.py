@@ -11,7 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import slices, text_bytes
+from millrace.llm.components import join_checked
+from millrace.llm.shared import cut, slices, text_bytes
 
 #: Length of a gram in bytes of normal form; eight fit one machine word.
 Q = 8
@@ -68,13 +69,23 @@ class Items:
     item: np.ndarray
     at: np.ndarray
     seen: np.ndarray
+    #: Items too short for a gram: for each length with its closing blank, sorted codes and their ids.
+    short: dict[int, tuple[np.ndarray, list]]
 
     @classmethod
     def of(cls, rows: list[tuple]) -> "Items":
-        """From (item id, text) pairs; items with less than Q bytes of normal form are left out."""
+        """From (item id, text) pairs; items without letters and digits are in no document.
+
+        Items with less than Q bytes of normal form have no gram; they are found exactly, as whole words.
+        """
         if rows:
             flat, offsets = normal_form(pa.array([r[1] for r in rows], pa.string()))
         pairs = [(r[0], bytes(flat[offsets[k] : offsets[k + 1]]).strip()) for k, r in enumerate(rows)]
+        short: dict[int, list] = {}
+        for i, t in pairs:
+            if 0 < len(t) < Q:
+                short.setdefault(len(t) + 1, []).append((int.from_bytes(t + b" ", "little"), i))
+        short = {n: (np.array([c for c, _ in sorted(found, key=lambda f: f[0])], np.uint64), [i for _, i in sorted(found, key=lambda f: f[0])]) for n, found in short.items()}
         pairs = [(i, t) for i, t in pairs if len(t) >= Q]
         budget = np.array([edit_budget(len(t)) for _, t in pairs], np.int64)
         length = np.array([len(t) for _, t in pairs], np.int64)
@@ -99,7 +110,7 @@ class Items:
         first = np.concatenate([[0], np.cumsum(times[use])])
         seen = np.zeros(1 << _TABLE_BITS, bool)
         seen[_slot(unique[use])] = True
-        return cls([i for i, _ in pairs], [t for _, t in pairs], budget, least, unique[use], first, item[kept], at[kept], seen)
+        return cls([i for i, _ in pairs], [t for _, t in pairs], budget, least, unique[use], first, item[kept], at[kept], seen, short)
 
 
 def _grams(raw: np.ndarray) -> np.ndarray:
@@ -145,10 +156,28 @@ def banded_distance(item: bytes, region: bytes, budget: int) -> tuple[int, int]
     return (int(row[k]), low + k) if row[k] <= budget else None
 
 
-def find(items: Items, flat: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
-    """(row, item number, edits) for each row of normal-form texts and item found in it."""
-    if not len(items.codes) or len(flat) < Q:
+def find_short(items: Items, flat: np.ndarray, offsets: np.ndarray) -> list[tuple[int, object, int]]:
+    """(row, item id, 0) for each row of normal-form texts and item of less than Q bytes that is in it as whole words."""
+    if not items.short or not len(flat):
         return []
+    starts = np.flatnonzero((flat[1:] != 32) & (flat[:-1] == 32)) + 1
+    padded = np.concatenate([flat, np.zeros(Q, np.uint8)])
+    codes = np.ndarray((len(flat) + 1,), "<u8", padded.data, 0, (1,))[starts]
+    found = set()
+    for n, (known, ids) in items.short.items():
+        own = codes & np.uint64((1 << 8 * n) - 1)
+        low, high = np.searchsorted(known, own), np.searchsorted(known, own, "right")
+        for k in np.flatnonzero(high > low).tolist():
+            row = int(np.searchsorted(offsets, starts[k], "right")) - 1
+            found.update((row, ids[j], 0) for j in range(low[k], high[k]))
+    return list(found)
+
+
+def find(items: Items, flat: np.ndarray, offsets: np.ndarray) -> list[tuple[int, object, int]]:
+    """(row, item id, edits) for each row of normal-form texts and item found in it."""
+    exact = find_short(items, flat, offsets)
+    if not len(items.codes) or len(flat) < Q:
+        return exact
     codes = _grams(flat)
     where = np.flatnonzero(items.seen[_slot(codes)])
     k = np.minimum(np.searchsorted(items.codes, codes[where]), len(items.codes) - 1)
@@ -158,7 +187,7 @@ def find(items: Items, flat: np.ndarray, offsets: np.ndarray) -> list[tuple[int,
     entry = np.repeat(items.first[k] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
     item, diagonal = items.item[entry], np.repeat(where, times) - items.at[entry]
     # bands begin at each multiple of budget + 1 and are twice as wide: any spread of e diagonals is inside one
-    shift = 1 << 20  # diagonals may be below 0
+    shift = max(map(len, items.texts)) + Q  # diagonals may be below 0
     band = (diagonal + shift) // (items.budget + 1)[item]
     span = len(flat) + 2 * shift + 2
     keys = np.sort(item * span + band)
@@ -182,52 +211,55 @@ def find(items: Items, flat: np.ndarray, offsets: np.ndarray) -> list[tuple[int,
             edits = 0 if text in region else (banded_distance(text, region, e) or (None,))[0]
             if edits is not None and edits < found.get((row, i), e + 1):
                 found[row, i] = edits
-    return [(row, i, edits) for (row, i), edits in found.items()]
+    return exact + [(row, items.ids[i], edits) for (row, i), edits in found.items()]
+
+
+def _parts(benchmark: DataFrame, part_chars: int) -> Iterator[Items]:
+    """The distinct texts of the benchmark in parts of about ``part_chars`` characters; their ids are hashes of the text.
+
+    The driver holds one part at a time, and a text once, however many items have it.
+    """
+    known = cut(benchmark.select(F.col("text").cast("string").alias("text")).filter("text is not null").distinct())
+    parts = int((known.agg(F.sum(F.length("text"))).first()[0] or 0) // part_chars) + 1
+    for part in range(parts):
+        yield Items.of([tuple(r) for r in known.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).select(F.xxhash64("text"), "text").collect()])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     """doc_id, item_id and least edits for each document that holds a benchmark item.
 
     An item is held if some substring of the document's normal form is within ``edit_budget``
-    edits of the item's. The benchmark is measured first and sent out in parts of about
+    edits of the item's; an item of less than Q bytes if it is there as whole words. The benchmark is measured first and sent out in parts of about
     ``part_chars`` characters, one pass over the documents for each part, whatever its size.
-    Null and empty texts hold nothing; repeated rows of a document count once; a null doc_id is kept.
+    Null and empty texts hold nothing and are held by none; repeated rows of a document count once; a null doc_id is kept, and so is a null item_id.
     """
     spark = docs.sparkSession
-    known = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("text is not null")
-    total = known.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = int(total // part_chars) + 1
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kind = dict(known.dtypes)["item_id"]
-    schema = f"doc_id long, item_id {kind}, edits int"
-    out = spark.createDataFrame([], schema)
-    for part in range(parts):
-        rows = known.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).distinct().collect()
-        items = Items.of([tuple(r) for r in rows])
+    schema, out = "doc_id long, key long, edits int", None
+    for items in _parts(benchmark, part_chars):
         shared = spark.sparkContext.broadcast(items)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
             for piece in slices(batches):
-                hits = find(items, *normal_form(piece.column("text")))
+                hits = find(shared.value, *normal_form(piece.column("text")))
                 if hits:
-                    ids = piece.column("doc_id")
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array([h[0] for h in hits])), pa.array([items.ids[h[1]] for h in hits]), pa.array([h[2] for h in hits], pa.int32())], names=["doc_id", "item_id", "edits"])
+                    yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array([h[0] for h in hits])), pa.array([h[1] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.int32())], names=["doc_id", "key", "edits"])
+
+        found = source.mapInArrow(search, schema)
+        out = found if out is None else out.unionByName(found)
+    least = out.groupBy("doc_id", "key").agg(F.min("edits").alias("edits"))
+    ids = cut(benchmark.filter("text is not null").select("item_id", F.xxhash64(F.col("text").cast("string")).alias("key")).distinct())
+    return join_checked(least, ids, "key").groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
-        out = out.unionByName(source.mapInArrow(search, schema)) if part else source.mapInArrow(search, schema)
-    return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
+def clean(docs: DataFrame, benchmark: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """The documents that hold no benchmark item (see ``leaks``); columns are kept.
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item; columns are kept."""
+    Null and empty texts hold none and stay, each of repeated rows fares alike, and an empty benchmark takes none away.
+    """
     schema, names = docs.schema, docs.columns
-    spark = docs.sparkSession
-    known = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("text is not null")
-    total = known.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = int(total // PART_CHARS) + 1
-    for part in range(parts):
-        rows = known.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).distinct().collect()
-        shared = spark.sparkContext.broadcast(Items.of([tuple(r) for r in rows]))
+    for items in _parts(benchmark, part_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for piece in slices(batches):

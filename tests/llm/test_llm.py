@@ -517,17 +517,57 @@ def test_leaks_with_edits_and_clean_documents(spark):
     assert decontaminate.leaks(empty(spark), bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+def plain_distance(a, b):
+    """Least edits that turn ``a`` into a substring of ``b``."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [row[0] + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_leaks_equal_alignment_of_all_pairs(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice(["alpha", "beta", "gam", "de", "epsilon", "zeta9", "é", "theta"])
+    items = [(i, " ".join(word() for _ in range(rng.randint(1, 12)))) for i in range(25)] + [(30, "pi is 3"), (31, "PI is"), (32, "--"), (33, "pi is 3"), (None, "gam de")]
+    docs = []
+    for i in range(60):
+        body = " ".join(word() for _ in range(rng.randint(0, 40)))
+        if i % 2:
+            own = list(rng.choice(items)[1])
+            for _ in range(rng.randint(0, 3)):
+                own[rng.randrange(len(own))] = rng.choice(["x", "", "yy"])
+            body += " " + "".join(own) + ". " + body[:30]
+        docs.append((i, body))
+    docs += [(70, "so Pi, is 3!"), (71, "spi is 33"), (72, None), (72, "pi is 3"), (72, "pi is 3")]
+    norm = lambda t: bytes(decontaminate.normal_form(pa.array([t]))[0])
+    want = {}
+    for i, t in docs:
+        for j, u in items:
+            item, text = norm(u).strip(), norm(t or "")
+            edits = plain_distance(item, text) if len(item) >= decontaminate.Q else 0 if item and b" " + item + b" " in text else 99
+            if edits <= decontaminate.edit_budget(len(item)):
+                want[i, j] = min(edits, want.get((i, j), 99))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.leaks(df, bench).collect()} == want
+    held = {i for i, _ in want}
+    assert sorted(r["doc_id"] for r in decontaminate.clean(df, bench).collect()) == sorted(i for i, t in docs if i not in held or t is None)
+
+
+def test_leaks_in_very_long_texts(spark):
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300_000))
+    item = long[1_000_000 : 1_000_000 + 1_100_000]
+    df = spark.createDataFrame([(1, long), (2, "short " + item[5000:5200]), (3, long[:900_000])], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, item[5000:5100])], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, bench).collect()} == {(1, 1), (1, 2), (2, 2)}
+
+
 def test_banded_distance_equals_plain():
     rng = random.Random(7)
-
-    def plain(a, b):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            new = [row[0] + 1]
-            for j, y in enumerate(b):
-                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
-            row = new
-        return min(row)
+    plain = plain_distance
 
     for _ in range(200):
         a, b = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 14))), bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 24)))
