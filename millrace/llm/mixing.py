@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,85 +17,89 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 #: No source, and no document, is used more often than this.
 MOST = 2.0
-#: Rows of one flight; a group larger than this is dealt to several flights.
+#: Rows of one flight, about; a group larger than this is dealt to several flights.
 BLOCK = 512
-#: How many flights' leftovers meet in the next one (two documents each at most).
-FAN_IN = 128
+#: Rows that a flight leaves out at its end, for the landing to choose among (two more may stay open).
+SPARE = 12
+#: How many flights' leftovers meet in the next one.
+FAN_IN = 32
 _EPS = 1e-9
 
 
+def _ranked(per: DataFrame) -> DataFrame:
+    """``per`` with the place of its ``source`` in code-point order, null last; sorted in ranges, no task has all."""
+    ranges = cut(per.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("_part", F.spark_partition_id()))
+    sizes, before, starts = sorted(map(tuple, ranges.groupBy("_part").count().collect())), 0, []
+    for part, n in sizes:
+        starts.append((part, before))
+        before += n
+    first = per.sparkSession.createDataFrame(starts, "_part int, _before long")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("source").asc_nulls_last())) - 1
+    return ranges.join(F.broadcast(first), "_part").withColumn("_rank", F.col("_before") + own).drop("_part", "_before")  # a row a task
+
+
 def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """Per source: its size, row count and target, by water filling.
 
     Sources in code-point order, null last, get the weights in turn and split ``share`` of all
-    words in proportion, up to ``most`` times their own words; what is above goes to the others.
-    Targets are ``min(most * size, level * weight)`` with one level for all, found from running
-    sums in the order in which sources reach their bound. The table has a row per source.
+    words in proportion, up to ``most`` times their own words; what is above goes to the others by weight,
+    until none is above. Targets are ``min(most * size, level * weight)`` with one level for all,
+    which rises round by round as sources reach their bound. The table has a row per source; a round sends one row to the driver.
     """
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
-    ranked = per.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    ranked = ranked.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int")))
-    ranked = ranked.withColumn("_bound", F.col("source_size") * F.lit(float(most))).withColumn("_at", F.col("_bound") / F.col("_w"))
-    order = Window.orderBy("_at", "_rank")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    total = F.least(F.lit(float(share)), F.lit(float(most))) * F.sum("source_size").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    level = (total - F.coalesce(F.sum("_bound").over(before), F.lit(0.0))) / F.sum("_w").over(after)
-    levelled = ranked.withColumn("_level", level).withColumn("_first", F.when(F.col("_level") <= F.col("_at"), F.struct("_at", "_rank", "_level")))
-    found = F.min("_first").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))["_level"]
-    target = F.least(F.col("_bound"), F.coalesce(found, F.lit(float("inf"))) * F.col("_w"))
-    return levelled.select("source", "source_size", "source_rows", target.cast("double").alias("target"))
-
-
-def _step(pi: np.ndarray, rows: np.ndarray, balance: np.ndarray, u: float) -> None:
-    """Move the probabilities of p + 1 rows along a null vector of their p constraints, in place."""
-    a = balance[:, rows]
-    _, s, vt = np.linalg.svd(a)
-    v = vt[-1]
-    v = v * np.sign(v[np.argmax(np.abs(v))])
-    x = pi[rows]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        up = np.where(v > _EPS, (1 - x) / v, np.where(v < -_EPS, -x / v, np.inf)).min()
-        down = np.where(v > _EPS, x / v, np.where(v < -_EPS, (x - 1) / v, np.inf)).min()
-    moved = x + v * up if u * (up + down) < down else x - v * down
-    moved[moved < _EPS] = 0.0
-    moved[moved > 1 - _EPS] = 1.0
-    pi[rows] = moved
-
-
-def flight(pi: np.ndarray, size: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Cube-method flight: probabilities become 0 or 1 but for two rows at most.
-
-    The sums of ``pi`` and of ``pi * size`` do not change; the expectation of each entry is its
+    per = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("source_rows"))
+    ranked = _ranked(cut(per)).withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int")))
+    ranked = cut(ranked.withColumn("_bound", F.col("source_size") * F.lit(float(most))))
+    level, total = 0.0, min(share, most) * float(ranked.agg(F.sum("source_size")).first()[0] or 0)
+    while True:
+        full = F.col("_bound") < level * F.col("_w")
+        bound, weight, n = ranked.agg(F.sum(F.when(full, F.col("_bound")).otherwise(0.0)), F.sum(F.when(~full, F.col("_w")).otherwise(0.0)), F.sum(full.cast("int"))).first()
+        new = (total - bound) / weight if weight else float("inf")
+        if new <= level or not weight:
+            break
+        level = new
+    target = F.least(F.col("_bound"), F.lit(level) * F.col("_w"))
+    return ranked.select("source", "source_size", "source_rows", target.cast("double").alias("target"))
+
+
+def flight(pi: np.ndarray, size: np.ndarray, u: np.ndarray, spare: int = 0) -> np.ndarray:
+    """Cube-method flight: probabilities become 0 or 1 but for two rows, and the last ``spare`` open rows.
+
+    Three open rows at a time move along the null vector of the two constraints (rows, words) until one is 0
+    or 1. The sums of ``pi`` and of ``pi * size`` do not change; the expectation of each entry is its
     start value over ``u`` uniform. ``u`` has a number for each row.
     """
-    pi = pi.astype(float).copy()
-    pi[pi < _EPS], pi[pi > 1 - _EPS] = 0.0, 1.0
-    scale = float(size.max()) or 1.0
-    balance = np.vstack([np.ones(len(pi)), size / scale])
-    open_rows = [i for i in range(len(pi)) if 0 < pi[i] < 1]
+    x, s = pi.astype(float).tolist(), size.astype(float).tolist()
+    x = [0.0 if v < _EPS else 1.0 if v > 1 - _EPS else v for v in x]
+    is_open = [i for i, v in enumerate(x) if 0 < v < 1]
     active: list[int] = []
-    for i in open_rows:
+    for i in is_open[: max(0, len(is_open) - spare)]:
         active.append(i)
-        while len(active) > 2:
-            rows = np.array(active)
-            _step(pi, rows, balance, float(u[i]))
-            left = [k for k in active if 0 < pi[k] < 1]
-            if len(left) == len(active):
-                break
-            active = left
-    return pi
+        if len(active) < 3:
+            continue
+        a, b, c = active
+        v = (s[c] - s[b], s[a] - s[c], s[b] - s[a])
+        top = max(abs(w) for w in v)
+        v = tuple(w / top for w in v) if top else (1.0, -1.0, 0.0)
+        up = min((1 - x[k]) / w if w > 0 else -x[k] / w for k, w in zip(active, v) if w)
+        down = min(x[k] / w if w > 0 else (x[k] - 1) / w for k, w in zip(active, v) if w)
+        step = up if float(u[i]) * (up + down) < down else -down
+        for k, w in zip(active, v):
+            moved = x[k] + step * w
+            x[k] = 0.0 if moved < _EPS else 1.0 if moved > 1 - _EPS else moved
+        active = [k for k in active if 0 < x[k] < 1]
+    return np.array(x)
 
 
 def land(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Round the last open rows to the choice nearest the token total, then the document total."""
+    """Round the last open rows, SPARE + 2 at most, to the choice nearest the token total, then the document total."""
     pi = pi.copy()
-    rows = [i for i in range(len(pi)) if 0 < pi[i] < 1]
-    if not rows:
+    rows = np.flatnonzero((pi > 0) & (pi < 1))
+    if not len(rows):
         return pi
-    tokens, docs = float((pi[rows] * size[rows]).sum()), float(pi[rows].sum())
-    best = min(product((0.0, 1.0), repeat=len(rows)), key=lambda c: (round(abs(float(np.dot(c, size[rows])) - tokens), 6), abs(sum(c) - docs), c))
-    pi[rows] = best
+    choice = (np.arange(1 << len(rows))[:, None] >> np.arange(len(rows))) & 1
+    off = np.round(np.abs(choice @ size[rows] - float((pi[rows] * size[rows]).sum())), 6)
+    docs = np.round(np.abs(choice.sum(1) - float(pi[rows].sum())), 6)
+    pi[rows] = choice[np.lexsort((np.arange(len(choice)), docs, off))[0]]
     return pi
 
 
@@ -107,37 +109,37 @@ def _flights(df: DataFrame, keys: list[str], last: bool) -> DataFrame:
     def fly(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_u", "doc_id", "size"], kind="stable", na_position="last", ignore_index=True)
         size = rows["size"].to_numpy(float)
-        pi = flight(rows["_pi"].to_numpy(float), size, rows["_u"].to_numpy(float))
+        pi = flight(rows["_pi"].to_numpy(float), size, rows["_u"].to_numpy(float), SPARE)
         return rows.assign(_pi=land(pi, size) if last else pi)
 
     return df.groupBy(*keys).applyInPandas(fly, df.schema)
 
 
-def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17) -> DataFrame:
-    """How often the mix takes each document: columns ``_copies`` and sizes beside the input's.
+def mix_units(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17) -> DataFrame:
+    """doc_id, source, size, n, source_size, target, times: how often the mix takes the n rows that are equal in the first three, together.
 
     Within a source every row has the same expected number of copies, target / size of source:
-    its whole part is given to all, its fraction is the inclusion probability of a balanced
-    sample. The sample is drawn by the cube method: flights over blocks of BLOCK rows move the
-    probabilities through the null space of (rows, words) and leave two open rows a block; these
+    n times its whole part is given to a unit, the fraction is the inclusion probability of a balanced
+    sample. The sample is drawn by the cube method: flights over blocks of about BLOCK units move the
+    probabilities through the null space of (rows, words) and leave a few open units a block; these
     meet in flights of FAN_IN blocks until one block a source is left, which is landed. So both
-    totals of a source hold but for the landing of two documents.
+    totals of a source hold but for the landing of SPARE + 2 documents, which has the nearest of all their choices.
 
-    Returns doc_id, source, size, source_size, target, copies. Null text has size 0; a null
-    source is a source of its own; repeated rows are drawn one by one; no rows give no rows.
-    The random numbers are hashes of (doc_id, size), so reruns agree.
+    Rows that repeat, and rows without id of one size, are one unit, so blocks are of like size whatever
+    repeats. The random numbers are hashes of (doc_id, size, source), so reruns agree.
     """
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), row_word_count(F.col("text")).alias("size")))
-    targets = source_targets(sized, weights, share, most)
-    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    t = targets.withColumnRenamed("source", "_source").withColumn("_each", each)
-    rows = sized.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("_whole", F.floor(F.col("_each") + _EPS)).withColumn("_pi", F.greatest(F.lit(0.0), F.col("_each") - F.col("_whole")))
+    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), row_word_count(F.col("text")).alias("size"))
+    units = cut(units.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")))
+    t = source_targets(units, weights, share, most).join(units.groupBy(F.col("source").alias("_s")).agg(F.count(F.lit(1)).alias("_units")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    t = t.withColumnRenamed("source", "_source").withColumn("_each", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
+    rows = units.join(cut(t.drop("source_rows")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    given = F.col("n") * F.col("_each")
+    rows = rows.withColumn("_whole", F.floor(given + _EPS)).withColumn("_pi", F.greatest(F.lit(0.0), given - F.col("_whole")))
     spread = F.xxhash64(F.lit(seed), "doc_id", "size", "source")
     rows = rows.withColumn("_u", F.pmod(spread, F.lit(1 << 40)) / float(1 << 40))
-    rows = rows.withColumn("_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_rows") / BLOCK)).cast("long"))
-    rows = rows.withColumn("_block", F.pmod(F.shiftrightunsigned(spread, 20), F.col("_blocks"))).drop("_each", "source_rows")
-    done, level = [], 0
+    rows = rows.withColumn("_blocks", F.greatest(F.lit(1), F.ceil(F.col("_units") / BLOCK)).cast("long"))
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size", "source"), F.col("_blocks"))).drop("_each", "_units")
+    done = []
     rows = cut(_flights(rows, ["source", "_block"], last=False))
     while True:
         is_open = (F.col("_pi") > 0) & (F.col("_pi") < 1)
@@ -151,11 +153,20 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
         if last:
             done.append(_flights(rest, ["source"], last=True))
             break
-        rows, level = cut(_flights(rest, ["source", "_block"], last=False)), level + 1
+        rows = cut(_flights(rest, ["source", "_block"], last=False))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("_whole") + F.col("_pi").cast("long")).cast("long").alias("copies"))
+    return out.select("doc_id", "source", "size", "n", "source_size", "target", (F.col("_whole") + F.col("_pi").cast("long")).cast("long").alias("times"))
+
+
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """How often the mix takes each row: doc_id, source, size, source_size, target, copies (see ``mix_units``).
+
+    Null text has size 0; a null source is a source of its own; rows that repeat share their copies evenly; no rows give no rows.
+    """
+    units = mix_units(docs, **options).withColumn("_number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return units.select("doc_id", "source", "size", "source_size", "target", (F.floor(F.col("times") / F.col("n")) + (F.col("_number") < F.col("times") % F.col("n")).cast("long")).cast("long").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -163,19 +174,20 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows whose (doc_id, source) is unique, all but repeated rows, are matched by it without
     moving their texts while the table of copies may be broadcast (a counted bound). Rows with
-    equal (doc_id, source, size) share the sum of their copies evenly.
+    equal (doc_id, source, size) share the sum of their copies evenly; of these equal rows are summed before they meet.
     """
-    mix = cut(mix_sources(docs, **options).withColumn("_key", F.xxhash64("doc_id", "source")))
-    repeated = cut(mix.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key"))
+    mix = cut(mix_units(docs, **options).withColumn("_key", F.xxhash64("doc_id", "source")))
+    repeated = cut(mix.groupBy("_key").agg(F.sum("n").alias("_n")).filter("_n > 1").select("_key"))
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"))
-    once = mix.join(repeated, "_key", "left_anti").filter("copies > 0").select("_key", F.col("copies").cast("int").alias("_times"))
+    once = mix.join(repeated, "_key", "left_anti").filter("times > 0").select("_key", F.col("times").cast("int").alias("_times"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("_key"), F.col("text").cast("string").alias("_text"))
     taken = join_checked(packed, once, "_key").select("row", "_times")
     if repeated.limit(1).count():
-        shared = mix.join(repeated, "_key", "left_semi").groupBy("_key", F.col("size").alias("_size")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_of"))
-        sized = join_checked(packed, repeated, "_key").withColumn("_size", row_word_count(F.col("_text")))
-        order = Window.partitionBy("_key", "_size").orderBy(F.xxhash64("row"))
-        joined = sized.withColumn("_place", F.row_number().over(order)).join(shared, ["_key", "_size"])
-        times = F.floor(F.col("_copies") / F.col("_of")) + (F.col("_place") <= F.col("_copies") % F.col("_of")).cast("long")
-        taken = taken.unionByName(joined.select("row", times.cast("int").alias("_times")).filter("_times > 0"))
+        shared = mix.join(repeated, "_key", "left_semi").groupBy("_key", F.col("size").alias("_size")).agg(F.sum("times").alias("_of"), F.sum("n").alias("_n"))
+        equal = join_checked(packed, repeated, "_key").groupBy("row", "_key", row_word_count(F.col("_text")).alias("_size")).agg(F.count(F.lit(1)).alias("_m"))
+        order = Window.partitionBy("_key", "_size").orderBy(F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, -1)
+        placed = equal.withColumn("_before", F.coalesce(F.sum("_m").over(order), F.lit(0))).join(shared, ["_key", "_size"])
+        more = F.least(F.col("_m"), F.greatest(F.lit(0), F.col("_of") % F.col("_n") - F.col("_before")))
+        times = F.col("_m") * F.floor(F.col("_of") / F.col("_n")) + more
+        taken = taken.unionByName(placed.select("row", times.cast("int").alias("_times")).filter("_times > 0"))
     return taken.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
