@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,7 +24,8 @@ SLICE_BYTES = 2 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A temporary local folder is made only where the setting is absent (tests, local mode).
+    Where the setting is absent, a temporary local folder is made in local mode (tests), where all run in
+    one process; on a cluster executors would not see each other's files, so that is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     found = found or spark.conf.get("spark.checkpoint.dir", None)
@@ -29,9 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             found = current.get()
-        else:
-            found = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            folder = tempfile.mkdtemp(prefix="millrace-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            found = "file://" + folder
             spark.sparkContext.setCheckpointDir(found)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return found.rstrip("/")
 
 
@@ -46,6 +54,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Paths that ``stored`` has written and ``release`` has not removed.
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write as compressed Parquet to the shared folder and read it back.
 
@@ -53,9 +65,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Remove what ``stored`` has written, but for the files that ``keep`` reads.
+
+    For callers that have written their result and use no other table of an operator any more.
+    """
+    needed = [f.rsplit("/", 1)[0] for f in keep.inputFiles()] if keep is not None else []
+    needed = {n.split("://")[-1].removeprefix("file:").lstrip("/") for n in needed}
+    for path in list(_written):
+        if path.split("://")[-1].removeprefix("file:").lstrip("/") not in needed:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _written.remove(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; works for any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

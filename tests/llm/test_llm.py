@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import components, decontaminate, html, jaccard, langid, mixing, quality, queries, rollup, secrets, sstable, suffixes
-from millrace.llm.shared import table, text_bytes
+from millrace.llm.shared import release, shared_dir, stored, table, text_bytes
 from millrace.llm.tokenize import default_path, memo
 
 FOLDER = "/root/testdata/sf0.001"
@@ -65,6 +65,32 @@ def near_copies(n, edits, words=160, seed=1):
     return out
 
 
+def test_intermediates_are_released_but_for_what_is_kept(spark):
+    one, two = stored(spark.range(5).toDF("a"), "one"), stored(spark.range(7).toDF("a"), "two")
+    release(spark, keep=two)
+    assert two.count() == 7
+    with pytest.raises(Exception):
+        one.count()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Nothing:
+        def __getattr__(self, _):
+            return self
+
+        def __call__(self, *_):
+            return None
+
+    class Context(Nothing):
+        master = "spark://somewhere:7077"
+        getConf = lambda self: {}
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+    session = type("Session", (), {"sparkContext": Context(), "conf": {}})()
+    with pytest.raises(RuntimeError):
+        shared_dir(session)
+
+
 # ---------------------------------------------------------------- tokens
 
 
