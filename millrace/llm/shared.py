@@ -69,15 +69,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Remove what ``stored`` has written, but for the files that ``keep`` reads.
+def written() -> frozenset[str]:
+    """The paths that ``stored`` has written so far and that are still there."""
+    return frozenset(_written)
+
+
+def release(spark: SparkSession, keep: DataFrame | None = None, others: frozenset[str] = frozenset()) -> None:
+    """Remove what ``stored`` has written, but for the files that ``keep`` reads and the paths of ``others``.
 
     For callers that have written their result and use no other table of an operator any more.
     """
     needed = [f.rsplit("/", 1)[0] for f in keep.inputFiles()] if keep is not None else []
     needed = {n.split("://")[-1].removeprefix("file:").lstrip("/") for n in needed}
     for path in list(_written):
-        if path.split("://")[-1].removeprefix("file:").lstrip("/") not in needed:
+        if path.split("://")[-1].removeprefix("file:").lstrip("/") not in needed and path not in others:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
             _written.remove(path)
