@@ -92,23 +92,37 @@ def overlap_share(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1) -> Column:
 def clean_artifacts(text: Column) -> Column:
     """Extraction residue, control and invisible characters, broken words, runs of blanks."""
     t = F.regexp_replace(text, r"\(cid:[0-9]+\)", "")
-    t = F.regexp_replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
-    t = F.regexp_replace(t, "[­​-‍﻿]", "")
+    t = without_invisible(t)
     t = F.regexp_replace(t, r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2")
     return F.trim(F.regexp_replace(t, r"[ \t]+", " "))
 
 
+def without_invisible(text: Column) -> Column:
+    """Without control characters (tabs and line ends stay), soft hyphens, zero-width characters, byte-order marks."""
+    return F.regexp_replace(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), "[\u00ad\u200b-\u200d\ufeff]", "")
+
+
+def squeeze_repeats(text: Column) -> Column:
+    """Four or more equal marks become two."""
+    return F.regexp_replace(text, "([.\\-–—•·])\\1{3,}", "$1$1")
+
+
+def distance(a: tuple[str, ...], b: tuple[str, ...]) -> Column:
+    """Euclidean distance between two places, each given by its columns."""
+    return F.sqrt(reduce(add, [(F.col(y) - F.col(x)) * (F.col(y) - F.col(x)) for x, y in zip(a, b)]))
+
+
 def squeeze_marks(text: Column, backreference: bool = True) -> Column:
     """Dot leaders to three dots, four or more equal marks to two, long white space to a blank."""
     t = F.regexp_replace(text, r"\.{5,}", "...")
     if backreference:
-        t = F.regexp_replace(t, "([.\\-–—•·])\\1{3,}", "$1$1")
+        t = squeeze_repeats(t)
     return F.regexp_replace(t, r"\s{3,}", " ")
 
 
 def join_spaced_capitals(text: Column) -> Column:
     """Letter-spaced capitals, three at a time."""
-    return F.regexp_replace(text, r"\b([A-Z]) ([A-Z]) ([A-Z])\b", "$1$2$3")
+    return F.regexp_replace(text, r"\b([A-ZÄÖÜ])\s+([A-ZÄÖÜ])\s+([A-ZÄÖÜ])", "$1$2$3")
 
 
 def ends_sentence(text: Column) -> Column:

@@ -64,12 +64,45 @@ def retry_after(message: str, least: float = 10.0) -> float:
     return max(least, float(found.group(1)) if found else least)
 
 
+def retry_seconds(message, least: int = 10):
+    """X23 as a Column: the seconds that an error asks to wait, ``least`` or more."""
+    asked = F.nullif(F.regexp_extract(message, r"(?is)retry.*?(\d+)", 1), F.lit("")).try_cast("int")
+    return F.greatest(F.lit(least), F.coalesce(asked, F.lit(least)))
+
+
+def batch_size_of(context, config: "ExtractConfig" = None):
+    """X33 as a Column of the context's size."""
+    c = config or ExtractConfig()
+    fit = (F.least(context, F.lit(32_000)) - c.prompt_chars // 4 - c.margin) / (c.chunk_tokens + c.output_tokens)
+    return F.greatest(F.lit(1), F.floor(fit)).cast("int")
+
+
+def bullet_lines(text):
+    """The number of bullet lines of an answer."""
+    return F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\s*([-•*–·]|\d[.):])")))
+
+
+def joined(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """L2, L4: the texts of each batch in order, joined by the separator; a batch is bounded by its size."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("position", text))), lambda x: x[text])
+    return df.groupBy(*keys, "batch").agg(F.array_join(ordered, SEPARATOR).alias("joined"), F.count(F.lit(1)).alias("n_texts"))
+
+
+def pipeline(approach: str, model: Callable[[str], str] | None = None, providers: dict[str, Callable[[str], str]] | None = None) -> Callable[[str], str]:
+    """The model of an approach: one that is given, or a provider by its name."""
+    if model is not None:
+        return model
+    if approach not in (providers or {}):
+        raise ValueError(f"unknown approach {approach!r}")
+    return providers[approach]
+
+
 def run_model(df: DataFrame, keys: list[str], text: str, prompt: str, model: Callable[[str], str], config: ExtractConfig = ExtractConfig()) -> DataFrame:
     """Prompts of joined batches through a pluggable model, retried on rate limits only.
 
     A batch is bounded by the batch size; a failing batch gets its error, the others go on.
     """
-    packed = df.groupBy(*keys, "batch").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", text))), lambda r: r[text]), SEPARATOR).alias("_joined"))
+    packed = joined(df, keys, text).withColumnRenamed("joined", "_joined").drop("n_texts")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

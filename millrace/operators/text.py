@@ -8,7 +8,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -190,7 +190,56 @@ def classify(df: DataFrame, text: str, model: Callable[[pd.Series], pd.DataFrame
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """N rows by a hash of their key; the same for every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(n)
+
+
+def nfc(text: Column) -> Column:
+    """Unicode normal form C, over Arrow batches; text of ASCII only is left as it is."""
+
+    @F.pandas_udf("string")
+    def compose(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+    return compose(text)
+
+
+def is_cut(text: Column, tokens: int = 512) -> Column:
+    """Whether a text is longer than a model of so many tokens reads, at four characters each."""
+    return F.length(text) > 4 * tokens
+
+
+def sentence_list(text: Column) -> Column:
+    """The sentences of a text by their end marks."""
+    parts = F.transform(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda s: F.trim(s))
+    return F.filter(parts, lambda s: F.length(s) > 0)
+
+
+def translate(df: DataFrame, text: str, lang: str, models: dict[str, Callable[[pd.Series], pd.Series]], batch: int = 16) -> DataFrame:
+    """Texts of the languages in ``models`` through their model, batch by batch; others, and those that fail, stay.
+
+    ``translated`` says whether a text is the model's. A batch that fails is tried again text by text.
+    """
+
+    def one(model: Callable, texts: pd.Series) -> list[tuple[str | None, bool]]:
+        try:
+            return [(t, True) for t in model(texts)]
+        except Exception:  # a batch too large for the model, or one bad text
+            if len(texts) == 1:
+                return [(texts.iloc[0], False)]
+            return [out for k in range(len(texts)) for out in one(model, texts.iloc[k : k + 1])]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = frame.reset_index(drop=True).assign(translated=False)
+            for name, model in models.items():
+                rows = out.index[(out[lang] == name) & out[text].notna()]
+                for k in range(0, len(rows), batch):
+                    some = rows[k : k + batch]
+                    found = one(model, out.loc[some, text])
+                    out.loc[some, text], out.loc[some, "translated"] = [f[0] for f in found], [f[1] for f in found]
+            yield out
+
+    return df.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", translated boolean")
 
 
 def pending(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -78,6 +78,11 @@ def size_stats(df: DataFrame, topic: str) -> DataFrame:
     return sizes.agg(F.count(own).alias("n_topics"), (100.0 * F.coalesce(F.sum(F.when(F.col(topic) == OUTLIER, F.col("n"))), F.lit(0)) / F.sum("n")).alias("outlier_pct"), F.min(own).alias("size_min"), F.max(own).alias("size_max"), F.median(own).alias("size_median"), F.avg(own).alias("size_mean"), (100.0 * F.max(own) / F.sum("n")).alias("largest_pct"))
 
 
+def stop_words(general: list[str], domain: list[str]) -> list[str]:
+    """U8: general and domain stop words as one sorted list."""
+    return sorted({w.lower() for w in general} | {w.lower() for w in domain})
+
+
 def keyword_filter(column, stop: list[str]):
     """Comma list without keywords that equal or contain a stop word."""
     kept = F.filter(F.split(column, r"\s*,\s*"), lambda k: (F.length(k) > 0) & ~F.exists(F.array(*[F.lit(s) for s in stop]), lambda s: F.lower(k).contains(s)))

@@ -13,7 +13,7 @@ from millrace.operators import retrieval as R
 from millrace.operators import scoring as G
 from millrace.operators import text as T
 from millrace.operators import topics as M
-from millrace.plans.relational import CY, NY, PP, customer_years, nation_years, priced_parts, r, rounded
+from millrace.plans.relational import CY, NY, PP, customer_years, nation_years, priced_parts, r, registrar, rounded
 from millrace.sources.tables import load
 
 QUERIES: dict = {}
@@ -23,16 +23,7 @@ PROFILES = {"de": ["der", "die", "das", "und", "ist", "nicht", "mit", "sich", "v
 STOP = ["that", "this", "with", "from", "have", "were", "their"]
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL if it has one."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
+query = registrar(QUERIES, ORACLES)
 
 
 # ---------------------------------------------------------------- scores

@@ -16,16 +16,22 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL if it has one."""
+def registrar(queries: dict, oracles: dict):
+    """A decorator that registers a query under its function's name, with its SQL if it has one."""
 
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
+    def query(sql: str | None = None):
+        def keep(f):
+            queries[f.__name__] = f
+            if sql is not None:
+                oracles[f.__name__] = sql
+            return f
 
-    return keep
+        return keep
+
+    return query
+
+
+query = registrar(QUERIES, ORACLES)
 
 
 def customer_years(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Adaptive execution picks partition counts and splits skewed joins at run time.
@@ -24,3 +30,18 @@ def get_session(app: str = "millrace", master: str | None = None, **conf: str) -
     for key, value in (DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors see, below ``spark.checkpoint.dir``.
+
+    Without that setting a temporary local folder is made in local mode, and removed at the end; on a cluster that is an error.
+    """
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        folder = tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = "file://" + folder
+    if not root:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
