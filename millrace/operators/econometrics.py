@@ -107,15 +107,15 @@ def ols(df: DataFrame, y: str, xs: list[str], constant: bool = True) -> Fit:
     return fit
 
 
-def demeaned(df: DataFrame, columns: list[str], entity: str | None = None, time: str | None = None, rounds: int = 30) -> DataFrame:
-    """Columns within entity and/or time; two-way by alternating until unbalanced panels settle."""
-    groups = [g for g in (entity, time) if g]
-    out = df
-    for _ in range(1 if len(groups) == 1 else rounds):
-        for g in groups:
-            w = Window.partitionBy(g)
-            out = out.select(*[c for c in out.columns if c not in columns], *[(F.col(c) - F.avg(c).over(w)).alias(c) for c in columns])
-    return out
+def demeaned(df: DataFrame, columns: list[str], group: str) -> DataFrame:
+    """Columns as differences from their group's mean; means are summed before they are joined."""
+    means = df.groupBy(group).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
+    joined = df.join(means, group)
+    return joined.select(*[c for c in df.columns if c not in columns], *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in columns])
+
+
+#: Periods that two-way effects hold as indicators, at most.
+MOST_PERIODS = 200
 
 
 def panel_ols(df: DataFrame, y: str, xs: list[str], entity: str, time: str, effects: str = "entity", cluster: str | None = None, least: int = 3) -> Fit:
@@ -129,11 +129,27 @@ def panel_ols(df: DataFrame, y: str, xs: list[str], entity: str, time: str, effe
     rows = rows.join(good, entity, "left_semi")
     rows = rows.select(entity, time, *[F.col(c).cast("double").alias(c) for c in (y, *xs)])
     size = rows.agg(F.countDistinct(entity).alias("e"), F.countDistinct(time).alias("t")).first()
-    which = {"entity": (entity, None), "time": (None, time), "twoway": (entity, time), "pooled": (None, None)}[effects]
-    within = demeaned(rows, [y, *xs], *which, rounds=6) if effects != "pooled" else rows.withColumn("_one", F.lit(1.0))
+    extra: list[str] = []
+    if effects == "pooled":
+        within = rows.withColumn("_one", F.lit(1.0))
+    elif effects == "twoway":  # exact on unbalanced panels too: periods as indicators, entities by differences
+        periods = [p[0] for p in rows.select(time).distinct().orderBy(time).limit(MOST_PERIODS + 1).collect()][1:]
+        if len(periods) >= MOST_PERIODS:
+            raise ValueError(f"more than {MOST_PERIODS} periods")
+        extra = [f"_t{k}" for k in range(len(periods))]
+        within = demeaned(rows.select("*", *[(F.col(time) == p).cast("double").alias(c) for c, p in zip(extra, periods)]), [y, *xs, *extra], entity)
+    else:
+        within = demeaned(rows, [y, *xs], {"entity": entity, "time": time}[effects])
     within = within.persist()
     terms = (["_one"] if effects == "pooled" else []) + xs
-    n, g = gram(within, terms + [y])
+    n, g = gram(within, terms + extra + [y])
+    if extra:  # the periods are taken out of the sums
+        at, own = np.arange(len(terms), len(terms) + len(extra)), [*range(len(terms)), len(g) - 1]
+        shift = np.linalg.pinv(g[np.ix_(at, at)]) @ g[np.ix_(at, own)]
+        if cluster:
+            within = within.select("*", *[(F.col(c) - sum((F.col(t) * float(b) for t, b in zip(extra, shift[:, k])), F.lit(0.0))).alias(f"_r{k}") for k, c in enumerate([*terms, y])]).drop(*terms, y)
+            within = within.withColumnsRenamed({f"_r{k}": c for k, c in enumerate([*terms, y])})
+        g = g[np.ix_(own, own)] - g[np.ix_(own, at)] @ shift
     keep = [k for k in range(len(terms)) if g[k, k] > 1e-10 * max(n, 1)]
     index = [*keep, len(terms)]
     absorbed = {"entity": size["e"], "time": size["t"], "twoway": size["e"] + size["t"] - 1, "pooled": 0}[effects]
@@ -149,6 +165,81 @@ def panel_ols(df: DataFrame, y: str, xs: list[str], entity: str, time: str, effe
     return fit
 
 
+def random_effects(df: DataFrame, y: str, xs: list[str], entity: str) -> dict:
+    """Random entity effects by feasible generalised least squares.
+
+    The variance of errors is from the within fit, that of entities from the fit of their means; each
+    entity is then quasi-demeaned by its own share. One table of means, k * k sums to the driver.
+    """
+    rows = df.select(entity, *[F.col(c).cast("double").alias(c) for c in (y, *xs)]).dropna()
+    names = [y, *xs]
+    means = rows.groupBy(entity).agg(F.count(F.lit(1)).alias("_t"), *[F.avg(c).alias(f"_m_{c}") for c in names]).persist()
+    joined = rows.join(means, entity)
+    n, inner = gram(joined.select(*[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in names]), xs + [y])
+    m, outer = gram(means.select(F.lit(1.0).alias("_one"), *[F.col(f"_m_{c}").alias(c) for c in names]), ["_one", *xs, y])
+    even = means.agg((F.count(F.lit(1)) / F.sum(1.0 / F.col("_t"))).alias("h")).first()["h"]
+    within, between = _solve(xs, n, inner, len(xs) + m), _solve(["const", *xs], m, outer, len(xs) + 1)
+    var_e = within.ssr / max(n - m - len(xs), 1)
+    var_u = max(0.0, between.ssr / max(m - len(xs) - 1, 1) - var_e / even)
+    share = 1.0 - F.sqrt(F.lit(var_e) / (F.lit(var_e) + F.lit(var_u) * F.col("_t"))) if var_e > 0 else F.lit(1.0)
+    moved = joined.select((1.0 - share).alias("_one"), *[(F.col(c) - share * F.col(f"_m_{c}")).alias(c) for c in names])
+    _, g = gram(moved, ["_one", *xs, y])
+    fit = _solve(["const", *xs], n, g, len(xs) + 1)
+    means.unpersist()
+    return {"coef": dict(zip(fit.terms, fit.coef.tolist())), "var_error": var_e, "var_entity": var_u}
+
+
+def compared(fits: dict[str, "Fit"], spark) -> DataFrame:
+    """The coefficients of several fits beside each other, a row a term."""
+    terms = sorted({t for f in fits.values() for t in f.terms})
+    rows = [(t, *[float(dict(zip(f.terms, f.coef)).get(t, math.nan)) for f in fits.values()]) for t in terms]
+    return spark.createDataFrame(rows, "term string, " + ", ".join(f"`{n}` double" for n in fits))
+
+
+def did_controlled(df: DataFrame, y: str, treated: str, time: str, controls: list[str], entity: str, years: list[int]) -> DataFrame:
+    """E5: the effect on the treated for each possible start, with controls and entity effects; its p-value and fit.
+
+    All starts are columns of one within-transformed table, so one pass of sums serves them all.
+    """
+    base = df.select(entity, *[F.col(c).cast("double").alias(c) for c in (y, *controls)], F.col(treated).alias("_d"), F.col(time).alias("_w")).dropna()
+    for k in years:
+        base = base.withColumn(f"_p{k}", (F.col("_w") >= k).cast("double")).withColumn(f"_e{k}", F.col(f"_p{k}") * F.col("_d"))
+    columns = [y, *controls, *[f"_{s}{k}" for k in years for s in "ep"]]
+    within = demeaned(base.select(entity, *columns), columns, entity)
+    entities = base.select(entity).distinct().count()
+    total = base.agg(F.var_pop(y) * F.count(y)).first()[0] or math.nan
+    n, g = gram(within, columns)
+    at, out = {c: i for i, c in enumerate(columns)}, []
+    for k in years:
+        index = [at[c] for c in (f"_e{k}", f"_p{k}", *controls, y)]
+        fit = _solve([f"_e{k}", f"_p{k}", *controls], n, g[np.ix_(index, index)], 2 + len(controls) + entities, total)
+        t = fit.coef[0] / fit.se[0] if fit.se[0] > 0 else math.nan
+        out.append((k, float(fit.coef[0]), t_p(float(t), fit.dof), float(fit.r2)))
+    return df.sparkSession.createDataFrame(out, "start int, coef double, p double, r2 double")
+
+
+def best_start(grid: DataFrame, most_p: float = 0.1) -> DataFrame:
+    """The best start by significance and size, by the most negative effect below ``most_p``, and by fit."""
+    score = -F.log("p") * F.abs("coef")
+    tie = -F.col("start")
+    return grid.agg(F.max_by("start", F.struct(score, tie)).alias("by_significance"), F.min_by("start", F.when(F.col("p") < most_p, F.struct("coef", "start"))).alias("by_effect"), F.max_by("start", F.struct("r2", tie)).alias("by_fit"))
+
+
+def one_split(df: DataFrame, y: str, flags: dict) -> DataFrame:
+    """A tree of depth one: the indicator whose two means leave the least squared error, those means, and its share explained.
+
+    One pass of sums for all indicators.
+    """
+    v, sums = F.col(y).cast("double"), [F.count(y).alias("n"), F.sum(y).cast("double").alias("s"), F.sum(F.col(y) * F.col(y)).cast("double").alias("q")]
+    for k, (name, test) in enumerate(flags.items()):
+        sums += [F.count(F.when(test, v)).alias(f"n{k}"), F.sum(F.when(test, v)).alias(f"s{k}")]
+    one, total = df.agg(*sums), F.col("q") - F.col("s") * F.col("s") / F.col("n")
+    c = F.col
+    rows = [F.struct((c("q") - c(f"s{k}") * c(f"s{k}") / c(f"n{k}") - (c("s") - c(f"s{k}")) * (c("s") - c(f"s{k}")) / (c("n") - c(f"n{k}"))).alias("sse"), F.lit(name).alias("split"), (c(f"s{k}") / c(f"n{k}")).alias("mean_true"), ((c("s") - c(f"s{k}")) / (c("n") - c(f"n{k}"))).alias("mean_false")) for k, name in enumerate(flags)]
+    best = one.select(total.alias("_all"), F.array_min(F.filter(F.array(*rows), lambda x: x["sse"].isNotNull())).alias("_b"))
+    return best.select("_b.split", "_b.mean_true", "_b.mean_false", (1.0 - c("_b.sse") / c("_all")).alias("r2"))
+
+
 def did(df: DataFrame, y: str, treated: str, post: str) -> DataFrame:
     """E5: cell means and the difference in differences of the 2 x 2 design."""
     cell = lambda t, p: F.avg(F.when((F.col(treated) == t) & (F.col(post) == p), F.col(y)))

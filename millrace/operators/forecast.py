@@ -27,7 +27,19 @@ def scenarios(grid: DataFrame, rules: dict[str, dict[str, Column]]) -> DataFrame
     return grid.select("*", F.inline(packed))
 
 
-def forest(train: DataFrame, test: DataFrame, label: str, numeric: list[str], categorical: list[str], trees: int = 40, depth: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def wide(scenario_rows: DataFrame, keys: list[str], value: str, names: list[str]) -> DataFrame:
+    """One row a key with each scenario's value as a column of its name."""
+    return scenario_rows.groupBy(*keys).agg(*[F.max(F.when(F.col("scenario") == n, F.col(value))).alias(n) for n in names])
+
+
+def merged_scores(talk: DataFrame, action: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """Two scores side by side, and whether an entity has both, talk only, or is a new reporter."""
+    both = talk.withColumn("_l", F.lit(1)).join(action.withColumn("_r", F.lit(1)), key, "full_outer")
+    kind = F.when(F.col("_r").isNull(), "talk_only").when(F.col("_l").isNull(), "new_reporter").otherwise("both")
+    return both.select(key, a, b, kind.alias("reported"))
+
+
+def forest(train: DataFrame, test: DataFrame, label: str, numeric: list[str], categorical: list[str], trees: int = 500, depth: int = 30, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """A random forest over one-hot and numeric features; metrics and importances.
 
     Categories unknown in training go to a slot of their own.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import dot
@@ -23,6 +23,16 @@ def topk(queries: DataFrame, items: DataFrame, k: int, on: list[str]) -> DataFra
     return merged.select("query_id", F.posexplode("b").alias("_r", "_h")).select("query_id", (F.col("_r") + 1).cast("int").alias("rank"), F.col("_h.item_id").alias("item_id"), (-F.col("_h.d")).alias("score"))
 
 
+def build_index(items: DataFrame, path: str, on: str) -> None:
+    """A flat index (item_id, embedding) on disk, one folder a value of its filter column."""
+    items.repartition(on).write.mode("overwrite").partitionBy(on).parquet(path)
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index; a filter or join on its folder column reads only those folders."""
+    return spark.read.parquet(path)
+
+
 def mmr_select(query: np.ndarray, vectors: np.ndarray, k: int, lam: float) -> list[int]:
     """Greedy picks by lam * sim(q, d) - (1 - lam) * max sim(d, picked); the earlier row on ties."""
     near, picked = vectors @ query, []

@@ -144,6 +144,16 @@ def snapped_windows(text: str, size: int = 1500, overlap: int = 100) -> list[str
     return [c for c in out if c]
 
 
+def snapped(df: DataFrame, key: str, text: str, size: int = 1500, overlap: int = 100) -> DataFrame:
+    """T5 over Arrow batches: key, position, chunk."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([(k, i, c) for k, t in zip(frame[key], frame[text]) for i, c in enumerate(snapped_windows(t or "", size, overlap))], columns=[key, "position", "chunk"])
+
+    return df.select(key, text).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, position int, chunk string")
+
+
 def language_vote(df: DataFrame, key: str, text: str, profiles: dict[str, list[str]], default: str = "en") -> DataFrame:
     """The language whose stop words occur most, the least code on ties, ``default`` without any."""
     tokens = F.split(F.lower(text), r"[^\p{L}]+")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import product
 
+import numpy as np
+import pandas as pd
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, HashingTF, Normalizer, Tokenizer
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.scalars import dot, words
+from millrace.session import settled
 
 OUTLIER = -1
 
@@ -22,6 +26,7 @@ def ctfidf(df: DataFrame, cls: str, text: str, stop: list[str], n: int = 10, lea
     """M4, M5: top terms of each class by share in the class * ln(1 + tokens per class / count of the term)."""
     tokens = df.select(cls, F.explode(words(F.col(text), least)).alias("term")).filter(~F.col("term").isin(stop))
     counts = tokens.groupBy(cls, "term").agg(F.count(F.lit(1)).alias("n"))
+    counts = settled(counts, "term-counts")  # read three times; the texts once
     sizes = counts.groupBy(cls).agg(F.sum("n").alias("_size"))
     mean = sizes.agg((F.sum("_size") / F.count(F.lit(1))).alias("_mean"))
     every = counts.groupBy("term").agg(F.sum("n").alias("_f"))
@@ -30,6 +35,48 @@ def ctfidf(df: DataFrame, cls: str, text: str, stop: list[str], n: int = 10, lea
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select(cls, "term", "rank", "n", "score")
 
 
+def vocabulary(df: DataFrame, key: str, text: str, stop: list[str], min_df: int = 2, max_df: float = 0.92, least: int = 4) -> DataFrame:
+    """M4: terms of one and two words with their documents and occurrences, without those in fewer than ``min_df`` or more than a share ``max_df`` of the documents.
+
+    Two words are a term if they follow each other once stop words and short words are out.
+    """
+    own = df.select(key, F.filter(words(F.col(text), least), lambda w: ~w.isin(stop)).alias("_w"))
+    pairs = F.transform(F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.get("_w", i), w))
+    terms = own.select(key, F.explode(F.concat("_w", pairs)).alias("term"))
+    per = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("_n")).groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("_n").alias("n"))
+    total = df.agg(F.count(F.lit(1)).alias("_all"))
+    return per.join(F.broadcast(total)).filter((F.col("n_docs") >= min_df) & (F.col("n_docs") <= max_df * F.col("_all"))).drop("_all")  # one row
+
+
+def reranked(candidates: DataFrame, topic: str, term: str, vector: str, centre: str, n: int = 10, diversity: float = 0.4) -> DataFrame:
+    """M6: of each topic's candidate terms the n that are near its centre and unlike each other.
+
+    Greedy: (1 - diversity) * likeness to the centre - diversity * most likeness to a picked term; the earlier term on ties.
+    A topic's candidates are bounded by who makes them.
+    """
+    from millrace.operators.retrieval import mmr_select
+
+    def pick(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(term, ignore_index=True)
+        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-12)
+        order = mmr_select(unit(np.asarray(part[centre].iloc[0], float)), unit(np.stack(part[vector].to_numpy()).astype(float)), n, 1 - diversity)
+        return pd.DataFrame({topic: part[topic].iloc[order], term: part[term].iloc[order], "rank": range(1, len(order) + 1)})
+
+    kinds = dict(candidates.dtypes)
+    return candidates.groupBy(topic).applyInPandas(pick, f"{topic} {kinds[topic]}, {term} string, rank int")
+
+
+def staged_search(df: DataFrame, vector: str, stages: list[dict[str, list[int]]], start: dict[str, int]) -> DataFrame:
+    """Parameters searched stage by stage: the best of a stage are locked for the next; all trials with their stage."""
+    best, out = dict(start), None
+    for k, choices in enumerate(stages):
+        trial = grid(df, vector, choices.get("k", [best["k"]]), choices.get("dims", [best["dims"]])).withColumn("stage", F.lit(k + 1))
+        top = trial.orderBy(F.desc("score"), "k", "dims").first()
+        best = {"k": top["k"], "dims": top["dims"]}
+        out = trial if out is None else out.unionByName(trial)
+    return out
+
+
 def centroids(df: DataFrame, topic: str, vector: str, size: int) -> DataFrame:
     """Mean vector of each topic; sums run per element and task before the shuffle."""
     mean = df.groupBy(topic).agg(*[F.avg(F.col(vector)[k].cast("double")).alias(f"v{k}") for k in range(size)])

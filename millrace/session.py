@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive execution picks partition counts and splits skewed joins at run time.
 DEFAULTS = {
@@ -45,3 +45,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not root:
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back: what is made of it later does not compute it again, and survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
