@@ -136,24 +136,67 @@ def words(text: Column, least: int = 4) -> Column:
     return F.filter(runs, lambda w: w.rlike(f"^[a-z]{{{least},}}$"))
 
 
+#: What makes a line noise (patterns are matched in any case where they begin with (?i)).
+NOISE_LEAST = 3
+NOISE_TOC = r"^.{5,50}\.{5,}\s*\d+$"
+NOISE_PAGE = r"(?i)^(page|p\.?)\s*\d+|^\d+\s*(of|/)\s*\d+$"
+NOISE_DIGITS = r"^[\d\s\.\-\/]+$"
+NOISE_NUMBER = r"^\d+[\.\,]?\d*$"
+NOISE_URL = r"(?i)^https?://\S+$"
+NOISE_TITLE = r"^[A-Z][a-z]+(\s+[A-Z][a-z]+){10,}$"
+NOISE_MARKS = "•·*─―–-"
+#: Short words are those of two characters; shares, word and character counts beyond which the rules hold.
+NOISE_SHORT, NOISE_SHORT_WORDS, NOISE_SHORT_SHARE = 2, 5, 0.7
+NOISE_DIGIT_CHARS, NOISE_NUMBER_WORDS, NOISE_NUMBER_SHARE = 15, 8, 0.6
+NOISE_MOST_MARKS, NOISE_DOT_CHARS, NOISE_DOT_SHARE = 5, 10, 0.4
+#: A text of so many words repeats itself if so many equal words are in a row, or one content word has more than this share.
+REPEAT_WORDS, REPEAT_RUN, REPEAT_SHARE = 10, 5, 0.3
+REPEAT_STOP = ("the", "a", "an", "and", "or", "of", "to", "in", "for", "on", "with", "is", "are", "was", "were", "be", "been")
+
+
+def text_words(text: Column) -> Column:
+    """The runs of a text that are not white space."""
+    return F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 0)
+
+
 def noise_line(line: Column) -> Column:
     """Page furniture and residue rather than text, by length, word and mark rules."""
     s = F.trim(line)
-    parts = F.filter(F.split(s, r"\s+"), lambda w: F.length(w) > 0)
-    n = F.size(parts)
+    parts = text_words(s)
+    n, chars = F.size(parts), F.length(s)
     share = lambda test: F.size(F.filter(parts, test)) / F.greatest(n, F.lit(1))
-    marks = F.length(s) - F.length(F.translate(s, "•·*─―–-", ""))
-    dots = F.length(s) - F.length(F.translate(s, ".", ""))
-    titled = F.size(F.filter(parts, lambda w: w.rlike(r"^[A-Z][a-z]")))
+    marks = chars - F.length(F.translate(s, NOISE_MARKS, ""))
+    dots = chars - F.length(F.translate(s, ".", ""))
     return (
-        (F.length(s) < 3)
-        | ((n > 5) & (share(lambda w: F.length(w) <= 2) > 0.7))
-        | s.rlike(r"^.{5,50}\.{5,}\s*[0-9]+$")
-        | F.lower(s).rlike(r"^(page|p\.?)\s*[0-9]+")
-        | (s.rlike(r"^[0-9\s.,;:/()%+-]+$") & (F.length(s) < 15))
-        | ((n > 8) & (share(lambda w: w.rlike(r"^[0-9.,%()+-]+$")) > 0.6))
-        | s.rlike(r"^(https?://|www\.)\S+$")
-        | (marks > 5)
-        | ((F.length(s) > 10) & (dots / F.greatest(F.length(s), F.lit(1)) > 0.4))
-        | ((n >= 11) & (titled == n))
+        (chars < NOISE_LEAST)
+        | s.rlike(NOISE_PAGE)
+        | s.rlike(NOISE_URL)
+        | s.rlike(NOISE_TITLE)
+        | s.rlike(NOISE_TOC)
+        | ((chars < NOISE_DIGIT_CHARS) & s.rlike(NOISE_DIGITS))
+        | (marks > NOISE_MOST_MARKS)
+        | ((chars > NOISE_DOT_CHARS) & (dots > NOISE_DOT_SHARE * chars))
+        | ((n > NOISE_SHORT_WORDS) & (share(lambda w: F.length(w) <= NOISE_SHORT) > NOISE_SHORT_SHARE))
+        | ((n > NOISE_NUMBER_WORDS) & (share(lambda w: w.rlike(NOISE_NUMBER)) > NOISE_NUMBER_SHARE))
     )
+
+
+def most_frequent(values: Column) -> Column:
+    """How often the most frequent value of an array occurs: one pass over the sorted array."""
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(acc, x):
+        run = F.when(x == acc["last"], acc["run"] + 1).otherwise(F.lit(1))
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+
+    return F.aggregate(F.array_sort(values), start, step, lambda acc: acc["best"])
+
+
+def repetition(text: Column) -> tuple[Column, Column, Column]:
+    """The words of a text, how often its most frequent content word occurs, and whether it repeats itself; no row is moved."""
+    w = text_words(text)
+    n = F.size(w)
+    content = F.filter(F.transform(w, lambda x: F.lower(x)), lambda x: ~x.isin(*REPEAT_STOP))
+    runs = F.exists(F.sequence(F.lit(0), F.greatest(n - REPEAT_RUN, F.lit(0))), lambda i: F.size(F.array_distinct(F.slice(w, i + 1, REPEAT_RUN))) == 1)
+    top = most_frequent(content)
+    return n, top, (n >= REPEAT_WORDS) & (runs | (top > REPEAT_SHARE * F.size(content)))

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.functions.scalars import dot
 
@@ -13,14 +14,13 @@ from millrace.functions.scalars import dot
 def topk(queries: DataFrame, items: DataFrame, k: int, on: list[str]) -> DataFrame:
     """The k nearest items of each query within equal ``on`` columns; ties by item_id.
 
-    ``queries`` (query_id, q, on...) is a small stated set, matched by equi-join on the metadata,
-    so items outside the filter are never scored. The k best are kept by an aggregate that
-    prunes in each task before anything is shuffled: no window sees a group's rows.
+    ``queries`` (query_id, q, on...) is matched by equi-join on the metadata,
+    so items outside the filter are never scored. The rank filter becomes a group limit that each
+    task applies before the shuffle, so k rows a query and task are moved.
     """
     hits = items.join(queries, on).select("query_id", "item_id", dot(F.col("embedding"), F.col("q")).alias("score"))
-    best = hits.groupBy("query_id", F.pmod(F.xxhash64("item_id"), F.lit(32)).alias("_s")).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("d"), "item_id"))), 1, k).alias("b"))
-    merged = best.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("b"))), 1, k).alias("b"))
-    return merged.select("query_id", F.posexplode("b").alias("_r", "_h")).select("query_id", (F.col("_r") + 1).cast("int").alias("rank"), F.col("_h.item_id").alias("item_id"), (-F.col("_h.d")).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "item_id", "score")
 
 
 def build_index(items: DataFrame, path: str, on: str) -> None:

@@ -12,39 +12,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions import scalars as X
 from millrace.functions.scalars import words
 
-_SPAM = frozenset("•·*─―–-")
 _END = re.compile(r"[.!?]\s*$")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
+_TOC, _PAGE, _DIGITS, _NUMBER, _URL, _TITLE = (re.compile(p) for p in (X.NOISE_TOC, X.NOISE_PAGE, X.NOISE_DIGITS, X.NOISE_NUMBER, X.NOISE_URL, X.NOISE_TITLE))
+
+
 def noise(line: str) -> bool:
-    """T2 for one stripped line; the same rules as the Column in ``functions``."""
-    parts, n = line.split(), len(line.split())
-    return (
-        len(line) < 3
-        or (n > 5 and sum(len(w) <= 2 for w in parts) / n > 0.7)
-        or bool(re.match(r".{5,50}\.{5,}\s*\d+$", line))
-        or bool(re.match(r"(page|p\.?)\s*\d+", line.lower()))
-        or (len(line) < 15 and bool(re.fullmatch(r"[\d\s.,;:/()%+-]+", line)))
-        or (n > 8 and sum(bool(re.fullmatch(r"[\d.,%()+-]+", w)) for w in parts) / n > 0.6)
-        or bool(re.fullmatch(r"(https?://|www\.)\S+", line))
-        or sum(c in _SPAM for c in line) > 5
-        or (len(line) > 10 and line.count(".") / len(line) > 0.4)
-        or (n >= 11 and all(re.match(r"[A-Z][a-z]", w) for w in parts))
-    )
+    """T2 for one line within ``paragraphs``; the rules and values are those of ``scalars.noise_line``."""
+    s, parts = line.strip(), line.split()
+    chars, n = len(s), len(line.split())
+    if chars < X.NOISE_LEAST or any(p.search(s) for p in (_PAGE, _URL, _TITLE, _TOC)) or (chars < X.NOISE_DIGIT_CHARS and _DIGITS.search(s)):
+        return True
+    if sum(s.count(c) for c in X.NOISE_MARKS) > X.NOISE_MOST_MARKS or (chars > X.NOISE_DOT_CHARS and s.count(".") > X.NOISE_DOT_SHARE * chars):
+        return True
+    if n > X.NOISE_SHORT_WORDS and sum(len(w) <= X.NOISE_SHORT for w in parts) > X.NOISE_SHORT_SHARE * n:
+        return True
+    return n > X.NOISE_NUMBER_WORDS and sum(bool(_NUMBER.search(w)) for w in parts) > X.NOISE_NUMBER_SHARE * n
 
 
 def repetitive(text: str) -> bool:
-    """Five equal words in a row, or one content word above 30 % of them; from ten words on."""
+    """T3 for one paragraph; the values are those of ``scalars.repetition``."""
     found = text.split()
-    if len(found) < 10:
+    if len(found) < X.REPEAT_WORDS:
         return False
-    if any(len(set(found[i : i + 5])) == 1 for i in range(len(found) - 4)):
-        return True
-    content = [w.lower() for w in found if len(w) > 3]
-    return bool(content) and Counter(content).most_common(1)[0][1] > 0.3 * len(content)
+    run = 1
+    for a, b in zip(found, found[1:]):
+        run = run + 1 if a == b else 1
+        if run >= X.REPEAT_RUN:
+            return True
+    content = Counter(w.lower() for w in found if w.lower() not in X.REPEAT_STOP)
+    return bool(content) and max(content.values()) > X.REPEAT_SHARE * content.total()
 
 
 def paragraphs(text: str | None) -> list[str]:

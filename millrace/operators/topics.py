@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, HashingTF, Normalizer, Tokenizer
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,9 +79,13 @@ def staged_search(df: DataFrame, vector: str, stages: list[dict[str, list[int]]]
 
 
 def centroids(df: DataFrame, topic: str, vector: str, size: int) -> DataFrame:
-    """Mean vector of each topic; sums run per element and task before the shuffle."""
-    mean = df.groupBy(topic).agg(*[F.avg(F.col(vector)[k].cast("double")).alias(f"v{k}") for k in range(size)])
-    return mean.select(topic, F.array(*[F.col(f"v{k}") for k in range(size)]).alias("centroid"))
+    """Mean vector of each topic of vectors of one size: one vector is summed per topic and task before the shuffle."""
+    own = df.filter(F.size(vector) == size).select(topic, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    return own.groupBy(topic).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("centroid"))
+
+
+#: Topics whose centroids may be sent to all tasks, at most.
+MOST_CENTRES = 20_000
 
 
 def assign_nearest(df: DataFrame, centres: DataFrame, topic: str, vector: str, only: int | None = None) -> DataFrame:
@@ -89,6 +94,8 @@ def assign_nearest(df: DataFrame, centres: DataFrame, topic: str, vector: str, o
     Centroids are one row a topic; they are collected to one array row, and each item is scored
     where it is: no cross join of rows, no shuffle.
     """
+    if (n := centres.count()) > MOST_CENTRES:
+        raise ValueError(f"{n} centroids are too many to send to all tasks")
     packed = centres.filter(F.col(topic) != OUTLIER).agg(F.sort_array(F.collect_list(F.struct(F.col(topic).alias("t"), F.col("centroid").alias("c")))).alias("_c"))
     scored = F.transform("_c", lambda c: F.struct(dot(F.col(vector), c["c"]).alias("s"), (-c["t"]).alias("m")))
     best = -F.array_max(scored)["m"]
@@ -115,7 +122,7 @@ def merge_topics(df: DataFrame, topic: str, groups: list[list[int]], known: set[
 def drop_empty(df: DataFrame, labels: DataFrame, topic: str) -> DataFrame:
     """Documents of topics without keywords become outliers."""
     good = labels.filter(F.length(F.trim("keywords")) > 0).select(F.col(topic).alias("_t"))
-    return df.join(F.broadcast(good), F.col(topic) == F.col("_t"), "left").withColumn(topic, F.coalesce("_t", F.lit(OUTLIER))).drop("_t")  # one row a topic
+    return df.join(good, F.col(topic) == F.col("_t"), "left").withColumn(topic, F.coalesce("_t", F.lit(OUTLIER))).drop("_t")
 
 
 def size_stats(df: DataFrame, topic: str) -> DataFrame:
@@ -158,8 +165,6 @@ def cluster(df: DataFrame, vector: str, k: int, dims: int = 8, outlier: float =
     low = PCA(k=dims, inputCol="_v", outputCol="_p").fit(rows).transform(rows)
     model = KMeans(k=k, seed=seed, featuresCol="_p", predictionCol="topic").fit(low)
     centres = [list(map(float, c)) for c in model.clusterCenters()]
-    from pyspark.ml.functions import vector_to_array
-
     table = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centres])
     far = model.transform(low).withColumn("_d", F.aggregate(F.zip_with(vector_to_array("_p"), F.element_at(table, F.col("topic") + 1), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     edge = far.agg(F.percentile_approx("_d", 1.0 - outlier, 10_000).alias("_e"))

@@ -116,7 +116,7 @@ def talk_score(spark, d):
 
 @query(f"WITH {NY}, p AS (SELECT k, arg_min(y, t) AS a, arg_max(y, t) AS b FROM ny GROUP BY k) SELECT k, CAST(f AS INT) AS frame, round(a + (b - a) * ((f / 10.0) * (f / 10.0) * (3.0 - 2.0 * (f / 10.0))), 8) AS position FROM (SELECT k, a, b, unnest(generate_series(0, 10)) AS f FROM p)")
 def talk_action_tween(spark, d):
-    """C13, X30, X31."""
+    """Eased positions of each entity between its first and last value."""
     ends = nation_years(spark, d).groupBy("k").agg(F.min_by("y", "t").alias("a"), F.max_by("y", "t").alias("b"))
     return C.tween(ends, "a", "b", 10).select("k", "frame", r("position", 8))
 
@@ -130,19 +130,25 @@ def clean_text_regex(spark, d):
     return load(spark, d, "documents").select("doc_id", X.squeeze_marks(X.clean_artifacts(F.col("text")), backreference=False).alias("cleaned"))
 
 
-@query(r"WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS s FROM documents), w AS (SELECT doc_id, s, list_filter(string_split_regex(s, '\s+'), lambda x: length(x) > 0) AS p FROM l), f AS (SELECT doc_id, length(s) < 3 OR (len(p) > 5 AND len(list_filter(p, lambda x: length(x) <= 2)) / greatest(len(p), 1) > 0.7) OR regexp_matches(s, '^.{5,50}\.{5,}\s*[0-9]+$') OR regexp_matches(lower(s), '^(page|p\.?)\s*[0-9]+') OR (regexp_matches(s, '^[0-9\s.,;:/()%+-]+$') AND length(s) < 15) OR (len(p) > 8 AND len(list_filter(p, lambda x: regexp_matches(x, '^[0-9.,%()+-]+$'))) / greatest(len(p), 1) > 0.6) OR regexp_matches(s, '^(https?://|www\.)\S+$') OR length(s) - length(translate(s, '•·*─―–-', '')) > 5 OR (length(s) > 10 AND (length(s) - length(replace(s, '.', ''))) / length(s) > 0.4) OR (len(p) >= 11 AND len(list_filter(p, lambda x: regexp_matches(x, '^[A-Z][a-z]'))) = len(p)) AS noise FROM w) SELECT doc_id, count(*) AS n_lines, CAST(sum(noise::INT) AS BIGINT) AS n_noise FROM f GROUP BY doc_id")
+_P = r"list_filter(string_split_regex(s, '\s+'), lambda x: length(x) > 0)"
+
+
+@query(rf"WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS s FROM documents), w AS (SELECT doc_id, s, length(s) AS c, {_P} AS p FROM l), f AS (SELECT doc_id, c < 3 OR (len(p) > 5 AND len(list_filter(p, lambda x: length(x) <= 2)) / greatest(len(p), 1) > 0.7) OR regexp_matches(s, '^.{{5,50}}\.{{5,}}\s*\d+$') OR regexp_matches(s, '^(page|p\.?)\s*\d+|^\d+\s*(of|/)\s*\d+$', 'i') OR (regexp_matches(s, '^[\d\s.\-/]+$') AND c < 15) OR (len(p) > 8 AND len(list_filter(p, lambda x: regexp_matches(x, '^\d+[.,]?\d*$'))) / greatest(len(p), 1) > 0.6) OR regexp_matches(s, '^https?://\S+$', 'i') OR c - length(translate(s, '•·*─―–-', '')) > 5 OR (c > 10 AND (c - length(replace(s, '.', ''))) / c > 0.4) OR regexp_matches(s, '^[A-Z][a-z]+(\s+[A-Z][a-z]+){{10,}}$') AS noise FROM w) SELECT doc_id, CAST(count(*) AS INT) AS n_lines, CAST(sum(noise::INT) AS INT) AS n_noise FROM f GROUP BY doc_id")
 def noise_line_flags(spark, d):
-    """T2, X11, X12."""
-    lines = load(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(X.noise_line(F.col("line"))).alias("n_noise"))
+    """Lines and noise lines of each text, counted where the text is."""
+    lines = F.split("text", "\n")
+    return load(spark, d, "documents").select("doc_id", F.size(lines).alias("n_lines"), F.size(F.filter(lines, X.noise_line)).alias("n_noise"))
+
 
+_RUN = "len(list_filter(generate_series(1, len(w) - 4), lambda i: w[i] = w[i + 1] AND w[i] = w[i + 2] AND w[i] = w[i + 3] AND w[i] = w[i + 4])) > 0"
+_CONTENT = "list_filter(list_transform(w, lambda x: lower(x)), lambda x: x NOT IN (" + ", ".join(f"'{x}'" for x in X.REPEAT_STOP) + "))"
 
-@query(r"WITH w AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_matches(x, '^[a-z]{4,}$'))) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL) SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_words, max(n) AS top, sum(n) >= 10 AND max(n) > 0.3 * sum(n) AS repetitive FROM c GROUP BY doc_id")
+
+@query(rf"WITH t AS (SELECT doc_id, {_P.replace('(s,', '(text,')} AS w FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, w, {_CONTENT} AS c FROM t), m AS (SELECT doc_id, w, c, coalesce(list_max(map_values(list_aggregate(c, 'histogram'))), 0) AS top FROM c) SELECT doc_id, CAST(len(w) AS INT) AS n_words, CAST(top AS INT) AS top, len(w) >= 10 AND ({_RUN} OR top > 0.3 * len(c)) AS repetitive FROM m")
 def repetition_flag(spark, d):
-    """Share of the most frequent content word."""
-    rows = load(spark, d, "documents").select("doc_id", F.explode(X.words(F.col("text"), 4)).alias("w"))
-    c = rows.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"))
-    return c.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.max("n").alias("top"), ((F.sum("n") >= 10) & (F.max("n") > 0.3 * F.sum("n"))).alias("repetitive"))
+    """Equal words in a row, or a content word that is too frequent."""
+    n, top, flag = X.repetition(F.col("text"))
+    return load(spark, d, "documents").filter("text is not null").select("doc_id", n.alias("n_words"), top.alias("top"), flag.alias("repetitive"))
 
 
 @query("SELECT doc_id, CAST(s // 1400 AS INT) AS position, substring(text, CAST(s + 1 AS BIGINT), 1500) AS chunk FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(length(text) - 1, 0), 1400)) AS s FROM documents WHERE length(text) > 0)")
@@ -188,7 +194,7 @@ def word_frequencies_grouped(spark, d):
 
 @query(r"SELECT conv_id, turn, CAST(len(i) AS BIGINT) AS n_items, array_to_string(i, '|') AS items FROM (SELECT conv_id, turn, CASE WHEN contains(upper(text), 'NONE_FOUND') THEN [] ELSE list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 10), lambda x: trim(regexp_replace(x, '^([-•*–·]|[0-9][.):])\s*', ''))) END AS i FROM conversations)")
 def bullet_parse(spark, d):
-    """X20, X22, P25."""
+    """X20, X22."""
     rows = load(spark, d, "conversations").select("conv_id", "turn", L.parse_bullets(F.col("text")).alias("i"))
     return rows.select("conv_id", "turn", F.size("i").cast("long").alias("n_items"), F.array_join("i", "|").alias("items"))
 
@@ -203,13 +209,13 @@ def dedup_case_insensitive(spark, d):
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def incremental_resume(spark, d):
-    """L3, T11, T15."""
+    """What is not done yet."""
     return T.pending(load(spark, d, "documents").select("doc_id"), load(spark, d, "labels"), ["doc_id"])
 
 
 @query("WITH p AS (SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS position FROM conversations) SELECT conv_id, turn, position, CAST(floor((position - 1) / 3) AS INT) AS batch FROM p")
 def extraction_batches(spark, d):
-    """L1, L2, X33."""
+    """L2: position and batch number within a key."""
     return L.batches(load(spark, d, "conversations").select("conv_id", "turn"), ["conv_id"], ["turn"], 3)
 
 
@@ -221,25 +227,21 @@ def _items(spark, d):
 
 
 def _queries(items):
-    return items.filter(F.col("item_id") < 12).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("q"), "topic")
-
-
-def _every_hundredth(items):
-    """The query set that grows with the items: each row whose id is divisible by 100."""
+    """The query set, which grows with the items: each row whose id is divisible by 100."""
     return items.filter(F.col("item_id") % 100 == 0).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("q"), "topic")
 
 
 _DOT = "list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 
 
-@query(f"SELECT a.vec_id AS query_id, b.vec_id AS item_id, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT} DESC, b.vec_id) AS INT) AS rank, round({_DOT}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id < 12 QUALIFY rank <= 5")
+@query(f"SELECT a.vec_id AS query_id, b.vec_id AS item_id, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT} DESC, b.vec_id) AS INT) AS rank, round({_DOT}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0 QUALIFY rank <= 5")
 def similarity_topk_filtered(spark, d):
-    """A stated set of twelve queries against all items of their topic."""
+    """Every hundredth item against all items of its topic."""
     items = _items(spark, d)
     return R.topk(_queries(items), items, 5, ["topic"]).select("query_id", "item_id", "rank", r("score"))
 
 
-@query(f"WITH h AS (SELECT a.vec_id AS query_id, a.label AS topic, b.vec_id AS item_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id < 12 QUALIFY rank <= 6), f AS (SELECT topic, item_id, min((query_id, rank)) AS m FROM h GROUP BY ALL) SELECT topic, CAST(row_number() OVER (PARTITION BY topic ORDER BY m) AS INT) AS place, item_id FROM f QUALIFY place <= 10")
+@query(f"WITH h AS (SELECT a.vec_id AS query_id, a.label AS topic, b.vec_id AS item_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0 QUALIFY rank <= 6), f AS (SELECT topic, item_id, min((query_id, rank)) AS m FROM h GROUP BY ALL) SELECT topic, CAST(row_number() OVER (PARTITION BY topic ORDER BY m) AS INT) AS place, item_id FROM f QUALIFY place <= 10")
 def multi_query_union(spark, d):
     """R4, U7."""
     items = _items(spark, d)
@@ -250,12 +252,12 @@ def multi_query_union(spark, d):
 
 @query()
 def mmr_topk(spark, d):
-    """Greedy, for every hundredth item; at lam = 1 it equals the similarity search (tested)."""
+    """Greedy, for every hundredth item; at lam = 1 it equals the similarity search (tested)."""
     items = _items(spark, d)
-    return R.mmr(_every_hundredth(items), items, 5, ["topic"])
+    return R.mmr(_queries(items), items, 5, ["topic"])
 
 
-@query(f"WITH t AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id < 12 QUALIFY rank <= 10) SELECT query_id, count(*) FILTER (rank <= 5) AS n_shared, round(count(*) FILTER (rank <= 5) / count(*), 6) AS jaccard FROM t GROUP BY query_id")
+@query(f"WITH t AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0 QUALIFY rank <= 10) SELECT query_id, count(*) FILTER (rank <= 5) AS n_shared, round(count(*) FILTER (rank <= 5) / count(*), 6) AS jaccard FROM t GROUP BY query_id")
 def retrieval_overlap(spark, d):
     """Five against ten results."""
     items = _items(spark, d)
@@ -294,14 +296,14 @@ def merge_topics_map(spark, d):
 
 @query("WITH s AS (SELECT CASE WHEN label = 0 THEN -1 ELSE label END AS t, count(*) AS n FROM embeddings GROUP BY 1) SELECT count(*) FILTER (t <> -1) AS n_topics, round(100.0 * coalesce(sum(n) FILTER (t = -1), 0) / sum(n), 6) AS outlier_pct, min(n) FILTER (t <> -1) AS size_min, max(n) FILTER (t <> -1) AS size_max, round(median(n) FILTER (t <> -1), 6) AS size_median, round(avg(n) FILTER (t <> -1), 6) AS size_mean, round(100.0 * max(n) FILTER (t <> -1) / sum(n), 6) AS largest_pct FROM s")
 def topic_size_stats(spark, d):
-    """M14, P6."""
+    """Statistics of topic sizes."""
     items = _items(spark, d).withColumn("topic", F.when(F.col("topic") == 0, F.lit(-1)).otherwise(F.col("topic")))
     return rounded(M.size_stats(items, "topic"), "outlier_pct", "size_median", "size_mean", "largest_pct")
 
 
 @query()
 def kmeans_topics(spark, d):
-    """PCA, k-means, distance outliers."""
+    """M2, M3, M7: PCA, k-means, distance outliers."""
     return M.cluster(_items(spark, d).drop("topic"), "embedding", 8).select("item_id", "topic")
 
 

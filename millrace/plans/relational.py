@@ -126,7 +126,7 @@ def weighted_mean_by_confidence(spark, d):
 
 @query("SELECT l_linestatus, " + ", ".join(f"round(coalesce(100.0 * sum(CASE WHEN l_returnflag = '{v}' THEN l_quantity ELSE 0 END) / sum(l_quantity), 0), 6) AS \"{v}_pct\"" for v in "ANR") + " FROM lineitem GROUP BY l_linestatus")
 def weighted_label_share(spark, d):
-    """A9, A10."""
+    """A9."""
     return rounded(S.label_share(load(spark, d, "lineitem"), ["l_linestatus"], "l_returnflag", ["A", "N", "R"], "l_quantity"), "A_pct", "N_pct", "R_pct")
 
 
@@ -315,7 +315,7 @@ def cross_future_grid(spark, d):
 
 @query("SELECT 'order' AS kind, o_orderkey AS key, o_totalprice AS price, NULL AS quantity FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'line', l_orderkey, NULL, l_quantity FROM lineitem WHERE l_returnflag = 'R'")
 def union_by_name(spark, d):
-    """U1, U2."""
+    """U1."""
     a = load(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"))
     return union_all(a, load(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.lit("line").alias("kind"), F.col("l_orderkey").alias("key"), F.col("l_quantity").alias("quantity")))
 
