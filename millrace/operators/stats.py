@@ -8,11 +8,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.session import settled
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which NULL is one."""
+    other = b.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    test = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return a.join(other, test, how).drop(*[f"_k_{k}" for k in keys])
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles (linear between neighbours) of each group, however few the groups: a column for each share.
+
+    Equal values are counted before they are shuffled; the counts are sorted in ranges, so a group's values
+    lie in many tasks; from the tasks' sums follows in which range and at which place a rank is.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null")
+    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = settled(counts.repartitionByRange(*keys, "_v").withColumn("_p", F.spark_partition_id()), "ranges")
+    per = ranged.groupBy(*keys, "_p").agg(F.sum("_n").alias("_c"))  # a row for each group and task
+    order = Window.partitionBy(*keys).orderBy("_p")
+    placed = per.select(*keys, "_p", (F.sum("_c").over(order) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy(*keys)).alias("_all"))
+    inside = Window.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    at = _same(ranged, placed, [*keys, "_p"]).withColumn("_first", first)
+    value_at = lambda rank: F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_n")), F.col("_v")))
+    rank = lambda q: (F.col("_all") - 1) * F.lit(float(q))
+    ends = at.groupBy(*keys).agg(F.max("_all").alias("_all"), *[value_at(f(rank(q))).alias(f"_{s}_{n}") for n, q in shares.items() for s, f in (("lo", F.floor), ("hi", F.ceil))])
+    return ends.select(*keys, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (rank(q) - F.floor(rank(q)))).alias(n) for n, q in shares.items()])
+
 
 def group_stats(df: DataFrame, keys: list[str], value: str, digits: int = 3) -> DataFrame:
     """A1: count, mean, median, sample deviation, minimum and maximum; rounded half to even."""
-    r = lambda c: F.bround(c, digits)
-    return df.groupBy(*keys).agg(F.count(value).alias("count"), r(F.avg(value)).alias("mean"), r(F.median(value)).alias("median"), r(F.stddev_samp(value)).alias("std"), r(F.min(value)).alias("min"), r(F.max(value)).alias("max"))
+    r = lambda c: F.bround(c, digits).alias(c)
+    per = df.groupBy(*keys).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    both = _same(per, quantiles(df, keys, value, {"median": 0.5}), keys, "left")
+    return both.select(*keys, "count", *[r(c) for c in ("mean", "median", "std", "min", "max")])
 
 
 def nunique_count(df: DataFrame, keys: list[str], entity: str) -> DataFrame:
@@ -41,7 +73,8 @@ def label_share(df: DataFrame, keys: list[str], label: str, values: list[str], w
 
 def label_distribution(df: DataFrame, label: str, score: str) -> DataFrame:
     """Count, share, and score statistics of each label; shares come from summed counts."""
-    per = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), F.median(score).alias("median"), F.min(score).alias("min"), F.max(score).alias("max"))
+    per = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), F.min(score).alias("min"), F.max(score).alias("max"))
+    per = _same(per, quantiles(df, [label], score, {"median": 0.5}), [label], "left")
     return per.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
@@ -61,8 +94,13 @@ def profile(df: DataFrame) -> DataFrame:
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that occur more than once, and how often."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    """Keys that occur more than once, and how often.
+
+    Keys are counted by a 128-bit hash, so long texts are not shuffled; only those found twice are fetched.
+    """
+    hashed = df.select(*keys, F.xxhash64(*keys).alias("_a"), F.xxhash64(F.lit(1), *keys).alias("_b"))
+    twice = hashed.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return hashed.join(twice, ["_a", "_b"]).groupBy("_a", "_b").agg(*[F.first(k).alias(k) for k in keys], F.first("n").alias("n")).select(*keys, "n")
 
 
 def range_checks(df: DataFrame, rules: dict[str, tuple[float, float]]) -> DataFrame:
@@ -88,9 +126,10 @@ def stability(df: DataFrame, entity: str, time: str, value: str) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, deviation, quartiles (linear) and bounds of each column."""
-    one = df.agg(*[F.struct(F.count(c).alias("n"), F.avg(c).cast("double").alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(c).cast("double").alias("max")).alias(c) for c in columns])
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"{c}.n").alias("n"), F.col(f"{c}.mean").alias("mean"), F.col(f"{c}.std").alias("std"), F.col(f"{c}.min").alias("min"), F.col(f"{c}.q")[0].alias("q25"), F.col(f"{c}.q")[1].alias("q50"), F.col(f"{c}.q")[2].alias("q75"), F.col(f"{c}.max").alias("max")) for c in columns])
-    return one.select(F.inline(cells))
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_x")) for c in columns])
+    rows = df.select(F.inline(cells))
+    one = rows.groupBy("column_name").agg(F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"), F.min("_x").alias("min"), F.max("_x").alias("max"))
+    return one.join(quantiles(rows, ["column_name"], "_x", {"q25": 0.25, "q50": 0.5, "q75": 0.75}), "column_name", "left")
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -124,11 +163,14 @@ def top_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
 
 
 def distinct_first(df: DataFrame, keys: list[str], text: str, order: list[str]) -> DataFrame:
-    """U6, U7, X: the first row of each case-folded, trimmed text within ``keys``."""
-    rest = [c for c in df.columns]
-    row = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest if c not in order])
-    out = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.lower(F.trim(text)).alias("_t")).agg(F.min(row).alias("_r"))
-    return out.select(*[F.col(f"_r.{c}").alias(c) for c in rest])
+    """The first row by ``order``, which no two rows share, of each case-folded, trimmed text within ``keys``.
+
+    Texts are compared by a 128-bit hash; none is a shuffle key.
+    """
+    folded = F.lower(F.trim(text))
+    marked = df.withColumn("_o", F.struct(*order)).withColumn("_a", F.xxhash64(*keys, folded)).withColumn("_b", F.xxhash64(F.lit(1), *keys, folded))
+    first = marked.groupBy("_a", "_b").agg(F.min("_o").alias("_o"))
+    return marked.join(first, ["_a", "_b", "_o"], "left_semi").drop("_a", "_b", "_o")
 
 
 def composite(parts: dict[str, float]) -> Column:

@@ -26,6 +26,15 @@ query = registrar(QUERIES, ORACLES)
 # ---------------------------------------------------------------- panel models
 
 
+#: Entities that have every period, on which two-way differences are exact.
+NB = "nb AS (SELECT * FROM ny WHERE k IN (SELECT k FROM ny GROUP BY k HAVING count(*) = (SELECT count(DISTINCT t) FROM ny)))"
+
+
+def _balanced(spark, d):
+    ny = nation_years(spark, d)
+    return P.complete_entities(ny, "k", "y", ny.agg(F.countDistinct("t")).first()[0])
+
+
 def _slope(within: str) -> str:
     return f"(SELECT sum(x * y) / sum(x * x) FROM ({within}))"
 
@@ -38,20 +47,20 @@ _BY = {
 }
 
 
-def _fit(spark, d, effects: str):
-    return E.panel_ols(nation_years(spark, d), "y", ["n"], "k", "t", effects, least=1)
+def _fit(df, effects: str):
+    return E.panel_ols(df, "y", ["n"], "k", "t", effects, least=1)
 
 
-@query(f"WITH {NY} SELECT 'twoway' AS model, 'n' AS term, round({_slope(_BY['twoway'])}, 8) AS coef")
+@query(f"WITH {NY}, {NB} SELECT 'twoway' AS model, 'n' AS term, round({_slope(_BY['twoway'].replace('FROM ny', 'FROM nb'))}, 8) AS coef")
 def twoway_effects_slope(spark, d):
-    """Entity and time effects."""
-    return _fit(spark, d, "twoway").tidy(spark, "twoway").select("model", "term", r("coef", 8))
+    """Entity and time effects, on the entities that have every period."""
+    return _fit(_balanced(spark, d), "twoway").tidy(spark, "twoway").select("model", "term", r("coef", 8))
 
 
 @query(f"WITH {NY} SELECT 'time' AS model, 'n' AS term, round({_slope(_BY['time'])}, 8) AS coef")
 def time_effects_slope(spark, d):
     """Time effects."""
-    return _fit(spark, d, "time").tidy(spark, "time").select("model", "term", r("coef", 8))
+    return _fit(nation_years(spark, d), "time").tidy(spark, "time").select("model", "term", r("coef", 8))
 
 
 @query(f"""WITH {NY}, m AS (SELECT k, count(*) AS t, avg(y) AS ym, avg(n) AS xm FROM ny GROUP BY k),
@@ -75,10 +84,10 @@ def segment_fits(spark, d):
     return spark.createDataFrame([(s, round(float(f.coef[0]), 8)) for s, f in fits.items()], "segment int, coef double")
 
 
-@query(f"WITH {NY} SELECT 'n' AS term, " + ", ".join(f"round({_slope(_BY[m])}, 8) AS {m}" for m in ("entity", "time", "twoway", "pooled")))
+@query(f"WITH {NY}, {NB} SELECT 'n' AS term, " + ", ".join(f"round({_slope(_BY[m].replace('FROM ny', 'FROM nb'))}, 8) AS {m}" for m in ("entity", "time", "twoway", "pooled")))
 def model_comparison(spark, d):
     """Coefficients of several models beside each other."""
-    fits = {m: _fit(spark, d, m) for m in ("entity", "time", "twoway", "pooled")}
+    fits = {m: _fit(_balanced(spark, d), m) for m in ("entity", "time", "twoway", "pooled")}
     return rounded(E.compared(fits, spark).filter("term = 'n'"), *fits, digits=8)
 
 

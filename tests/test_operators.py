@@ -112,7 +112,7 @@ def test_chunks_are_lossless_and_bounded():
 def test_paragraph_rules():
     text = "First line of the text\n\nends only here at last.\n\n12\nPage 3\nAnother paragraph that is long enough to stay."
     assert T.paragraphs(text) == ["First line of the text ends only here at last.", "Another paragraph that is long enough to stay."]
-    assert T.paragraphs(None) == [] and T.noise("www.example.org/x") and T.noise("Contents ........ 12") and not T.noise("A plain sentence of text.")
+    assert T.paragraphs(None) == [] and T.noise("HTTPS://www.example.org/x") and not T.noise("www.example.org/x") and T.noise("3 of 12") and T.noise("Contents ........ 12") and not T.noise("A plain sentence of text.")
     assert T.repetitive("go go go go go and then some more words") and not T.repetitive("too short")
 
 
@@ -188,3 +188,77 @@ def test_stream_ingest_is_incremental(spark, tmp_path):
     for _ in range(2):
         ingest(read_stream(spark, src, df.schema), "id", "ts", "1 hour", out, ck)
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_snapped_chunks_cover_the_text_and_end_at_sentences(spark):
+    from millrace.plans import registry
+
+    rows = registry.queries()["snapped_chunks"](spark, "/root/testdata/sf0.001").collect()
+    by = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["position"])):
+        by.setdefault(r["doc_id"], []).append(r["chunk"])
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for i, chunks in by.items():
+        assert all(0 < len(c) <= 1500 and c in texts[i] for c in chunks)
+        assert texts[i].strip().startswith(chunks[0]) and texts[i].strip().endswith(chunks[-1])
+
+
+def test_reranked_keywords_are_candidates_and_unlike(spark):
+    rows = [(0, "a", [1.0, 0.0], [1.0, 0.2]), (0, "b", [0.99, 0.01], [1.0, 0.2]), (0, "c", [0.0, 1.0], [1.0, 0.2]), (1, "d", [1.0, 1.0], [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "topic int, term string, v array<double>, c array<double>")
+    from millrace.operators import topics
+
+    got = {(r["topic"], r["rank"]): r["term"] for r in topics.reranked(df, "topic", "term", "v", "c", n=2, diversity=0.6).collect()}
+    assert got == {(0, 1): "b", (0, 2): "c", (1, 1): "d"} or got == {(0, 1): "a", (0, 2): "c", (1, 1): "d"}
+
+
+def test_staged_search_locks_the_best(spark):
+    from millrace.plans import registry
+
+    rows = registry.queries()["staged_topic_search"](spark, "/root/testdata/sf0.001").collect()
+    first, second = [r for r in rows if r["stage"] == 1], [r for r in rows if r["stage"] == 2]
+    best = min(first, key=lambda r: (-r["score"], r["k"], r["dims"]))
+    assert {r["k"] for r in first} == {6, 10} and {r["k"] for r in second} == {best["k"]} and {r["dims"] for r in second} == {4, 8}
+
+
+def test_quantiles_equal_numpy_with_nulls_and_hot_groups(spark):
+    import numpy as np
+
+    from millrace.operators import stats
+
+    rng = np.random.default_rng(3)
+    rows = [(None if k % 5 == 0 else f"g{k % 3}", None if k % 11 == 0 else float(rng.integers(0, 40))) for k in range(900)] + [("hot", 7.0)] * 2000 + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: (r["a"], r["b"]) for r in stats.quantiles(df, ["g"], "v", {"a": 0.3, "b": 0.9}).collect()}
+    for g in {g for g, v in rows if v is not None}:
+        own = [v for k, v in rows if k == g and v is not None]
+        assert got[g] == pytest.approx(tuple(np.quantile(own, [0.3, 0.9])))
+    assert "none" not in got
+
+
+def test_twoway_effects_on_an_unbalanced_panel_equal_dummies(spark):
+    import numpy as np
+
+    from millrace.operators import econometrics
+
+    rng = np.random.default_rng(5)
+    rows = [(e, t, float(rng.normal()), float(rng.normal())) for e in range(12) for t in range(6) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "e int, t int, x double, y double")
+    fit = econometrics.panel_ols(df, "y", ["x"], "e", "t", "twoway", cluster="e", least=1)
+    a = np.array(rows)
+    x = np.column_stack([a[:, 2], *(a[:, 0] == e for e in range(12)), *(a[:, 1] == t for t in range(1, 6))]).astype(float)
+    assert fit.coef[0] == pytest.approx(np.linalg.lstsq(x, a[:, 3], rcond=None)[0][0])
+    assert np.isfinite(fit.se[0]) and fit.se[0] > 0
+
+
+def test_translation_falls_back_to_single_texts(spark):
+    from millrace.operators import text
+
+    def model(texts):
+        if len(texts) > 1 or texts.iloc[0] == "bad":
+            raise MemoryError
+        return "t:" + texts
+
+    df = spark.createDataFrame([(1, "de", "a"), (2, "de", "bad"), (3, "fr", "c"), (4, "de", None)], "i int, lang string, text string")
+    got = {r["i"]: (r["text"], r["translated"]) for r in text.translate(df, "text", "lang", {"de": model}).collect()}
+    assert got == {1: ("t:a", True), 2: ("bad", False), 3: ("c", False), 4: (None, False)}
