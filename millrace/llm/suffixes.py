@@ -14,6 +14,8 @@ from millrace.llm.shared import cut, mix, rolling_hashes, slices, stored, text_b
 
 #: Words of the shortest passage that is reported.
 PASSAGE = 50
+#: Variants of a gram's surroundings that are extended against each other in one task, at most.
+MOST_VARIANTS = 64
 _MOST = np.uint64((1 << 64) - 1)
 
 
@@ -78,7 +80,7 @@ def sparse_suffixes(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
 
 
 def repeated_suffixes(suffixes: DataFrame) -> DataFrame:
-    """key, place of the suffixes of (gram, key, place) whose gram occurs again.
+    """gram, key, place of the suffixes of (gram, key, place) whose gram occurs again.
 
     The suffixes are sorted over the cluster by (gram, key, place) and neighbours compared.
     A gram that many documents share is spread over several sorted runs. A suffix alone with its
@@ -117,44 +119,153 @@ def repeated_suffixes(suffixes: DataFrame) -> DataFrame:
     order = ["gram", "key", "place"]
     runs = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
     found = cut(runs.mapInArrow(compare, "gram long, key long, place int, kind string"))
-    edges = found.filter("kind = 'edge'").groupBy("gram").agg(F.count(F.lit(1)).alias("_edges"))
-    inner = found.filter("kind = 'again'").join(edges.select("gram"), "gram", "left_semi").select("gram").distinct().withColumn("_inner", F.lit(True))
+    edges = cut(found.filter("kind = 'edge'").groupBy("gram").agg(F.count(F.lit(1)).alias("_edges")))
+    grams = found.filter("kind = 'again'").select("gram").distinct()  # a hot gram is one row before it meets the edges
+    inner = join_checked(grams, edges.select("gram"), "gram").withColumn("_inner", F.lit(True))
     known = edges.join(inner, "gram", "left").filter("_edges > 1 or _inner").select("gram")
-    return found.filter("kind = 'again'").select("key", "place").unionByName(found.filter("kind = 'edge'").join(known, "gram").select("key", "place"))
+    return found.filter("kind = 'again'").select("gram", "key", "place").unionByName(found.filter("kind = 'edge'").join(known, "gram").select("gram", "key", "place"))
 
 
-def _extended(docs: DataFrame, places: DataFrame, passage: int) -> DataFrame:
-    """hash, key, start of each run of ``passage`` words around a repeated suffix.
+def _around(docs: DataFrame, places: DataFrame, passage: int) -> DataFrame:
+    """gram, key, place, variant, left, right: the words on either side of each repeated suffix's gram.
 
-    A suffix reaches left and right as far as a passage with its gram inside can.
+    ``left`` has the words before the gram, the nearest first, ``right`` those after it, as far as a passage
+    with the gram inside can reach and the document goes; ``variant`` is a hash of both and the gram.
     """
     gram = passage // 2 + 1
     reach = passage - gram
-    per = places.groupBy("key").agg(F.collect_list("place").alias("places"))
+    per = places.groupBy("key").agg(F.collect_list(F.struct("place", "gram")).alias("found"))
     chosen = join_checked(_rows(docs), per, "key", most=200_000)
+    span = np.arange(reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             words, row_of, first = _words(part.column("text"))
-            hashes = rolling_hashes(words, passage)
-            lists = part.column("places")
-            place = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            lists = part.column("found")
+            flat = lists.flatten()
+            place, grams = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("place", "gram"))
             owner = np.repeat(np.arange(part.num_rows), np.asarray(lists.value_lengths()))
-            low = np.maximum(place - reach, 0)
-            high = np.minimum(place, np.diff(first)[owner] - passage) + 1
-            mark = np.zeros(len(words) + 1, np.int32)
-            some = high > low
-            np.add.at(mark, first[owner[some]] + low[some], 1)
-            np.add.at(mark, first[owner[some]] + high[some], -1)
-            starts = np.flatnonzero(np.cumsum(mark)[: len(hashes)] > 0)
-            bounds = np.searchsorted(starts, first)
-            ends = pa.array(bounds.astype(np.int32))
-            local = (starts - first[row_of[starts]]).astype(np.int32) if len(starts) else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.ListArray.from_arrays(ends, pa.array(hashes[starts].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(local))], names=["key", "hashes", "starts"])
+            length = np.diff(first)[owner]
+            n_left, n_right = np.minimum(place, reach), np.clip(length - place - gram, 0, reach)
+            at = first[owner] + place
+            sides = []
+            for count, base, step in ((n_left, at - 1, -1), (n_right, at + gram, 1)):
+                use = span < count[:, None]
+                sides.append((words[(base[:, None] + step * span)[use]], np.concatenate([[0], np.cumsum(count)])))
+            code = mix(grams.view(np.uint64) + np.uint64(1))
+            for (values, bounds), salt in zip(sides, (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)):
+                number = (np.arange(len(values)) - np.repeat(bounds[:-1], np.diff(bounds))).astype(np.uint64)
+                total = np.concatenate([[np.uint64(0)], np.cumsum(mix(values + (number + np.uint64(1)) * np.uint64(salt)))])
+                code = mix(code + (total[bounds[1:]] - total[bounds[:-1]]) + np.diff(bounds).astype(np.uint64))
+            keys = part.column("key").to_numpy(zero_copy_only=False)[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(keys), pa.array(place.astype(np.int32)), pa.array(code.view(np.int64)), *[pa.ListArray.from_arrays(pa.array(b.astype(np.int32)), pa.array(v.view(np.int64))) for v, b in sides]], names=["gram", "key", "place", "variant", "left", "right"])
+
+    return chosen.select("key", "text", "found").mapInArrow(run, "gram long, key long, place int, variant long, left array<long>, right array<long>")
+
+
+def extend(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, reach: int) -> np.ndarray:
+    """For each variant of one gram which passages with the gram inside another variant has too, as bits.
+
+    Bit l is for the passage that begins l words before the gram. Each pair of variants is extended from the gram to the
+    left and to the right until their words differ; they share the passages within.
+    """
+    m, span = len(left), np.arange(reach)
+
+    def common(words: np.ndarray, number: np.ndarray) -> np.ndarray:
+        both = np.minimum(number[:, None], number[None, :])
+        same = (words[:, None, :] == words[None, :, :]) & (span < both[:, :, None])
+        return np.cumprod(same, axis=2).sum(2) if reach else both
 
-    found = chosen.select("key", "text", "places").mapInArrow(run, "key long, hashes array<long>, starts array<int>")
-    zipped = stored(found.filter(F.size("hashes") > 0), "runs").select("key", F.explode(F.arrays_zip("hashes", "starts")).alias("_r"))
-    return zipped.select(F.col("_r.hashes").alias("hash"), "key", F.col("_r.starts").alias("start"))
+    far_left, far_right = common(left, n_left), common(right, n_right)
+    bits, other = np.zeros(m, np.int64), ~np.eye(m, dtype=bool)
+    for k in range(reach + 1):
+        bits |= ((far_left >= k) & (far_right >= reach - k) & other).any(1).astype(np.int64) << k
+    return bits
+
+
+def shared_passages(around: DataFrame, passage: int) -> DataFrame:
+    """variant, bits: the passages around each variant of a gram that occur at two places or more (see ``extend``).
+
+    Equal surroundings are counted before a gram's variants meet, so a hot passage with one surrounding is one row; what
+    is around a variant that occurs twice is repeated as it is. The variants of a gram are sorted and extended
+    against each other; of a gram with more than MOST_VARIANTS, each passage of each variant is counted by its hash instead, which spreads them.
+    """
+    reach = passage - (passage // 2 + 1)
+    each = around.groupBy("gram", "variant").agg(F.count(F.lit(1)).alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
+    each = stored(each, "variants")
+    size = cut(each.groupBy("gram").agg(F.count(F.lit(1)).alias("_v")).filter("_v > 1"))
+    whole = F.expr(f"aggregate(filter(sequence(0, {reach}), l -> l <= size(left) and {reach} - l <= size(right)), 0L, (a, l) -> a + shiftleft(1L, l))")
+    copies = each.filter("n > 1").select("variant", whole.alias("bits"))
+    single = each.select("gram", "variant", "n", "left", "right")
+    few = join_checked(single, size.filter(F.col("_v") <= MOST_VARIANTS).select("gram"), "gram")
+    many = join_checked(single, size.filter(F.col("_v") > MOST_VARIANTS).select("gram"), "gram")
+
+    def wide(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        number = np.asarray(column.value_lengths()).astype(np.int64)
+        out = np.zeros((len(column), reach), np.int64)
+        out[np.arange(reach) < number[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+        return out, number
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last, found = None, []
+
+        def close() -> None:
+            variant = np.concatenate([p.column("variant").to_numpy(zero_copy_only=False) for p in held])
+            (a, na), (b, nb) = ([np.concatenate(x) for x in zip(*(wide(p.column(c)) for p in held))] for c in ("left", "right"))
+            found.append((variant, extend(a, b, na, nb, reach)))
+            held.clear()
+
+        def lines() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["variant", "bits"])
+            found.clear()
+            return out
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gram = batch.column("gram").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(gram[1:] != gram[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and gram[a] != last:
+                    close()
+                held.append(batch.slice(a, b - a))
+                last = gram[a]
+            if found:
+                yield lines()
+        if held:
+            close()
+            yield lines()
+
+    compared = few.repartition("gram").sortWithinPartitions("gram", "right", "left").select("gram", "variant", "left", "right").mapInArrow(pairs, "variant long, bits long")
+    words = F.concat(F.reverse("left"), F.array(F.col("gram")), F.col("right"))
+    runs = many.select("gram", "variant", F.size("left").alias("_l"), words.alias("_w"), F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("l"))
+    runs = runs.filter((F.col("l") <= F.col("_l")) & (F.size("_w") >= F.col("_l") + 1 - F.col("l") + reach))
+    run = F.slice(F.col("_w"), F.col("_l") - F.col("l") + 1, F.lit(reach + 1))
+    keyed = runs.select("variant", "l", F.xxhash64("gram", "l", run).alias("_a"), F.xxhash64(F.lit(1), "l", run).alias("_b"))
+    again = keyed.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_a", "_b")
+    counted = keyed.join(again, ["_a", "_b"]).groupBy("variant").agg(F.sum(F.expr("shiftleft(1L, l)")).alias("bits"))
+    return copies.unionByName(compared).unionByName(counted).filter("bits <> 0").groupBy("variant").agg(F.bit_or("bits").alias("bits"))
+
+
+def _spans(hits: DataFrame, passage: int) -> DataFrame:
+    """key, spans: the merged word ranges of the passages given by (key, place, bits)."""
+    reach = passage - (passage // 2 + 1)
+    per = hits.groupBy("key").agg(F.collect_list(F.struct("place", "bits")).alias("found"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for found in batch.column("found"):
+                flat = found.values
+                place, bits = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("place", "bits"))
+                starts = np.unique((place[:, None] - np.arange(reach + 1))[(bits[:, None] >> np.arange(reach + 1) & 1).astype(bool)])
+                breaks = np.flatnonzero(np.diff(starts) > passage)
+                begins, ends = starts[np.concatenate([[0], breaks + 1])], starts[np.concatenate([breaks, [len(starts) - 1]])] + passage
+                spans.append([{"first": int(a), "last": int(b)} for a, b in zip(begins, ends)])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], names=["key", "spans"])
+
+    return per.mapInArrow(run, "key long, spans array<struct<first:int,last:int>>")
 
 
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
@@ -167,8 +278,8 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     1. Documents with equal word sequences become one; each of them is repeated as a whole.
     2. Suffixes are kept at content-selected minimiser positions only (``anchors``), sorted, and
        compared with their neighbours (``repeated_suffixes``).
-    3. Around the suffixes that match, the runs to the left and right that hold their gram are
-       compared exactly, and the runs that occur again are joined to maximal spans.
+    3. Suffixes that match are extended to the left and to the right word by word (``extend``), and
+       the passages that they share are joined to maximal spans.
 
     Null, empty and shorter texts have no passages; rows without doc_id are compared with the
     others and not reported; rows that repeat an id are places of their own, and the spans of
@@ -179,22 +290,13 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     alike = cut(table.select("key", "doc_id", "n_words", "digest").join(alike.hint("shuffle_hash"), ["n_words", "digest"]))
     others = alike.filter("key <> keep").select("key").distinct()
     suffixes = join_checked(table.filter(F.size("grams") > 0), others, "key", "left_anti").select("key", F.explode(F.arrays_zip("grams", "places")).alias("_s")).select(F.col("_s.grams").alias("gram"), "key", F.col("_s.places").alias("place"))
-    places = cut(repeated_suffixes(suffixes))
-    runs = _extended(docs, places, passage)
-    again = runs.groupBy("hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("hash")
-    hits = runs.join(again.hint("shuffle_hash"), "hash").select("key", "start")
-    per = hits.groupBy("key").agg(F.array_sort(F.collect_set("start")).alias("starts"))
-    per = per.select("key", F.expr(_merge(passage)).alias("spans")).join(alike.select("key").distinct(), "key", "left_anti")
+    around = stored(_around(docs, cut(repeated_suffixes(suffixes)), passage), "around")
+    bits = cut(shared_passages(around, passage))
+    hits = join_checked(around.select("key", "place", "variant"), bits, "variant", most=500_000).select("key", "place", "bits").distinct()
+    per = _spans(hits, passage).join(alike.select("key").distinct(), "key", "left_anti")
     named = table.filter("doc_id is not null").select("key", "doc_id").distinct()
     whole = alike.filter("doc_id is not null").select("doc_id", "n_words", "digest").distinct()
     whole = whole.select("doc_id", F.array(F.struct(F.lit(0).alias("first"), F.col("n_words").cast("int").alias("last"))).alias("spans"))
     spans = per.join(named, "key").select("doc_id", "spans").unionByName(whole).groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     out = spans.join(table.groupBy("doc_id").agg(F.max("n_words").alias("n_words")), "doc_id")
     return out.select("doc_id", "spans", F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["last"] - s["first"]).alias("n_repeated"), "n_words")
-
-
-def _merge(passage: int) -> str:
-    """SQL that joins sorted starts of runs to maximal spans: one begins where a gap is wider than a passage."""
-    begins = f"filter(starts, (x, i) -> i = 0 or x > starts[i - 1] + {passage})"
-    stops = f"filter(starts, (x, i) -> i = size(starts) - 1 or starts[i + 1] > x + {passage})"
-    return f"transform(arrays_zip({begins} as b, {stops} as e), s -> named_struct('first', s.b, 'last', s.e + {passage}))".replace(" as b", "").replace(" as e", "").replace("s.b", "s['0']").replace("s.e", "s['1']")

@@ -725,6 +725,29 @@ def test_passages_equal_brute_force(spark):
     assert suffixes.repeated_passages(empty(spark)).count() == 0 and suffixes.repeated_passages(odd_documents(spark)).count() == 0
 
 
+def test_variants_extend_to_both_sides(monkeypatch):
+    rng, reach = np.random.default_rng(2), 7
+    left, right = rng.integers(0, 2, (30, reach)), rng.integers(0, 2, (30, reach))
+    n_left, n_right = rng.integers(0, reach + 1, 30), rng.integers(0, reach + 1, 30)
+    got = suffixes.extend(left, right, n_left, n_right, reach)
+    for i in range(30):
+        for k in range(reach + 1):
+            ok = lambda j: n_left[j] >= k and n_right[j] >= reach - k
+            want = ok(i) and any(j != i and ok(j) and (left[i, :k] == left[j, :k]).all() and (right[i, : reach - k] == right[j, : reach - k]).all() for j in range(30))
+            assert bool(got[i] >> k & 1) == bool(want)
+
+
+@pytest.mark.parametrize("most", [64, 1])
+def test_hot_passages_with_many_surroundings_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(suffixes, "MOST_VARIANTS", most)
+    rng = random.Random(6)
+    hot = [f"h{k}" for k in range(58)]
+    docs = [(i, " ".join([f"a{rng.randrange(9)}" for _ in range(rng.randint(0, 30))] + hot + [f"b{rng.randrange(9)}" for _ in range(rng.randint(0, 30))])) for i in range(90)]
+    docs += [(200 + i, docs[i][1]) for i in range(20)] + [(300, " ".join(hot[:50] * 3)), (301, " ".join(hot[5:58] + hot[:49]))]
+    got = {r["doc_id"]: [[s["first"], s["last"]] for s in r["spans"]] for r in suffixes.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_passages(docs)
+
+
 def test_passages_of_rows_that_repeat_an_id_or_have_none(spark):
     rng = random.Random(4)
     text = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
