@@ -217,7 +217,9 @@ def train(stats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, **options
     marked = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_y")).dropna().groupBy("_id").agg(F.min("_y").alias("_y"))
     marked = marked.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     joined = stats.join(F.broadcast(marked), F.col("doc_id") == F.col("_id"))  # bounded by rows
-    sample = joined.select(F.pmod(F.xxhash64(F.lit("grow"), "_id"), F.lit(3)).alias("_fold"), "_id", "_y", *(test_value(t, F.col).alias(t) for t in TESTS)).limit(2 * rows).toPandas().sort_values(["_id", "n_words"], ignore_index=True)
+    row = F.min(F.struct(*(test_value(t, F.col).alias(t) for t in TESTS)))  # of rows that repeat an id one, the same in each run
+    one = joined.groupBy("_id", "_y").agg(row.alias("_r")).select(F.pmod(F.xxhash64(F.lit("grow"), "_id"), F.lit(3)).alias("_fold"), "_id", "_y", "_r.*")
+    sample = one.toPandas().sort_values("_id", ignore_index=True)
     if sample.empty:
         return []
     return learn_rules({t: sample[t].to_numpy(float) for t in TESTS}, (sample["_y"] == 0).to_numpy(), (sample["_fold"] > 0).to_numpy(), **options)

@@ -189,6 +189,29 @@ def test_dictionary_does_not_depend_on_the_split(spark):
         assert secrets.dictionary_counts(df.repartition(parts)) == [("alpha", 40), ("often", 40), ("beta", 25)]
 
 
+def test_forest_on_findings_written_by_hand(spark):
+    import findings
+
+    rows = [(k, "some words stand before it\n" + t + "\nand some after it", s + 27, f, y) for k, (t, s, f, y) in enumerate((*f, y) for y, block in ((1, findings.SECRETS), (0, findings.OTHERS)) for f in findings.parsed(block))]
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string")
+    corpus = table(spark, "/root/testdata/sf0.01", "documents").select((F.col("doc_id") + 10**6).alias("doc_id"), "text")
+    hits = {}
+    for r in secrets.scan(docs.unionByName(corpus)).filter("doc_id < 1000000").collect():
+        hits.setdefault(r["doc_id"], []).append((r["start"], r["start"] + r["length"]))
+    caught = [any(a < s + len(f) and b > s for a, b in hits.get(k, [])) for k, _, s, f, y in rows if y]
+    false = [bool(hits.get(k)) for k, *_, y in rows if not y]
+    assert sum(caught) / len(caught) >= 0.9 and sum(caught) / (sum(caught) + sum(false)) >= 0.9
+
+
+def test_secrets_of_odd_rows(spark):
+    key = "q8Zk3mVt7RwXy1LsPd0cUa9B"
+    long = "plain words go on " * 30_000 + f'api_key = "{key}" ' + "and on " * 1000
+    rows = [(1, long), (2, f"token: {key}"), (2, f"token: {key}"), (3, None), (4, ""), (None, f"password={key}")]
+    got = Counter((r["doc_id"], r["length"]) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(1, len(key)): 1, (2, len(key)): 2, (None, len(key)): 1}
+    assert secrets.scan(empty(spark)).count() == 0
+
+
 def test_forest_on_held_out_findings(spark):
     words = ["alpha", "bravo", "charlie", "delta", "report", "table", "number", "figure"]
     known = secrets.Dictionary.of([(w, 9) for w in words])
@@ -543,6 +566,31 @@ def test_counts_equal_brute_force(spark):
         assert tuple(int(got[c][k]) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct_words")) == want
 
 
+def test_verdict_and_base_check_equal_plain_python(spark):
+    docs = table(spark, FOLDER, "documents")
+    rules = [quality.Rule((("symbols_per_word", ">", 0.05), ("n_words", ">", 20.0))), quality.Rule((("dup_line_share", ">", 0.1),))]
+    want = {}
+    for r in docs.collect():
+        words = WORD.findall(r["text"] or "")
+        lines = [x for x in (r["text"] or "").split("\n") if WORD.search(x)]
+        grams = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+        covered = {j for i in range(len(words) - 4) if grams[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
+        failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
+        symbols = sum(c in "#*$%&|<>" for c in r["text"] or "")
+        share = (len(lines) - len(set(lines))) / len(lines) if lines else 0.0
+        rule = 0 if words and symbols / len(words) > 0.05 and len(words) > 20 else 1 if share > 0.1 else None
+        want[r["doc_id"]] = (failed, rule, not failed and rule is None)
+    got = {r["doc_id"]: (r["base_failed"], r["rule"], r["kept"]) for r in quality.score_quality(docs, table(spark, FOLDER, "labels"), rules).collect()}
+    assert got == want
+
+
+def test_training_takes_one_row_of_each_labelled_id(spark):
+    docs = spark.createDataFrame([(k % 40, f"word{k} " * (12 + k % 7) + ("### " * 9 if k % 2 else "")) for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(40)] * 3, "doc_id long, quality int, toxic int")
+    stats = components.cut(quality.statistics(docs))
+    assert quality.train(stats, labels) == quality.train(stats.orderBy(F.rand(3)), labels) != []
+
+
 def test_rules_are_learned_and_speak_in_order(spark):
     rng = np.random.default_rng(8)
     x = {t: rng.uniform(0, 1, 900) for t in quality.TESTS}
