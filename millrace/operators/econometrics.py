@@ -272,16 +272,23 @@ def group_mean_fit(df: DataFrame, group: str, y: str) -> DataFrame:
 
 
 def granger(df: DataFrame, y: str, x: str, entity: str, time: str, n: int = 2) -> dict:
-    """Y on n lags of y and x without constant; the joint F test of x's lags."""
+    """Y on n lags of y and x without constant; the joint F test of x's lags, and a Wald test that allows for dependence within entities."""
     w = Window.partitionBy(entity).orderBy(time)
-    lag = df.select(F.col(y).alias("_y"), *[F.lag(c, k).over(w).alias(f"{s}{k}") for c, s in ((y, "y"), (x, "x")) for k in range(1, n + 1)]).dropna()
+    lag = df.select(F.col(entity).alias("_e"), F.col(y).alias("_y"), *[F.lag(c, k).over(w).alias(f"{s}{k}") for c, s in ((y, "y"), (x, "x")) for k in range(1, n + 1)]).dropna()
     own, other = [f"y{k}" for k in range(1, n + 1)], [f"x{k}" for k in range(1, n + 1)]
     m, g = gram(lag, own + other + ["_y"])
     full = _solve(own + other, m, g, 2 * n)
     cut = [*range(n), 2 * n]
     small = _solve(own, m, g[np.ix_(cut, cut)], n)
     f = ((small.ssr - full.ssr) / n) / (full.ssr / (m - 2 * n)) if m > 2 * n and full.ssr > 0 else math.nan
-    return {"n": m, "f": f, "p": f_p(f, n, m - 2 * n), "coef": dict(zip(own + other, full.coef.tolist()))}
+    terms = own + other
+    residual = F.col("_y") - sum((F.col(t) * float(b) for t, b in zip(terms, full.coef)), F.lit(0.0))
+    scores = lag.withColumn("_u", residual).groupBy("_e").agg(*[F.sum(F.col(t) * F.col("_u")).alias(f"s{k}") for k, t in enumerate(terms)])
+    entities, meat = gram(scores, [f"s{k}" for k in range(2 * n)])
+    bread = np.linalg.pinv(g[:-1, :-1])
+    cov = (bread @ meat @ bread)[n:, n:]
+    wald = float(full.coef[n:] @ np.linalg.pinv(cov) @ full.coef[n:]) / n
+    return {"n": m, "f": f, "p": f_p(f, n, m - 2 * n), "wald": wald, "p_wald": f_p(wald, n, entities - 1), "coef": dict(zip(terms, full.coef.tolist()))}
 
 
 def vif(df: DataFrame, xs: list[str]) -> DataFrame:
@@ -291,9 +298,13 @@ def vif(df: DataFrame, xs: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, float(x), "high" if x >= 10 else "ok") for c, x in zip(xs, v)], "feature string, vif double, status string")
 
 
-def subset_search(df: DataFrame, y: str, xs: list[str], sort_by: str = "bic", most: int = 4096) -> DataFrame:
-    """All subsets of terms from one pass of sums, ranked by a criterion."""
-    rows = df.select(y, *xs).dropna().withColumn("_one", F.lit(1.0))
+def subset_search(df: DataFrame, y: str, xs: list[str], sort_by: str = "bic", most: int = 4096, entity: str | None = None) -> DataFrame:
+    """All subsets of terms from one pass of sums, ranked by a criterion; with ``entity`` under entity effects."""
+    rows = df.select(*([entity] if entity else []), *[F.col(c).cast("double").alias(c) for c in (y, *xs)]).dropna()
+    if entity:  # differences plus the overall mean, so that the constant stays a term
+        means = rows.agg(*[F.avg(c).alias(c) for c in (y, *xs)]).first()
+        rows = demeaned(rows, [y, *xs], entity).select(*[(F.col(c) + F.lit(float(means[c] or 0.0))).alias(c) for c in (y, *xs)])
+    rows = rows.withColumn("_one", F.lit(1.0))
     terms = ["_one", *xs]
     n, g = gram(rows, terms + [y])
     centred = g[-1, -1] - g[0, -1] ** 2 / n
@@ -309,17 +320,44 @@ def subset_search(df: DataFrame, y: str, xs: list[str], sort_by: str = "bic", mo
     return table.orderBy(F.desc(sort_by) if sort_by == "r2" else F.asc(sort_by), "terms")
 
 
-def random_intercept(df: DataFrame, y: str, x: str, entity: str, rounds: int = 50) -> dict:
-    """Random intercept per entity by EM over a table of sums with one row an entity."""
-    s = df.select(entity, F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x")).dropna().groupBy(entity).agg(F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(k) for k, e in (("sx", F.col("x")), ("sy", F.col("y")), ("sxx", F.col("x") * F.col("x")), ("sxy", F.col("x") * F.col("y")), ("syy", F.col("y") * F.col("y")))]).persist()
-    b0 = b1 = 0.0
-    s2 = t2 = 1.0
-    for _ in range(rounds):
-        u = (F.col("sy") - b0 * F.col("n") - b1 * F.col("sx")) * t2 / (t2 * F.col("n") + s2)
-        v = s2 * t2 / (t2 * F.col("n") + s2)
-        a = s.select("*", u.alias("u"), v.alias("v")).agg(F.sum("n").alias("n"), F.sum("sx").alias("sx"), F.sum("sxx").alias("sxx"), F.sum(F.col("sy") - F.col("u") * F.col("n")).alias("sy"), F.sum(F.col("sxy") - F.col("u") * F.col("sx")).alias("sxy"), F.avg(F.col("u") * F.col("u") + F.col("v")).alias("t2"), F.sum(F.col("n") * F.col("v")).alias("nv"), F.sum(F.col("syy") - 2 * F.col("u") * F.col("sy") + F.col("u") * F.col("u") * F.col("n")).alias("yy")).first()
-        b0, b1 = np.linalg.solve([[a["n"], a["sx"]], [a["sx"], a["sxx"]]], [a["sy"], a["sxy"]])
-        rss = a["yy"] - 2 * b0 * a["sy"] - 2 * b1 * a["sxy"] + b0 * b0 * a["n"] + 2 * b0 * b1 * a["sx"] + b1 * b1 * a["sxx"]
-        s2, t2 = max((rss + a["nv"]) / a["n"], 1e-12), max(a["t2"], 1e-12)
-    s.unpersist()
-    return {"const": float(b0), "slope": float(b1), "var_residual": float(s2), "var_entity": float(t2)}
+def mixed_model(df: DataFrame, y: str, xs: list[str], entity: str, reml: bool = True) -> dict:
+    """A random intercept per entity and any number of regressors, by (restricted) maximum likelihood.
+
+    All that the likelihood needs are the cross products of all rows, and for each group size those of
+    the entities' sums: one pass over the rows, no job for a step of the search. ``var_entity`` and ``var_residual``
+    are the variances; the driver holds a small matrix for each size that occurs.
+    """
+    names = ["_one", *xs, y]
+    rows = df.select(entity, *[F.col(c).cast("double").alias(c) for c in (*xs, y)]).dropna().withColumn("_one", F.lit(1.0))
+    total, g = gram(rows, names)
+    sums = rows.groupBy(entity).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in names])
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    by_size = sums.groupBy("_n").agg(F.count(F.lit(1)).alias("_m"), *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"h{i}_{j}") for i, j in pairs]).collect()
+    outer = np.zeros((len(by_size), len(names), len(names)))
+    for k, r in enumerate(by_size):
+        for i, j in pairs:
+            outer[k, i, j] = outer[k, j, i] = r[f"h{i}_{j}"]
+    size, many = np.array([r["_n"] for r in by_size], float), np.array([r["_m"] for r in by_size], float)
+    used = total - (len(xs) + 1 if reml else 0)
+
+    def solved(ratio: float) -> tuple[float, np.ndarray, float]:
+        a = g - np.tensordot(ratio / (1 + ratio * size), outer, 1)
+        beta = np.linalg.pinv(a[:-1, :-1]) @ a[:-1, -1]
+        var = max(float(a[-1, -1] - beta @ a[:-1, -1]) / used, 1e-300)
+        loss = used * math.log(var) + float(many @ np.log1p(ratio * size)) + (np.linalg.slogdet(a[:-1, :-1])[1] if reml else 0.0)
+        return loss, beta, var
+
+    low, high, golden = -18.0, 12.0, (math.sqrt(5) - 1) / 2  # of the logarithm of the variances' ratio
+    while high - low > 1e-9:
+        a, b = high - golden * (high - low), low + golden * (high - low)
+        low, high = (low, b) if solved(math.exp(a))[0] < solved(math.exp(b))[0] else (a, high)
+    ratio = math.exp((low + high) / 2)
+    ratio = ratio if solved(ratio)[0] < solved(0.0)[0] else 0.0
+    _, beta, var = solved(ratio)
+    return {"coef": dict(zip(["const", *xs], beta.tolist())), "var_residual": var, "var_entity": ratio * var}
+
+
+def random_intercept(df: DataFrame, y: str, x: str, entity: str) -> dict:
+    """E2 with one regressor: const, slope and both variances."""
+    m = mixed_model(df, y, [x], entity)
+    return {"const": m["coef"]["const"], "slope": m["coef"][x], "var_residual": m["var_residual"], "var_entity": m["var_entity"]}

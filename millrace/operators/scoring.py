@@ -12,7 +12,7 @@ from millrace.functions.scalars import RENEWABLE_BANDS, SCORE_BANDS, band, clamp
 
 @dataclass(frozen=True)
 class ScoreRules:
-    """Our defaults: bounds and full marks of the parts."""
+    """Bounds and full marks of the parts."""
 
     benchmark: float = 2.0
     trend_threshold: float = 0.02

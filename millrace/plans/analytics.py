@@ -381,20 +381,20 @@ def ols_line(spark, d):
 def panel_subset_search(spark, d):
     """All subsets from one pass of sums."""
     ny = nation_years(spark, d).withColumn("age", F.col("t") - 1995).withColumn("age2", F.col("age") * F.col("age"))
-    return E.subset_search(ny, "y", ["n", "age", "age2"])
+    return E.subset_search(ny, "y", ["n", "age", "age2"], entity="k")
 
 
 @query()
 def granger_lags(spark, d):
     """Joint test of two lags."""
     g = E.granger(nation_years(spark, d).withColumn("x", F.col("n").cast("double")), "y", "x", "k", "t")
-    return spark.createDataFrame([(int(g["n"]), float(g["f"]), float(g["p"]))], "n long, f double, p double")
+    return spark.createDataFrame([(int(g["n"]), float(g["f"]), float(g["p"]), float(g["wald"]), float(g["p_wald"]))], "n long, f double, p double, wald double, p_wald double")
 
 
 @query()
 def random_intercept_model(spark, d):
     """E2."""
-    m = E.random_intercept(nation_years(spark, d), "y", "t", "k", 15)
+    m = E.random_intercept(nation_years(spark, d), "y", "t", "k")
     return spark.createDataFrame([tuple(m.values())], "const double, slope double, var_residual double, var_entity double")
 
 

@@ -14,6 +14,7 @@ from millrace.operators import retrieval as R
 from millrace.operators import stats as S
 from millrace.operators import text as T
 from millrace.operators import topics as M
+from millrace.plans.analytics import ORACLES as ORACLES_OF_TEXTS
 from millrace.plans.relational import NY, TYPE_RULES, nation_years, r, registrar, rounded
 from millrace.session import scratch
 from millrace.sources import sinks as K
@@ -314,6 +315,20 @@ def chunk_language_majority(spark, d):
     return docs.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("majority", F.lit("en")).alias("language"), F.coalesce("votes", F.lit(0)).alias("votes"))
 
 
+_TEXT = ORACLES_OF_TEXTS["clean_text_regex"]
+
+
+@query(f"""WITH c AS ({_TEXT}), w AS (SELECT c.doc_id, d.lang, CAST(s // 1400 AS INT) AS position, substring(cleaned, CAST(s + 1 AS BIGINT), 1500) AS chunk FROM (SELECT doc_id, cleaned, unnest(generate_series(0, greatest(length(cleaned) - 1, 0), 1400)) AS s FROM c WHERE length(cleaned) > 0) c JOIN documents d ON c.doc_id = d.doc_id)
+SELECT doc_id, position, lang, lang IN ('de', 'es', 'fr') AS translated, CAST(length(chunk) + CASE WHEN lang IN ('de', 'es', 'fr') THEN 4 ELSE 0 END AS INT) AS n FROM w""")
+def document_chain(spark, d):
+    """A document cleaned, cut to chunks, and those of other languages translated."""
+    docs = load(spark, d, "documents")
+    cleaned = docs.select("doc_id", "lang", X.squeeze_marks(X.clean_artifacts(F.col("text")), backreference=False).alias("text"))
+    chunks = T.fixed_windows(cleaned, "doc_id", "text").join(docs.select("doc_id", "lang"), "doc_id")
+    done = T.translate(chunks, "chunk", "lang", {k: (lambda texts: "[t] " + texts) for k in ("de", "es", "fr")})
+    return done.select("doc_id", "position", "lang", "translated", F.length("chunk").alias("n"))
+
+
 @query()
 def snapped_chunks(spark, d):
     """T5: windows that end at a sentence or line end where there is one in their last fifth."""

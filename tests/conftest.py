@@ -3,6 +3,8 @@ import sys
 
 import pytest
 
+for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):  # small matrices; threads that wait for busy cores cost more than they give
+    os.environ.setdefault(name, "1")
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 

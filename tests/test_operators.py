@@ -262,3 +262,38 @@ def test_translation_falls_back_to_single_texts(spark):
     df = spark.createDataFrame([(1, "de", "a"), (2, "de", "bad"), (3, "fr", "c"), (4, "de", None)], "i int, lang string, text string")
     got = {r["i"]: (r["text"], r["translated"]) for r in text.translate(df, "text", "lang", {"de": model}).collect()}
     assert got == {1: ("t:a", True), 2: ("bad", False), 3: ("c", False), 4: (None, False)}
+
+
+def test_mixed_model_equals_a_dense_likelihood(spark):
+    rng = np.random.default_rng(11)
+    effect = rng.normal(0, 1.5, 30)
+    rows = [(e, float(a), float(b), float(2 + 0.7 * a - 0.3 * b + effect[e] + rng.normal(0, 0.6))) for e in range(30) for a, b in rng.normal(size=(2 + e % 5, 2))]
+    m = E.mixed_model(spark.createDataFrame(rows, "e int, a double, b double, y double"), "y", ["a", "b"], "e")
+    z = np.array(rows)
+    x, y = np.column_stack([np.ones(len(z)), z[:, 1:3]]), z[:, 3]
+
+    def loss(var_e, var_u):
+        v = var_e * np.eye(len(z)) + var_u * (z[:, :1] == z[:, 0])
+        i = np.linalg.inv(v)
+        beta = np.linalg.solve(x.T @ i @ x, x.T @ i @ y)
+        r = y - x @ beta
+        return np.linalg.slogdet(v)[1] + r @ i @ r + np.linalg.slogdet(x.T @ i @ x)[1], beta
+
+    best, beta = loss(m["var_residual"], m["var_entity"])
+    assert list(m["coef"].values()) == pytest.approx(beta.tolist(), rel=1e-6)
+    assert all(best <= loss(m["var_residual"] * f, m["var_entity"] * h)[0] + 1e-9 for f in (0.97, 1, 1.03) for h in (0.97, 1, 1.03))
+
+
+def test_granger_wald_and_subsets_under_effects(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for e in range(25):
+        x, y = rng.normal(size=14), np.zeros(14)
+        for t in range(2, 14):
+            y[t] = 0.3 * y[t - 1] + 0.8 * x[t - 1] + 0.1 * rng.normal()
+        rows += [(e, t, float(x[t]), float(y[t] + e)) for t in range(14)]
+    df = spark.createDataFrame(rows, "e int, t int, x double, y double")
+    g = E.granger(df, "y", "x", "e", "t")
+    assert g["p"] < 1e-6 and g["p_wald"] < 1e-6 and g["wald"] > 0
+    best = E.subset_search(df, "y", ["x", "t"], entity="e").first()
+    assert best["r2"] < E.subset_search(df.withColumn("e2", F.col("e").cast("double")), "y", ["x", "t", "e2"]).orderBy(F.desc("r2")).first()["r2"]
