@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import join_checked
-from millrace.llm.shared import cut, mix, rolling_hashes, slices, stored, text_bytes, word_bounds, word_hashes
+from millrace.llm.shared import cut, mix, powers, rolling_hashes, slices, stored, text_bytes, word_bounds, word_hashes
 
 #: Words of the shortest passage that is reported.
 PASSAGE = 50
 #: Variants of a gram's surroundings that are extended against each other in one task, at most.
 MOST_VARIANTS = 64
+#: Rows that are broadcast, and places in them, at most; beyond that they are joined by shuffling.
+PLACED_ROWS, PLACES = 100_000, 2_000_000
 _MOST = np.uint64((1 << 64) - 1)
 
 
@@ -61,8 +63,25 @@ def _rows(docs: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.xxhash64("doc_id", "text"))
 
 
+def surroundings(words: np.ndarray, at: np.ndarray, before: np.ndarray, length: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """For suffixes at ``at`` a hash of the words as far to both sides as passages with the gram reach, and the bits of those passages.
+
+    ``before`` is how many words the document has before the suffix, ``length`` how many it has. Bit l of the
+    second is for the passage that begins l words before the gram.
+    """
+    gram = passage // 2 + 1
+    reach = passage - gram
+    left, right = np.minimum(before, reach), np.clip(length - before - gram, 0, reach)
+    up, down = powers(len(words) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[:-1])])
+    run = (total[at + gram + right] - total[at - left]) * down[at - left]
+    starts = np.arange(reach + 1)
+    whole = ((starts <= left[:, None]) & (reach - starts <= right[:, None])) @ (np.int64(1) << starts)
+    return mix(run + left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), whole
+
+
 def sparse_suffixes(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
-    """key, doc_id, n_words, digest, and the gram hashes and positions of the selected suffixes."""
+    """key, doc_id, n_words, digest, and of the selected suffixes gram hashes, positions, variants and bits (``surroundings``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -72,70 +91,75 @@ def sparse_suffixes(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
             place = (np.arange(len(words)) - first[row_of]).astype(np.uint64) if len(words) else np.zeros(0, np.uint64)
             one = np.concatenate([[np.uint64(0)], np.cumsum(mix(words + place * np.uint64(0x9E3779B97F4A7C15)))])
             digest = one[first[1:]] - one[first[:-1]]
-            local = (at - first[row_of[at]]).astype(np.int32) if len(at) else np.zeros(0, np.int32)
+            local = at - first[row_of[at]] if len(at) else np.zeros(0, np.int64)
+            variant, whole = surroundings(words, at, local, np.diff(first)[row_of[at]], passage) if len(at) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             ends = pa.array(bounds.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(np.diff(first)), pa.array(digest.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(grams.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(local))], names=["key", "doc_id", "n_words", "digest", "grams", "places"])
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (grams.view(np.int64), local.astype(np.int32), variant.view(np.int64), whole.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(np.diff(first)), pa.array(digest.view(np.int64)), *lists], names=["key", "doc_id", "n_words", "digest", "grams", "places", "variants", "wholes"])
+
+    return _rows(docs).mapInArrow(run, "key long, doc_id long, n_words long, digest long, grams array<long>, places array<int>, variants array<long>, wholes array<int>")
+
 
-    return _rows(docs).mapInArrow(run, "key long, doc_id long, n_words long, digest long, grams array<long>, places array<int>")
+_SUFFIX = "gram long, key long, place int, variant long, whole int, kind string"
 
 
 def repeated_suffixes(suffixes: DataFrame) -> DataFrame:
-    """gram, key, place of the suffixes of (gram, key, place) whose gram occurs again.
+    """The suffixes (gram, key, place, variant, whole) whose gram occurs again.
 
-    The suffixes are sorted over the cluster by (gram, key, place) and neighbours compared.
+    The suffixes are sorted over the cluster by (gram, variant, key, place) and neighbours compared.
     A gram that many documents share is spread over several sorted runs. A suffix alone with its
     gram in its run can have equals in other runs only if it is the run's first or last; these
     edges, two a run, are matched among all runs afterwards.
     """
+    names = ["gram", "key", "place", "variant", "whole"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "key", "place", "kind"]
+        def marked(rows: pa.RecordBatch, kind: str) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array([kind] * rows.num_rows, pa.string())], names=[*names, "kind"])
 
-        def lines(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.string()))], names=names)
-
-        held = None  # the last row: (gram, key, place, equals the row before, is the run's first)
+        held = None  # the last row: its gram, the row, whether it equals the row before, whether it is the run's first
         for batch in batches:
             if not batch.num_rows:
                 continue
-            g, d, p = (batch.column(c).to_numpy(zero_copy_only=False) for c in names[:3])
+            batch = batch.select(names)
+            g = batch.column("gram").to_numpy(zero_copy_only=False)
             before = np.empty(len(g), bool)
             before[0] = held is not None and held[0] == g[0]
             before[1:] = g[1:] == g[:-1]
             if held is not None:
-                kind = "again" if held[3] or before[0] else "edge" if held[4] else None
+                kind = "again" if held[2] or before[0] else "edge" if held[3] else None
                 if kind:
-                    yield lines([(held[0], held[1], held[2], kind)])
-            first_alone = held is None and len(g) > 1 and not before[1]
+                    yield marked(held[1], kind)
             hit = before[:-1] | before[1:]
             if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(g[:-1][hit]), pa.array(d[:-1][hit]), pa.array(p[:-1][hit].astype(np.int32)), pa.array(["again"] * int(hit.sum()))], names=names)
-            if first_alone:
-                yield lines([(int(g[0]), int(d[0]), int(p[0]), "edge")])
-            held = (int(g[-1]), int(d[-1]), int(p[-1]), bool(before[-1]), held is None and len(g) == 1)
+                yield marked(batch.slice(0, len(g) - 1).filter(pa.array(hit)), "again")
+            if held is None and len(g) > 1 and not before[1]:
+                yield marked(batch.slice(0, 1), "edge")
+            held = (g[-1], batch.slice(len(g) - 1, 1), bool(before[-1]), held is None and len(g) == 1)
         if held is not None:
-            yield lines([(*held[:3], "again" if held[3] else "edge")])
+            yield marked(held[1], "again" if held[2] else "edge")
 
-    order = ["gram", "key", "place"]
-    runs = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = cut(runs.mapInArrow(compare, "gram long, key long, place int, kind string"))
+    order = ["gram", "variant", "key", "place"]
+    runs = suffixes.select(*names).repartitionByRange(*order).sortWithinPartitions(*order)
+    found = stored(runs.mapInArrow(compare, _SUFFIX), "repeated")
     edges = cut(found.filter("kind = 'edge'").groupBy("gram").agg(F.count(F.lit(1)).alias("_edges")))
     grams = found.filter("kind = 'again'").select("gram").distinct()  # a hot gram is one row before it meets the edges
     inner = join_checked(grams, edges.select("gram"), "gram").withColumn("_inner", F.lit(True))
     known = edges.join(inner, "gram", "left").filter("_edges > 1 or _inner").select("gram")
-    return found.filter("kind = 'again'").select("gram", "key", "place").unionByName(found.filter("kind = 'edge'").join(known, "gram").select("gram", "key", "place"))
+    return found.filter("kind = 'again'").select(*names).unionByName(found.filter("kind = 'edge'").join(known, "gram").select(*names))
 
 
-def _around(docs: DataFrame, places: DataFrame, passage: int) -> DataFrame:
-    """gram, key, place, variant, left, right: the words on either side of each repeated suffix's gram.
+def _around(docs: DataFrame, places: DataFrame, passage: int, runs: bool) -> DataFrame:
+    """What is around the suffixes of ``places`` (gram, variant, key, place).
 
-    ``left`` has the words before the gram, the nearest first, ``right`` those after it, as far as a passage
-    with the gram inside can reach and the document goes; ``variant`` is a hash of both and the gram.
+    With ``runs`` a row for each passage with the gram: variant, l (it begins l words before the gram), hash.
+    Without, a row a suffix: gram, variant, left and right, 32-bit hashes of the words before the gram, the nearest
+    first, and of those after it, as far as a passage with the gram inside can reach and the document goes.
     """
     gram = passage // 2 + 1
     reach = passage - gram
-    per = places.groupBy("key").agg(F.collect_list(F.struct("place", "gram")).alias("found"))
-    chosen = join_checked(_rows(docs), per, "key", most=200_000)
+    per = places.groupBy("key").agg(F.collect_list(F.struct("place", "gram", "variant")).alias("found"))
+    chosen = join_checked(_rows(docs), per, "key", most=PLACED_ROWS if places.count() <= PLACES else 0)
     span = np.arange(reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,24 +167,24 @@ def _around(docs: DataFrame, places: DataFrame, passage: int) -> DataFrame:
             words, row_of, first = _words(part.column("text"))
             lists = part.column("found")
             flat = lists.flatten()
-            place, grams = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("place", "gram"))
+            place, grams, variant = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("place", "gram", "variant"))
             owner = np.repeat(np.arange(part.num_rows), np.asarray(lists.value_lengths()))
-            length = np.diff(first)[owner]
-            n_left, n_right = np.minimum(place, reach), np.clip(length - place - gram, 0, reach)
             at = first[owner] + place
+            n_left, n_right = np.minimum(place, reach), np.clip(np.diff(first)[owner] - place - gram, 0, reach)
+            if runs:
+                starts = np.arange(reach + 1)
+                row, l = np.nonzero((starts <= n_left[:, None]) & (reach - starts <= n_right[:, None]))
+                code = mix(rolling_hashes(words, passage)[at[row] - l] + grams.view(np.uint64)[row] * np.uint64(3) + l.astype(np.uint64)) if len(row) else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(variant[row]), pa.array(l.astype(np.int8)), pa.array(code.view(np.int64))], names=["variant", "l", "hash"])
+                continue
+            short = (words >> np.uint64(32)).astype(np.uint32).view(np.int32)
             sides = []
             for count, base, step in ((n_left, at - 1, -1), (n_right, at + gram, 1)):
                 use = span < count[:, None]
-                sides.append((words[(base[:, None] + step * span)[use]], np.concatenate([[0], np.cumsum(count)])))
-            code = mix(grams.view(np.uint64) + np.uint64(1))
-            for (values, bounds), salt in zip(sides, (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)):
-                number = (np.arange(len(values)) - np.repeat(bounds[:-1], np.diff(bounds))).astype(np.uint64)
-                total = np.concatenate([[np.uint64(0)], np.cumsum(mix(values + (number + np.uint64(1)) * np.uint64(salt)))])
-                code = mix(code + (total[bounds[1:]] - total[bounds[:-1]]) + np.diff(bounds).astype(np.uint64))
-            keys = part.column("key").to_numpy(zero_copy_only=False)[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(keys), pa.array(place.astype(np.int32)), pa.array(code.view(np.int64)), *[pa.ListArray.from_arrays(pa.array(b.astype(np.int32)), pa.array(v.view(np.int64))) for v, b in sides]], names=["gram", "key", "place", "variant", "left", "right"])
+                sides.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(short[(base[:, None] + step * span)[use]])))
+            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(variant), *sides], names=["gram", "variant", "left", "right"])
 
-    return chosen.select("key", "text", "found").mapInArrow(run, "gram long, key long, place int, variant long, left array<long>, right array<long>")
+    return chosen.select("key", "text", "found").mapInArrow(run, "variant long, l byte, hash long" if runs else "gram long, variant long, left array<int>, right array<int>")
 
 
 def extend(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, reach: int) -> np.ndarray:
@@ -183,26 +207,25 @@ def extend(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.
     return bits
 
 
-def shared_passages(around: DataFrame, passage: int) -> DataFrame:
+def shared_passages(docs: DataFrame, found: DataFrame, passage: int) -> DataFrame:
     """variant, bits: the passages around each variant of a gram that occur at two places or more (see ``extend``).
 
     Equal surroundings are counted before a gram's variants meet, so a hot passage with one surrounding is one row; what
-    is around a variant that occurs twice is repeated as it is. The variants of a gram are sorted and extended
-    against each other; of a gram with more than MOST_VARIANTS, each passage of each variant is counted by its hash instead, which spreads them.
+    is around a variant that occurs twice is repeated as it is. Of grams with several variants one place of each is looked at
+    again for its words; the variants are sorted and extended against each other; of a gram with more than
+    MOST_VARIANTS, each passage of each variant is counted by its hash instead, which spreads them.
     """
     reach = passage - (passage // 2 + 1)
-    each = around.groupBy("gram", "variant").agg(F.count(F.lit(1)).alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
-    each = stored(each, "variants")
+    each = cut(found.groupBy("gram", "variant").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("_at"), F.first("whole").cast("long").alias("whole")))
     size = cut(each.groupBy("gram").agg(F.count(F.lit(1)).alias("_v")).filter("_v > 1"))
-    whole = F.expr(f"aggregate(filter(sequence(0, {reach}), l -> l <= size(left) and {reach} - l <= size(right)), 0L, (a, l) -> a + shiftleft(1L, l))")
-    copies = each.filter("n > 1").select("variant", whole.alias("bits"))
-    single = each.select("gram", "variant", "n", "left", "right")
-    few = join_checked(single, size.filter(F.col("_v") <= MOST_VARIANTS).select("gram"), "gram")
-    many = join_checked(single, size.filter(F.col("_v") > MOST_VARIANTS).select("gram"), "gram")
+    copies = each.filter("n > 1").select("variant", F.col("whole").alias("bits"))
+    places = cut(join_checked(each.filter("whole <> 0"), size, "gram", most=PLACED_ROWS).select("gram", "variant", "_at.key", "_at.place", "_v"))
+    few = _around(docs, places.filter(F.col("_v") <= MOST_VARIANTS), passage, runs=False)
+    many = _around(docs, places.filter(F.col("_v") > MOST_VARIANTS), passage, runs=True)
 
     def wide(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         number = np.asarray(column.value_lengths()).astype(np.int64)
-        out = np.zeros((len(column), reach), np.int64)
+        out = np.zeros((len(column), reach), np.int32)
         out[np.arange(reach) < number[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
         return out, number
 
@@ -238,13 +261,8 @@ def shared_passages(around: DataFrame, passage: int) -> DataFrame:
             yield lines()
 
     compared = few.repartition("gram").sortWithinPartitions("gram", "right", "left").select("gram", "variant", "left", "right").mapInArrow(pairs, "variant long, bits long")
-    words = F.concat(F.reverse("left"), F.array(F.col("gram")), F.col("right"))
-    runs = many.select("gram", "variant", F.size("left").alias("_l"), words.alias("_w"), F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("l"))
-    runs = runs.filter((F.col("l") <= F.col("_l")) & (F.size("_w") >= F.col("_l") + 1 - F.col("l") + reach))
-    run = F.slice(F.col("_w"), F.col("_l") - F.col("l") + 1, F.lit(reach + 1))
-    keyed = runs.select("variant", "l", F.xxhash64("gram", "l", run).alias("_a"), F.xxhash64(F.lit(1), "l", run).alias("_b"))
-    again = keyed.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_a", "_b")
-    counted = keyed.join(again, ["_a", "_b"]).groupBy("variant").agg(F.sum(F.expr("shiftleft(1L, l)")).alias("bits"))
+    again = many.groupBy("hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("hash")
+    counted = many.join(again, "hash").groupBy("variant").agg(F.sum(F.expr("shiftleft(1L, cast(l as int))")).alias("bits"))
     return copies.unionByName(compared).unionByName(counted).filter("bits <> 0").groupBy("variant").agg(F.bit_or("bits").alias("bits"))
 
 
@@ -289,10 +307,11 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     alike = table.groupBy("n_words", "digest").agg(F.min("key").alias("keep"), F.count(F.lit(1)).alias("copies")).filter(f"copies > 1 and n_words >= {int(passage)}")
     alike = cut(table.select("key", "doc_id", "n_words", "digest").join(alike.hint("shuffle_hash"), ["n_words", "digest"]))
     others = alike.filter("key <> keep").select("key").distinct()
-    suffixes = join_checked(table.filter(F.size("grams") > 0), others, "key", "left_anti").select("key", F.explode(F.arrays_zip("grams", "places")).alias("_s")).select(F.col("_s.grams").alias("gram"), "key", F.col("_s.places").alias("place"))
-    around = stored(_around(docs, cut(repeated_suffixes(suffixes)), passage), "around")
-    bits = cut(shared_passages(around, passage))
-    hits = join_checked(around.select("key", "place", "variant"), bits, "variant", most=500_000).select("key", "place", "bits").distinct()
+    zipped = F.explode(F.arrays_zip("grams", "places", "variants", "wholes")).alias("_s")
+    suffixes = join_checked(table.filter(F.size("grams") > 0), others, "key", "left_anti").select("key", zipped).select(F.col("_s.grams").alias("gram"), "key", F.col("_s.places").alias("place"), F.col("_s.variants").alias("variant"), F.col("_s.wholes").alias("whole"))
+    found = repeated_suffixes(suffixes)
+    bits = cut(shared_passages(docs, found, passage))
+    hits = join_checked(found.select("key", "place", "variant"), bits, "variant", most=PLACED_ROWS).select("key", "place", "bits").distinct()
     per = _spans(hits, passage).join(alike.select("key").distinct(), "key", "left_anti")
     named = table.filter("doc_id is not null").select("key", "doc_id").distinct()
     whole = alike.filter("doc_id is not null").select("doc_id", "n_words", "digest").distinct()
