@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, html, jaccard, langid, mixing, quality, rollup, secrets, sstable, suffixes
+from millrace.llm import codes, conversations, decontaminate, html, jaccard, langid, mixing, quality, reference_sql, rollup, secrets, sstable, suffixes
 from millrace.llm.components import join_checked
 from millrace.llm.shared import cut, fresh_path, stored, table
 
@@ -75,11 +75,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.transform("spans", lambda s: F.array(s["first"], s["last"])).alias("spans"), "n_repeated", "n_words")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations after damage: faults, cheapest edits and the digest of the repaired rows."""
+    return conversations.audits(conversations.damaged(table(spark, sf_dir, "conversations")), "_gone")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as codes under codebooks of six rounds."""
+    return codes.compressed_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     """Name to callable."""
-    return {f.__name__: f for f in (op1_sstable_tokens, op2_secret_scan, op3_jaccard_join, op4_language_id, op5_html_extraction, op6_mix_sources, op7_quality_rules, op8_benchmark_leaks, op9_token_rollups, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_sstable_tokens, op2_secret_scan, op3_jaccard_join, op4_language_id, op5_html_extraction, op6_mix_sources, op7_quality_rules, op8_benchmark_leaks, op9_token_rollups, op10_suffix_dedup, op11_conversation_repair, op12_vector_codes)}
 
 
 def oracle_sql() -> dict:
-    """Name to DuckDB SQL: none, all ten need tokenizers, learned models or joins that SQL has no terms for."""
-    return {}
+    """Name to DuckDB SQL; the others need tokenizers, learned models or joins that SQL has no terms for."""
+    return {"op11_conversation_repair": reference_sql.OP11_SQL, "op12_vector_codes": reference_sql.OP12_SQL}
