@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import codes, conversations, decontaminate, html, jaccard, langid, mixing, quality, reference_sql, rollup, secrets, sstable, suffixes
+from millrace.llm import codes, conversations, decontaminate, discriminant, html, jaccard, langid, mixing, quality, reference_sql, rollup, secrets, sstable, suffixes
 from millrace.llm.components import join_checked
 from millrace.llm.shared import cut, fresh_path, stored, table
 
@@ -85,9 +85,14 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compressed_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the discriminant's quality score."""
+    return discriminant.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     """Name to callable."""
-    return {f.__name__: f for f in (op1_sstable_tokens, op2_secret_scan, op3_jaccard_join, op4_language_id, op5_html_extraction, op6_mix_sources, op7_quality_rules, op8_benchmark_leaks, op9_token_rollups, op10_suffix_dedup, op11_conversation_repair, op12_vector_codes)}
+    return {f.__name__: f for f in (op1_sstable_tokens, op2_secret_scan, op3_jaccard_join, op4_language_id, op5_html_extraction, op6_mix_sources, op7_quality_rules, op8_benchmark_leaks, op9_token_rollups, op10_suffix_dedup, op11_conversation_repair, op12_vector_codes, op13_quality_discriminant)}
 
 
 def oracle_sql() -> dict:
