@@ -188,4 +188,4 @@ def compressed_vectors(vectors: DataFrame) -> DataFrame:
     codes = stored(codes, "codes")
     sums = codes.groupBy(F.col("label").alias("_label")).agg(F.least(F.sum(F.col("error").cast("decimal(38,0)")), F.lit((1 << 63) - 1)).cast("long").alias("label_error"))
     sums = F.broadcast(sums) if sums.count() <= BROADCAST_ROWS else sums
-    return codes.join(sums, F.col("label").eqNullSafe(F.col("_label"))).select("vec_id", "label", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+    return codes.join(sums, F.col("label").eqNullSafe(F.col("_label"))).select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"), "label")

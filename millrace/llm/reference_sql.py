@@ -70,7 +70,7 @@ WITH good AS (
 ), book0 AS MATERIALIZED (SELECT p, r AS e, o, x FROM cells WHERE r < {entries}),
 {', '.join(chain)},
 coded AS (SELECT r, string_agg(format('{{:02x}}', best.e::INT), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM near{rounds} GROUP BY r)
-SELECT g.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY g.label))::BIGINT AS label_error, (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, o)) FROM book{rounds}) AS codebooks_sha256
+SELECT g.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY g.label))::BIGINT AS label_error, (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, o)) FROM book{rounds}) AS codebooks_sha256, g.label
 FROM good g JOIN coded c ON c.r = g.r
 """
 
