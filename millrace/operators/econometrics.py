@@ -118,16 +118,27 @@ def demeaned(df: DataFrame, columns: list[str], group: str) -> DataFrame:
 MOST_PERIODS = 200
 
 
-def panel_ols(df: DataFrame, y: str, xs: list[str], entity: str, time: str, effects: str = "entity", cluster: str | None = None, least: int = 3) -> Fit:
-    """Entity, time, two-way or pooled effects; classical or clustered covariance.
+def _score_products(rows: DataFrame, keys: list[str], columns: list[str]) -> np.ndarray:
+    """Cross products of score sums over the groups of ``keys``; of single rows without keys."""
+    summed = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns]) if keys else rows
+    return gram(summed, columns)[1]
+
+
+def panel_ols(df: DataFrame, y: str, xs: list[str], entity: str, time: str, effects: str = "entity", cluster: str | tuple[str, str] | None = None, least: int = 3, robust: bool = False, debiased: bool = False) -> Fit:
+    """Entity, time, two-way or pooled effects; classical, robust or clustered covariance.
 
     Entities below ``least`` rows are left out; terms without variation within groups are dropped.
-    The clustered covariance sums scores per cluster in Spark; only k * k sums reach the driver.
+    The clustered covariance sums scores per cluster in Spark; only k * k sums reach the driver. A pair of cluster columns adds
+    the products of both clusterings and takes off those of their intersection, negative variances count as 0; ``robust`` is
+    the same with every row a cluster. ``debiased`` scales both by n / (n - parameters), where effects whose groups are a cluster do not count.
     """
-    rows = df.select(entity, time, y, *xs).dropna()
+    clusters = () if cluster is None else (cluster,) if isinstance(cluster, str) else tuple(cluster)
+    rows = df.select(*dict.fromkeys((entity, time, y, *xs, *clusters))).dropna()
     good = rows.groupBy(entity).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select(entity)
     rows = rows.join(good, entity, "left_semi")
-    rows = rows.select(entity, time, *[F.col(c).cast("double").alias(c) for c in (y, *xs)])
+    named = [c for c in clusters if c in (y, *xs)]  # a regressor may be a cluster as well
+    rows = rows.select(*dict.fromkeys((entity, time, *(c for c in clusters if c not in named))), *[F.col(c).alias(f"_key_{c}") for c in named], *[F.col(c).cast("double").alias(c) for c in (y, *xs)])
+    clusters = tuple(f"_key_{c}" if c in named else c for c in clusters)
     size = rows.agg(F.countDistinct(entity).alias("e"), F.countDistinct(time).alias("t")).first()
     extra: list[str] = []
     if effects == "pooled":
@@ -146,7 +157,7 @@ def panel_ols(df: DataFrame, y: str, xs: list[str], entity: str, time: str, effe
     if extra:  # the periods are taken out of the sums
         at, own = np.arange(len(terms), len(terms) + len(extra)), [*range(len(terms)), len(g) - 1]
         shift = np.linalg.pinv(g[np.ix_(at, at)]) @ g[np.ix_(at, own)]
-        if cluster:
+        if clusters or robust:
             within = within.select("*", *[(F.col(c) - sum((F.col(t) * float(b) for t, b in zip(extra, shift[:, k])), F.lit(0.0))).alias(f"_r{k}") for k, c in enumerate([*terms, y])]).drop(*terms, y)
             within = within.withColumnsRenamed({f"_r{k}": c for k, c in enumerate([*terms, y])})
         g = g[np.ix_(own, own)] - g[np.ix_(own, at)] @ shift
@@ -154,12 +165,16 @@ def panel_ols(df: DataFrame, y: str, xs: list[str], entity: str, time: str, effe
     index = [*keep, len(terms)]
     absorbed = {"entity": size["e"], "time": size["t"], "twoway": size["e"] + size["t"] - 1, "pooled": 0}[effects]
     fit = _solve([terms[k] for k in keep], n, g[np.ix_(index, index)], len(keep) + absorbed)
-    if cluster:
+    if clusters or robust:
         residual = F.col(y) - sum((F.col(t) * float(b) for t, b in zip(fit.terms, fit.coef)), F.lit(0.0))
-        scores = within.withColumn("_u", residual).groupBy(cluster).agg(*[F.sum(F.col(t) * F.col("_u")).alias(f"s{k}") for k, t in enumerate(fit.terms)])
-        _, meat = gram(scores, [f"s{k}" for k in range(len(fit.terms))])
+        names = [f"s{k}" for k in range(len(fit.terms))]
+        scores = within.withColumn("_u", residual).select(*clusters, *[(F.col(t) * F.col("_u")).alias(s) for t, s in zip(fit.terms, names)])
+        meat = sum(_score_products(scores, [c], names) for c in clusters) if clusters else _score_products(scores, [], names)
+        if len(clusters) == 2:
+            meat = meat - _score_products(scores, list(clusters), names)
         bread = np.linalg.pinv(g[np.ix_(keep, keep)])
-        fit.cov = bread @ meat @ bread
+        counted = 0 if effects in ("entity", "time") and {"entity": entity, "time": time}[effects] in clusters else absorbed
+        fit.cov = bread @ meat @ bread * (n / (n - len(keep) - counted) if debiased else 1.0)
         fit.se = np.sqrt(np.clip(np.diag(fit.cov), 0, None))
     within.unpersist()
     return fit

@@ -111,6 +111,33 @@ def similarity_matrix(centres: DataFrame, topic: str) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", cosine(F.col("_x"), F.col("_y")).alias("cosine"))
 
 
+def topic_tree(centres: DataFrame, topic: str) -> DataFrame:
+    """The merge tree of topics by average cosine distance: ``left, right, height, size``, in order of height.
+
+    A node is named by its least topic. Each round merges all pairs that are each other's nearest (the lower topics on ties), which average linkage allows without
+    changing the tree; the distance of two nodes is the mean over their pairs of topics, so a round is one grouped sum.
+    """
+    likeness = similarity_matrix(centres.filter(F.col(topic) != OUTLIER), topic)
+    pairs = settled(likeness.select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), (1.0 - F.col("cosine")).alias("d"), F.lit(1).cast("long").alias("n")), "distances")
+    sizes = settled(centres.filter(F.col(topic) != OUTLIER).select(F.col(topic).cast("int").alias("t"), F.lit(1).cast("long").alias("m")), "sizes")
+    merges = None
+    while not pairs.isEmpty():
+        mean = F.round(F.col("d") / F.col("n"), 12)
+        ends = pairs.withColumn("h", mean).select(F.explode(F.array("a", "b")).alias("t"), F.struct("h", "a", "b").alias("key"))
+        nearest = ends.groupBy("t").agg(F.min("key").alias("key"))
+        mutual = settled(nearest.groupBy("key").count().filter(F.col("count") == 2).select("key.a", "key.b", "key.h"), "merges")
+        named = mutual.join(sizes.select(F.col("t").alias("a"), F.col("m").alias("_p")), "a").join(sizes.select(F.col("t").alias("b"), F.col("m").alias("_q")), "b")
+        done = settled(named.select(F.col("a").alias("left"), F.col("b").alias("right"), F.col("h").alias("height"), (F.col("_p") + F.col("_q")).alias("size")), "nodes")
+        merges = done if merges is None else merges.unionByName(done)
+        to = mutual.select(F.col("b").alias("_from"), F.col("a").alias("_to"))
+        for side in ("a", "b"):
+            pairs = pairs.join(to, F.col(side) == F.col("_from"), "left").withColumn(side, F.coalesce("_to", side)).drop("_from", "_to")
+        pairs = settled(pairs.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("d").alias("d"), F.sum("n").alias("n")), "distances")
+        sizes = settled(sizes.join(to, F.col("t") == F.col("_from"), "left").groupBy(F.coalesce("_to", "t").alias("t")).agg(F.sum("m").alias("m")), "sizes")
+    empty = centres.sparkSession.createDataFrame([], "left int, right int, height double, size long")
+    return merges.orderBy("height", "left") if merges is not None else empty
+
+
 def merge_topics(df: DataFrame, topic: str, groups: list[list[int]], known: set[int]) -> DataFrame:
     """Topics of a group become its least; unknown ids are skipped, groups with one survivor too."""
     target = {t: min(g) for raw in groups if len(g := [t for t in raw if t in known]) > 1 for t in g}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("relational", "analytics", "frames", "roundtrips", "models")
+MODULES = ("relational", "analytics", "frames", "roundtrips", "models", "topics")
 
 
 def _merged(attribute: str) -> dict:

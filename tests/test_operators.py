@@ -297,3 +297,21 @@ def test_granger_wald_and_subsets_under_effects(spark):
     assert g["p"] < 1e-6 and g["p_wald"] < 1e-6 and g["wald"] > 0
     best = E.subset_search(df, "y", ["x", "t"], entity="e").first()
     assert best["r2"] < E.subset_search(df.withColumn("e2", F.col("e").cast("double")), "y", ["x", "t", "e2"]).orderBy(F.desc("r2")).first()["r2"]
+
+
+def test_two_way_and_robust_errors_equal_numpy(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(k), int(t), float(x), float(z), float(2 * x - z + e)) for k, t, x, z, e in zip(rng.integers(0, 9, 200), rng.integers(0, 7, 200), rng.normal(size=200), rng.normal(size=200), rng.normal(size=200))]
+    df = spark.createDataFrame(rows, "k int, t int, x double, z double, y double")
+    a = np.array(rows)
+    k, t, X, y = a[:, 0], a[:, 1], a[:, 2:4], a[:, 4]
+    inside = lambda v: v - np.array([v[k == g].mean(0) for g in k])
+    X, y = inside(X), inside(y)
+    bread = np.linalg.inv(X.T @ X)
+    s = X * (y - X @ (bread @ X.T @ y))[:, None]
+    meat = lambda keys: sum(np.outer(m, m) for m in (s[keys == g].sum(0) for g in np.unique(keys)))
+    fit = lambda **o: E.panel_ols(df, "y", ["x", "z"], "k", "t", "entity", least=1, **o).se
+    both = meat(k) + meat(t) - meat(k * 100 + t)
+    assert np.allclose(fit(cluster=("k", "t")), np.sqrt(np.diag(bread @ both @ bread)))
+    assert np.allclose(fit(cluster=("k", "t"), debiased=True), np.sqrt(np.diag(bread @ both @ bread) * 200 / 198))
+    assert np.allclose(fit(robust=True, debiased=True), np.sqrt(np.diag(bread @ (s.T @ s) @ bread) * 200 / (200 - 2 - 9)))
