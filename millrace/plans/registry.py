@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("relational", "analytics", "frames", "roundtrips", "models", "topics")
+MODULES = ("relational", "analytics", "frames", "roundtrips", "models", "topics", "corpus")
 
 
 def _merged(attribute: str) -> dict:
