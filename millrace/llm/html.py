@@ -22,6 +22,8 @@ from millrace.llm.shared import cut, slices, stored
 SUPPORT, LEAST_PAGES = 0.5, 3
 #: A class is template only with tokens of this weight; an element is a start and an end token, a text one.
 LEAST_WEIGHT, ELEMENT, TEXT = 3, 2, 1
+#: A text in the main slot is template if its class has so many elements out of the slot.
+OUTSIDE = 2
 #: A class's token must be at one place of its order on this share of the pages that have it.
 SAME = 0.98
 #: A slot holds the main text while one child has this share of its text.
@@ -143,9 +145,7 @@ def pieces(html: str) -> list[Piece]:
     def last(tag: str) -> int | None:
         return next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag) if opened.get(tag) else None
 
-    for m in _TAG.finditer(html):
-        if m.start() < at:
-            continue
+    while m := _TAG.search(html, at):  # anew from ``at``: what a raw element holds is no tag
         if m.start() > at:
             run = html[at : m.start()]
             text.append(run)
@@ -335,8 +335,8 @@ def observed(pages: DataFrame, known: DataFrame) -> DataFrame:
     return rows.select("site", "html", "tokens", "klass").mapInArrow(scan, _SEEN)
 
 
-def nested(members: list[tuple[int, str, str, bool]]) -> tuple[set[str], list[tuple[int, str]]]:
-    """Nest classes into a template: its elements' paths, and its text tokens with their paths.
+def nested(members: list[tuple[int, str, str, bool]]) -> tuple[set[str], list[tuple[int, str, int]]]:
+    """Nest classes into a template: its elements' paths, and its text tokens with their paths and classes.
 
     ``members`` are (pages, class, path, token or None for an element). Classes are placed from those on most pages on; a
     class's tokens are told apart by the slot of the template so far in which they lie (the
@@ -346,7 +346,7 @@ def nested(members: list[tuple[int, str, str, bool]]) -> tuple[set[str], list[tu
     for pages, klass, path, token in members:
         by.setdefault((-pages, klass), []).append((path, token))
     elements, texts = {""}, []
-    for _, tokens in sorted(by.items()):
+    for (_, klass), tokens in sorted(by.items()):
         slots: dict[str, list[tuple[str, int | None]]] = {}
         for path, token in tokens:
             at = path if token is not None else path.rpartition("/")[0]
@@ -356,7 +356,7 @@ def nested(members: list[tuple[int, str, str, bool]]) -> tuple[set[str], list[tu
         for inside in slots.values():
             if sum(ELEMENT if t is None else TEXT for _, t in inside) >= LEAST_WEIGHT:
                 elements.update(p for p, t in inside if t is None)
-                texts += [(t, p) for p, t in inside if t is not None]
+                texts += [(t, p, klass) for p, t in inside if t is not None]
     return elements, texts
 
 
@@ -368,7 +368,8 @@ def deduce(seen: pd.DataFrame) -> dict:
 
     Tokens without one place in their class's order (SAME) are no template; the classes that are left
     are nested (``nested``). The main slot is found from the page inwards: a step goes to the
-    element of the template, with none between, that has DESCEND of the slots' unlinked text. Returns the
+    element of the template, with none between, that has DESCEND of the slots' unlinked text. A text in the main slot is template only if its
+    class has OUTSIDE elements out of the slot, as what a site puts on its pages has; a heading that many articles share with nothing but its own element is content. Returns the
     main slot's path, the template's text tokens in it, and the paths named like side matter that hold main text.
     """
     tokens = seen[seen["token"].notna() & (seen["best"] >= SAME * seen["pages"])]
@@ -390,7 +391,8 @@ def deduce(seen: pd.DataFrame) -> dict:
         below = [p for p in below if not any(inside(p, q) for q in below)]
         best = max(below, key=lambda p: (useful.get(p, 0.0), p), default=None)
         if best is None or useful.get(best, 0.0) < DESCEND * useful[main] or _LEAF.match(best.rsplit("/", 1)[-1]):
-            return {"main": main, "constant": sorted(t for t, p in texts if p == main or inside(p, main)), "kept": sorted(kept)}
+            outside = Counter(k for _, k, path, token in set(members) if token is None and path != main and not inside(path, main))
+            return {"main": main, "constant": sorted(t for t, p, k in texts if (p == main or inside(p, main)) and outside[k] >= OUTSIDE), "kept": sorted(kept)}
         main = best
 
 

@@ -78,7 +78,8 @@ class Rollup:
 
     A batch is committed by writing the sums of its changes to a folder of its own name; Spark's
     job commit puts the success mark last, so a batch counts wholly or not at all, and a batch
-    whose mark is there is not written again: commits may be repeated after any failure.
+    whose mark is there is not written again: commits may be repeated after any failure. Several writers may commit batches of
+    different names, and compact, at the same time; two that commit one name at once must not have different changes.
     Measures are additive, so batches may come in any order, deletes before the inserts that they undo too. ``compact`` folds all batches into
     one snapshot that lists their names; a batch in a snapshot stays committed.
     """
@@ -122,10 +123,14 @@ class Rollup:
         sums.coalesce(8).write.mode("overwrite").parquet(f"{self.folder}/batches/{batch}")
         return True
 
-    def _sums(self) -> DataFrame | None:
-        """KEYS and MEASURES over all committed batches, whatever their signs; None without any."""
+    def _state(self) -> tuple[str | None, set[str], list[str]]:
+        """The newest snapshot, the batches in it, and the committed batches beside it, as of one listing."""
         snapshot, members = self._snapshot()
-        paths = [f"{self.folder}/batches/{b}" for b in self._children("batches") if b not in members]
+        return snapshot, members, [b for b in self._children("batches") if b not in members]
+
+    def _sums(self, snapshot: str | None, others: list[str]) -> DataFrame | None:
+        """KEYS and MEASURES over a snapshot and the batches beside it, whatever their signs; None without any."""
+        paths = [f"{self.folder}/batches/{b}" for b in others]
         paths += [f"{self.folder}/snapshots/{snapshot}"] if snapshot else []
         if not paths:
             return None
@@ -134,18 +139,24 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """KEYS and MEASURES over all committed batches; groups without documents are left out."""
-        sums = self._sums()
+        snapshot, _, others = self._state()
+        sums = self._sums(snapshot, others)
         return self.spark.createDataFrame([], _SCHEMA) if sums is None else sums.filter("n_docs > 0")
 
     def compact(self) -> str | None:
-        """Fold all batches into a new snapshot; its name, or None if nothing is committed."""
-        members = sorted(self.batches())
+        """Fold all batches into a new snapshot; its name, or None if nothing is committed.
+
+        One listing says both what is summed and what the snapshot names as its members, so a batch that is committed meanwhile
+        is beside the snapshot and counts once.
+        """
+        snapshot, held, others = self._state()
+        members = sorted(held | set(others))
         if not members:
             return None
         old = self._children("snapshots")
         name = f"{len(old):08d}-{uuid.uuid4().hex[:8]}"
         self.spark.createDataFrame([(json.dumps(members),)], "value string").coalesce(1).write.text(f"{self.folder}/members/{name}")
-        rows = self._sums().filter(" or ".join(f"{m} <> 0" for m in MEASURES))
+        rows = self._sums(snapshot, others).filter(" or ".join(f"{m} <> 0" for m in MEASURES))
         rows.coalesce(8).write.parquet(f"{self.folder}/snapshots/{name}")
         return name
 

@@ -41,7 +41,9 @@ _ENDS_NAMED = re.compile(r"(?:%s)(?: is| was)?\Z" % "|".join(_SECRET_WORDS))
 _QUOTED = re.compile(r"\"([^\"\n]+)\"|'([^'\n]+)'|`([^`\n]+)`")
 _BARE = re.compile(r"[^\s\"'`]+")
 _NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-.")
-_REPEATED_MARK = re.compile(r"([!#%*?&$~])\1+\Z")
+_QUOTES = ("\"", "'", "`")
+#: A run of one of these at the end of a bare value is no part of it.
+_MARKS = frozenset("!#%*?&$~")
 
 
 @dataclass
@@ -98,7 +100,10 @@ def _value(text: str, at: int) -> tuple[int, str]:
     if m := _QUOTED.match(text, at):
         return m.start(m.lastindex), m.group(m.lastindex)
     m = _BARE.match(text, at + (text[at : at + 1] in "\"'`"))
-    return (m.start(), _REPEATED_MARK.sub("", m.group().rstrip(",.;:)]}>"))) if m else (at, "")
+    value = m.group().rstrip(",.;:)]}>") if m else ""
+    if value[-1:] in _MARKS and value[-2:-1] == value[-1:]:
+        value = value.rstrip(value[-1:])
+    return (m.start(), value) if m else (at, "")
 
 
 def candidates(text: str) -> Iterator[tuple[int, str]]:
@@ -112,26 +117,28 @@ def candidates(text: str) -> Iterator[tuple[int, str]]:
         run = m.group().strip(".:=@-")
         if len(run) >= LEAST_LENGTH and _DIGIT.search(run):
             runs[m.start() + m.group().index(run)] = run
-    values: dict[int, tuple[str, int]] = {}
+    spots: dict[int, tuple[int, int]] = {}  # where a value begins: where it is looked for, and where its name begins
+    quoted = lambda at: at + (text[at : at + 1] in _QUOTES)
     for m in _ASSIGNED.finditer(text):
         first = m.start()
         while first and text[first - 1] in _NAME_CHARS:
             first -= 1
         if first < m.start():
-            start, value = _value(text, m.end())
-            values[start] = (value, first)
+            spots[quoted(m.end())] = (m.end(), first)
     for m in _NAMED.finditer(text):
-        start, value = _value(text, m.end())
-        values.setdefault(start, (value, start))
+        spots.setdefault(quoted(m.end()), (m.end(), quoted(m.end())))
     found, starts, done = dict(runs), sorted(runs), 0
-    for start, (value, first) in sorted(values.items()):
-        end = start + len(value)
-        if not value or start < done:
+    for start, (at, first) in sorted(spots.items()):
+        if start < done:  # inside a value that is taken: it is not read again, so all values together are no longer than the text
             continue
         k = bisect_right(starts, start) - 1
         around = starts[k] if k >= 0 and starts[k] + len(runs[starts[k]]) > start else None
         if around is not None and around < first:
             continue
+        _, value = _value(text, at)
+        if not value:
+            continue
+        end = start + len(value)
         if around is not None and around + len(runs[around]) > end:
             value, end = text[start : around + len(runs[around])], around + len(runs[around])
         blanks = " " in value or "\t" in value
