@@ -88,7 +88,7 @@ def test_a_row_without_id_has_the_component_of_its_text(spark):
     assert jaccard.one_of_each(docs).count() == 4  # one of the two, and all rows without id
 
 
-def test_regions_of_a_few_hundred_rows_are_split_by_pivots(spark, monkeypatch):
+def test_regions_above_the_task_bound_are_split_by_pivots(spark, monkeypatch):
     called, plain = [], jaccard.voronoi
     monkeypatch.setattr(jaccard, "voronoi", lambda *a: called.append(1) or plain(*a))
     base = [f"w{k}" for k in range(200)]
@@ -97,5 +97,5 @@ def test_regions_of_a_few_hundred_rows_are_split_by_pivots(spark, monkeypatch):
         words = list(base)
         words[(i * 7) % 200], words[(i * 31) % 200] = f"x{i}", f"y{i}"
         rows.append((i, " ".join(words)))
-    got = {r["component_id"] for r in jaccard.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["component_id"] for r in jaccard.link_documents(spark.createDataFrame(rows, "doc_id long, text string"), work=8_000_000).collect()}
     assert called and got == {0}
