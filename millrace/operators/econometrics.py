@@ -107,6 +107,12 @@ def ols(df: DataFrame, y: str, xs: list[str], constant: bool = True) -> Fit:
     return fit
 
 
+def predicted(df: DataFrame, fit: Fit) -> DataFrame:
+    """``df`` with what a fit with a constant, or without, expects of each row; null where a term is missing."""
+    value = sum((F.col(t).cast("double") * float(b) if t != "const" else F.lit(float(b)) for t, b in zip(fit.terms, fit.coef)), F.lit(0.0))
+    return df.withColumn("predicted", value)
+
+
 def demeaned(df: DataFrame, columns: list[str], group: str) -> DataFrame:
     """Columns as differences from their group's mean; means are summed before they are joined."""
     means = df.groupBy(group).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])

@@ -127,6 +127,26 @@ def run_model(df: DataFrame, keys: list[str], text: str, prompt: str, model: Cal
     return packed.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", batch int, answer string, error string")
 
 
+def run_models(df: DataFrame, keys: list[str], text: str, prompt: str, models: dict[str, Callable[[str], str]], config: ExtractConfig = ExtractConfig()) -> DataFrame:
+    """The same prompts through several models, a row a prompt and model."""
+    out = None
+    for name, model in models.items():
+        found = run_model(df, keys, text, prompt, model, config).withColumn("model", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def agreement(answers: DataFrame, keys: list[str], model: str = "model", answer: str = "answer") -> DataFrame:
+    """For each two models the prompts that both answered, and in how many they say the same.
+
+    The answers to one prompt, as many as there are models, meet in one row; no prompt meets another.
+    """
+    said = answers.filter(F.col(answer).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct(F.col(model).alias("m"), F.col(answer).alias("a")))).alias("_s"))
+    pairs = F.flatten(F.transform("_s", lambda x: F.transform(F.filter("_s", lambda y: y["m"] > x["m"]), lambda y: F.struct(x["m"].alias("a"), y["m"].alias("b"), (x["a"] == y["a"]).alias("same")))))
+    each = said.select(F.explode(pairs).alias("p"))
+    return each.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n_prompts"), F.count_if(F.col("p.same")).alias("n_equal")).withColumn("agreement", F.col("n_equal") / F.col("n_prompts"))
+
+
 def format_ok(answer: str, least: int = 2) -> bool:
     """Whether an answer has enough bullet lines."""
     return sum(bool(re.match(r"\s*([-•*–·]|\d[.):])", line)) for line in answer.split("\n")) >= least

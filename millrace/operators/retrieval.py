@@ -67,8 +67,8 @@ def mmr(queries: DataFrame, items: DataFrame, k: int, on: list[str], fetch_k: in
 def union_first(hits: DataFrame, group: str, most: int) -> DataFrame:
     """One row an item within ``group``, its first hit by (query_id, rank), the first ``most`` of them."""
     first = hits.groupBy(group, "item_id").agg(F.min(F.struct("query_id", "rank")).alias("_h"))
-    kept = first.groupBy(group).agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("_h.query_id").alias("query_id"), F.col("_h.rank").alias("rank"), "item_id"))), 1, most).alias("_l"))
-    return kept.select(group, F.posexplode("_l").alias("_p", "_e")).select(group, (F.col("_p") + 1).cast("int").alias("place"), "_e.item_id", "_e.query_id")
+    place = F.row_number().over(Window.partitionBy(group).orderBy("_h", "item_id"))  # kept by group limits in the tasks before the shuffle
+    return first.withColumn("place", place).filter(F.col("place") <= most).select(group, "place", "item_id", F.col("_h.query_id").alias("query_id"))
 
 
 def overlap(a: DataFrame, b: DataFrame, query: str = "query_id") -> DataFrame:

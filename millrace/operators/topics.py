@@ -164,6 +164,17 @@ def stop_words(general: list[str], domain: list[str]) -> list[str]:
     return sorted({w.lower() for w in general} | {w.lower() for w in domain})
 
 
+def commonest_terms(df: DataFrame, text: str, n: int, least: int = 4) -> DataFrame:
+    """U8: the n commonest words of a text column, the first by name on ties."""
+    counts = df.select(F.explode(words(F.col(text), least)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counts.orderBy(F.desc("n"), "word").limit(n).select("word")
+
+
+def stop_word_table(general: DataFrame, domain: DataFrame) -> DataFrame:
+    """U8: two tables of words as one set, in lower case."""
+    return general.unionByName(domain).select(F.lower("word").alias("word")).distinct()
+
+
 def keyword_filter(column, stop: list[str]):
     """Comma list without keywords that equal or contain a stop word."""
     kept = F.filter(F.split(column, r"\s*,\s*"), lambda k: (F.length(k) > 0) & ~F.exists(F.array(*[F.lit(s) for s in stop]), lambda s: F.lower(k).contains(s)))

@@ -6,10 +6,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from millrace.functions import tables as U
+from millrace.operators import econometrics as E
+from millrace.operators import extract as L
+from millrace.operators import forecast as Y
 from millrace.operators import language as G
+from millrace.operators import panel as P
 from millrace.operators import text as T
 from millrace.operators.heads import HeadStore
-from millrace.plans.relational import registrar, rounded
+from millrace.plans.relational import NY, nation_years, registrar, rounded
 from millrace.session import scratch, settled
 from millrace.sources import cache_source as C
 from millrace.sources.tables import load
@@ -161,3 +165,40 @@ def commonest_language(spark, d):
     """A20, 2.19: an aggregate function over counted values, in SQL text."""
     U.register(spark)
     return spark.sql("SELECT source, heaviest(lang, n) AS commonest FROM (SELECT source, lang, count(*) AS n FROM {documents} WHERE lang IS NOT NULL GROUP BY source, lang) GROUP BY source", documents=load(spark, d, "documents"))
+
+
+# ---------------------------------------------------------------- models compared, forecasts of fitted models
+
+
+_ANSWERS = {"first": "string_split(text, chr(10))[1]", "last": "string_split(text, chr(10))[-1]", "longest": "list_sort(list_transform(string_split(text, chr(10)), lambda x: {'n': -length(x), 'x': x}))[1].x"}
+
+
+@query("WITH a AS (SELECT conv_id, turn, " + ", ".join(f"{e} AS {n}" for n, e in _ANSWERS.items()) + " FROM conversations WHERE text IS NOT NULL), l AS (" + " UNION ALL ".join(f"SELECT conv_id, turn, '{n}' AS model, {n} AS answer FROM a" for n in _ANSWERS) + ") SELECT x.model AS a, y.model AS b, count(*) AS n_prompts, count(*) FILTER (x.answer = y.answer) AS n_equal, round(count(*) FILTER (x.answer = y.answer) / count(*), 6) AS agreement FROM l x JOIN l y ON x.conv_id = y.conv_id AND x.turn = y.turn AND x.model < y.model GROUP BY ALL")
+def model_agreement(spark, d):
+    """Several models over the same prompts, and how often each two of them say the same."""
+    texts = load(spark, d, "conversations").filter("text is not null").select("conv_id", "turn", "text", F.lit(0).alias("batch"), F.lit(1).alias("position"))
+    models = {"first": lambda p: p.split("\n\n", 1)[1].split("\n")[0], "last": lambda p: p.split("\n\n", 1)[1].split("\n")[-1], "longest": lambda p: min(p.split("\n\n", 1)[1].split("\n"), key=lambda x: (-len(x), x))}
+    return rounded(L.agreement(L.run_models(texts, ["conv_id", "turn"], "text", "List", models), ["conv_id", "turn"]), "agreement")
+
+
+_FORECAST = f"""{NY}, m AS (SELECT avg(y) AS y, avg(n) AS n, avg(t) AS t FROM ny), g AS (SELECT sum((a.n - m.n) * (a.n - m.n)) AS xx, sum((a.n - m.n) * (a.t - m.t)) AS xz, sum((a.t - m.t) * (a.t - m.t)) AS zz, sum((a.n - m.n) * (a.y - m.y)) AS xy, sum((a.t - m.t) * (a.y - m.y)) AS zy FROM ny a, m),
+f AS (SELECT (zz * xy - xz * zy) / (xx * zz - xz * xz) AS bn, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS bt FROM g), l AS (SELECT k, max(t) AS t0, arg_max(n, t) AS n FROM ny GROUP BY k), fut AS (SELECT k, n, unnest(generate_series(t0 + 1, 2004)) AS t FROM l),
+s AS (SELECT k, t, 'bau' AS scenario, n * 1.0 AS n FROM fut UNION ALL SELECT k, t, 'tight', n * 0.8 FROM fut UNION ALL SELECT k, t, 'growth', n * CASE WHEN t < 2003 THEN 1.1 ELSE 1.3 END FROM fut)"""
+
+
+@query(f"WITH {_FORECAST}, p AS (SELECT s.k, s.t, scenario, m.y + bn * (s.n - m.n) + bt * (s.t - m.t) AS v FROM s, f, m) SELECT k, CAST(t AS INT) AS t, " + ", ".join(f"round(max(v) FILTER (scenario = '{n}'), 5) AS {n}" for n in ("bau", "tight", "growth")) + " FROM p GROUP BY k, t")
+def fitted_forecast(spark, d):
+    """A regression fitted on the panel predicts each scenario of the future grid, side by side."""
+    ny = nation_years(spark, d)
+    fit = E.ols(ny, "y", ["n", "t"])
+    rules = {"bau": {"n": F.lit(1.0)}, "tight": {"n": F.lit(0.8)}, "growth": {"n": F.when(F.col("t") < 2003, 1.1).otherwise(1.3)}}
+    rows = Y.scenarios(P.future_grid(ny, "k", "t", 2004), rules).select("k", "t", "scenario", F.col("s_n").alias("n"))
+    return rounded(Y.wide(E.predicted(rows, fit), ["k", "t"], "predicted", list(rules)), *rules, digits=5)
+
+
+@query()
+def mixed_model_terms(spark, d):
+    """A random intercept for each entity beside two regressors."""
+    m = E.mixed_model(nation_years(spark, d).withColumn("age", F.col("t") - 1995).withColumn("size", F.col("n") / 100), "y", ["age", "size"], "k")
+    rows = [(t, float(v)) for t, v in m["coef"].items()] + [("var_residual", float(m["var_residual"])), ("var_entity", float(m["var_entity"]))]
+    return spark.createDataFrame(rows, "term string, value double")

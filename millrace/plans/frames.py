@@ -180,10 +180,13 @@ def index_sorted(spark, d):
     return W.placed(nation_years(spark, d), [F.col("k"), F.col("t")]).select("k", "t", "place")
 
 
-@query("SELECT unnest(list_sort(list_distinct(['that', 'this', 'with', 'have', 'steel', 'plant']))) AS word")
+_COMMON = r"SELECT w FROM (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS w FROM {0}) WHERE regexp_matches(w, '^[a-z]{{4,}}$') GROUP BY w) QUALIFY row_number() OVER (ORDER BY n DESC, w) <= {1}"
+
+
+@query(f"SELECT DISTINCT w AS word FROM ({_COMMON.format('documents', 40)} UNION ALL {_COMMON.format('benchmark', 15)})")
 def stop_word_union(spark, d):
-    """U8: general and domain stop words as one sorted set."""
-    return spark.createDataFrame([(w,) for w in M.stop_words(["that", "this", "with"], ["steel", "plant", "have", "with"])], "word string")
+    """U8: general and domain stop words as one set: the commonest words of the documents and those of the benchmark."""
+    return M.stop_word_table(M.commonest_terms(load(spark, d, "documents"), "text", 40), M.commonest_terms(load(spark, d, "benchmark"), "text", 15))
 
 
 # ---------------------------------------------------------------- aggregates
@@ -217,22 +220,22 @@ def first_group_name(spark, d):
 # ---------------------------------------------------------------- scalars and text rules
 
 
-@query("SELECT doc_id, nfc_normalize(replace(left(text, 200), 'é', 'e' || chr(769))) AS text FROM documents")
+@query("SELECT doc_id, nfc_normalize(replace(text, 'é', 'e' || chr(769))) AS text FROM documents")
 def nfc_text(spark, d):
     """Composed characters."""
-    return load(spark, d, "documents").select("doc_id", T.nfc(F.replace(F.left("text", F.lit(200)), F.lit("é"), F.lit("é"))).alias("text"))
+    return load(spark, d, "documents").select("doc_id", T.nfc(F.replace("text", F.lit("é"), F.lit("é"))).alias("text"))
 
 
-@query("SELECT doc_id, left(text, 100) || 'ab' AS text FROM documents")
+@query("SELECT doc_id, text || 'ab' AS text FROM documents")
 def invisible_characters(spark, d):
     """Control and invisible characters go."""
-    return load(spark, d, "documents").select("doc_id", X.without_invisible(F.concat(F.lit("﻿"), F.left("text", F.lit(100)), F.lit("a­​\u0007\u001f‍b"))).alias("text"))
+    return load(spark, d, "documents").select("doc_id", X.without_invisible(F.concat(F.lit("﻿"), "text", F.lit("a­​\u0007\u001f‍b"))).alias("text"))
 
 
-@query(r"SELECT doc_id, regexp_replace('A B C D E F ' || left(text, 80), '\b([A-ZÄÖÜ])\s+([A-ZÄÖÜ])\s+([A-ZÄÖÜ])', '\1\2\3', 'g') AS text FROM documents")
+@query(r"SELECT doc_id, regexp_replace('A B C D E F ' || text, '\b([A-ZÄÖÜ])\s+([A-ZÄÖÜ])\s+([A-ZÄÖÜ])', '\1\2\3', 'g') AS text FROM documents")
 def spaced_capitals(spark, d):
     """Letter-spaced capitals, three at a time."""
-    return load(spark, d, "documents").select("doc_id", X.join_spaced_capitals(F.concat(F.lit("A B C D E F "), F.left("text", F.lit(80)))).alias("text"))
+    return load(spark, d, "documents").select("doc_id", X.join_spaced_capitals(F.concat(F.lit("A B C D E F "), "text")).alias("text"))
 
 
 def _squeezed(sql: str) -> str:
@@ -241,10 +244,10 @@ def _squeezed(sql: str) -> str:
     return sql
 
 
-@query(f"SELECT doc_id, {_squeezed(chr(39) + 'a.... ----- – –––– ••••• ·' + chr(39) + ' || left(text, 60)')} AS text FROM documents")
+@query(f"SELECT doc_id, {_squeezed(chr(39) + 'a.... ----- – –––– ••••• ·' + chr(39) + ' || text')} AS text FROM documents")
 def repeated_marks(spark, d):
     """Four or more equal marks become two."""
-    return load(spark, d, "documents").select("doc_id", X.squeeze_repeats(F.concat(F.lit("a.... ----- – –––– ••••• ·"), F.left("text", F.lit(60)))).alias("text"))
+    return load(spark, d, "documents").select("doc_id", X.squeeze_repeats(F.concat(F.lit("a.... ----- – –––– ••••• ·"), "text")).alias("text"))
 
 
 @query(r"SELECT conv_id, turn, regexp_matches(text, '[.!?]\s*$') AS ends FROM conversations")
@@ -295,10 +298,21 @@ def retry_waits(spark, d):
     return load(spark, d, "events").select("event_id", L.retry_seconds(said).alias("wait"))
 
 
-@query("SELECT * FROM (VALUES ('Scope 1 (t)', 'scope_1_t'), ('  Price / EUR  ', 'price_eur'), ('a__b', 'a_b'), ('CO2-intensity', 'co2_intensity')) t(raw, name)")
+_PRIORITIES = {"1-URGENT": "1_urgent", "2-HIGH": "2_high", "3-MEDIUM": "3_medium", "4-NOT SPECIFIED": "4_not_specified", "5-LOW": "5_low"}
+
+
+@query("SELECT year(o_orderdate) AS order_year, " + ", ".join(f"count(*) FILTER (o_orderpriority = '{p}') AS \"{n}\"" for p, n in _PRIORITIES.items()) + " FROM orders GROUP BY 1")
 def normal_names(spark, d):
-    """X24."""
-    return spark.createDataFrame([(n, S.normal_name(n)) for n in ("Scope 1 (t)", "  Price / EUR  ", "a__b", "CO2-intensity")], "raw string, name string")
+    """The columns that a pivot has made of raw values, under normal names."""
+    counts = load(spark, d, "orders").groupBy(F.year("o_orderdate").alias("Order  Year")).pivot("o_orderpriority", list(_PRIORITIES)).count().na.fill(0)
+    return S.rename_normal(counts)
+
+
+@query(r"SELECT p_partkey, lower(trim(regexp_replace(regexp_replace(' ' || p_type || ' (' || p_brand || ') / EUR', '[^0-9A-Za-z_]+', '_', 'g'), '_+', '_', 'g'), '_')) AS name FROM part")
+def normal_labels(spark, d):
+    """The same rule over values."""
+    raw = F.concat(F.lit(" "), "p_type", F.lit(" ("), "p_brand", F.lit(") / EUR"))
+    return load(spark, d, "part").select("p_partkey", S.normal_label(raw).alias("name"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round_even(l_extendedprice, 1) AS rounded, round(abs(l_tax - l_discount), 6) AS gap, round(ln(l_quantity), 8) AS log, round(sqrt(l_quantity), 8) AS root, round(power(l_discount, 2), 8) AS square FROM lineitem")
@@ -345,10 +359,10 @@ def sentences(spark, d):
     return s.select("doc_id", F.size("s").alias("n_sentences"), F.try_element_at("s", F.lit(1)).alias("first"))
 
 
-@query("SELECT doc_id, lang, CASE WHEN lang IN ('de', 'fr') THEN '[en] ' || left(text, 50) ELSE left(text, 50) END AS text, lang IN ('de', 'fr') AS translated FROM documents")
+@query("SELECT doc_id, lang, CASE WHEN lang IN ('de', 'fr') THEN '[en] ' || text ELSE text END AS text, lang IN ('de', 'fr') AS translated FROM documents")
 def translated_documents(spark, d):
     """A pluggable translation of supported languages; others stay as they are."""
-    docs = load(spark, d, "documents").select("doc_id", "lang", F.left("text", F.lit(50)).alias("text"))
+    docs = load(spark, d, "documents").select("doc_id", "lang", "text")
     return T.translate(docs, "text", "lang", {"de": lambda texts: "[en] " + texts, "fr": lambda texts: "[en] " + texts}).select("doc_id", "lang", "text", "translated")
 
 
@@ -394,8 +408,8 @@ def batched_prompts(spark, d):
     return L.joined(L.batches(rows, ["conv_id"], ["turn"], size), ["conv_id"], "text").select("conv_id", "batch", F.length("joined").cast("long").alias("n_chars"), "n_texts")
 
 
-@query("SELECT conv_id, turn, CAST(0 AS INT) AS batch, 'chars: ' || CAST(length('Q' || chr(10) || chr(10) || text) AS VARCHAR) AS answer, CAST(NULL AS VARCHAR) AS error FROM conversations WHERE turn = 0")
+@query("SELECT conv_id, turn, CAST(0 AS INT) AS batch, 'chars: ' || CAST(length('Q' || chr(10) || chr(10) || text) AS VARCHAR) AS answer, CAST(NULL AS VARCHAR) AS error FROM conversations")
 def model_answers(spark, d):
     """Prompts through a pluggable model."""
-    rows = load(spark, d, "conversations").filter("turn = 0").select("conv_id", "turn", "text")
+    rows = load(spark, d, "conversations").select("conv_id", "turn", "text")
     return L.run_model(L.batches(rows, ["conv_id", "turn"], ["turn"], 3), ["conv_id", "turn"], "text", "Q", L.pipeline("stub", lambda prompt: f"chars: {len(prompt)}"))

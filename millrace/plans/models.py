@@ -131,11 +131,10 @@ def did_controlled(spark, d):
     return E.did_controlled(_treated(spark, d), "y", "d", "t", ["x"], "k", _STARTS).select("start", r("coef"))
 
 
-@query("SELECT arg_max(start, (-ln(p) * abs(coef), -start)) AS by_significance, arg_min(start, (coef, start)) FILTER (p < 0.1) AS by_effect, arg_max(start, (r2, -start)) AS by_fit FROM (VALUES (2015, 0.3, 0.04, 0.5), (2016, -0.2, 0.09, 0.61), (2017, -0.4, 0.3, 0.6), (2018, -0.1, 0.001, 0.61)) t(start, coef, p, r2)")
+@query()
 def best_treatment_year(spark, d):
-    """The best start by three criteria, of a stated grid of estimates."""
-    grid = spark.createDataFrame([(2015, 0.3, 0.04, 0.5), (2016, -0.2, 0.09, 0.61), (2017, -0.4, 0.3, 0.6), (2018, -0.1, 0.001, 0.61)], "start int, coef double, p double, r2 double")
-    return E.best_start(grid)
+    """The best start by three criteria, of the estimates with a control and entity effects."""
+    return E.best_start(E.did_controlled(_treated(spark, d), "y", "d", "t", ["x"], "k", _STARTS))
 
 
 _SPLITS = {"returned": "l_returnflag = 'R'", "open": "l_linestatus = 'O'", "many": "l_quantity > 25"}
@@ -206,11 +205,18 @@ def ngram_vocabulary(spark, d):
     return M.vocabulary(load(spark, d, "documents"), "doc_id", "text", _STOPS, min_df=5, max_df=0.5)
 
 
-@query("SELECT * FROM (VALUES (-1, 'Outliers (unassigned)'), (0, 'price, cost, energy'), (1, 'Topic 1'), (2, 'hydrogen')) t(topic, label)")
+_TOPIC = "CASE WHEN source = 'src0' THEN -1 ELSE CAST(substring(source, 4) AS INT) END"
+
+
+@query(rf"""WITH c AS (SELECT {_TOPIC} AS topic, term, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM documents WHERE source IS NOT NULL) WHERE regexp_matches(term, '^[a-z]{{4,}}$') AND term NOT IN ({_IN}) GROUP BY ALL),
+s AS (SELECT topic, term, n / sum(n) OVER (PARTITION BY topic) * ln(1 + (sum(n) OVER () / (SELECT count(DISTINCT topic) FROM c)) / sum(n) OVER (PARTITION BY term)) AS score FROM c),
+k AS (SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY round(score, 12) DESC, term) AS rank FROM s QUALIFY rank <= 4)
+SELECT topic, CASE WHEN topic = -1 THEN 'Outliers (unassigned)' WHEN topic % 5 = 4 THEN 'Topic ' || topic ELSE string_agg(term, ', ' ORDER BY rank) FILTER (rank <= 3) END AS label FROM k GROUP BY topic""")
 def topic_labels(spark, d):
-    """M9: three keywords as a label, Topic N without, a fixed one for outliers."""
-    keywords = spark.createDataFrame([(0, 1, "price"), (0, 2, "cost"), (0, 3, "energy"), (0, 4, "gas"), (1, 1, ""), (2, 1, "hydrogen"), (-1, 1, "misc")], "topic int, rank int, term string")
-    return M.labels(keywords, "topic")
+    """M9: three keywords of a topic's documents as its label, Topic N where the keywords are empty, a fixed one for outliers."""
+    docs = load(spark, d, "documents").filter("source is not null").withColumn("topic", F.when(F.col("source") == "src0", -1).otherwise(F.substring("source", 4, 10).cast("int")))
+    keywords = M.ctfidf(docs, "topic", "text", _STOPS, n=4)
+    return M.labels(keywords.withColumn("term", F.when(F.col("topic") % 5 == 4, F.lit("")).otherwise(F.col("term"))).filter("term <> '' or rank = 1"), "topic")
 
 
 @query("SELECT CASE WHEN label IN (2, 7) THEN -1 ELSE label END AS topic, count(*) AS n FROM embeddings GROUP BY 1")
@@ -256,7 +262,7 @@ def keyword_rerank(spark, d):
     docs = load(spark, d, "documents")
     top = M.ctfidf(docs, "lang", "text", _STOPS, n=30).select("lang", "term")
     words = docs.select("source", "lang", F.explode(X.words(F.col("text"))).alias("term"))
-    sources = [f"src{k}" for k in range(20)]
+    sources = sorted(r[0] for r in docs.select("source").distinct().collect() if r[0])  # a vector has a place for each
     share = lambda df, keys: df.groupBy(*keys).agg(*[F.avg((F.col("source") == s).cast("double")).alias(s) for s in sources]).select(*keys, F.array(*sources).alias("v"))
     terms = share(words.join(F.broadcast(top.select("term").distinct()), "term"), ["term"])  # thirty terms a class
     centre = share(words, ["lang"]).withColumnRenamed("v", "c")

@@ -167,27 +167,33 @@ def binary_folder(spark, d):
 # ---------------------------------------------------------------- exports
 
 
-@query("SELECT 'barriers' AS category, c_nationkey AS k, count(*) AS n_csv, count(*) AS n_table FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY ALL UNION ALL SELECT 'motivators', c_nationkey, count(*), count(*) FROM customer WHERE c_mktsegment = 'MACHINERY' GROUP BY ALL")
+@query("SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'barriers' ELSE 'motivators' END AS category, c_nationkey AS k, c_custkey AS id, c_name AS csv_name, c_name AS table_name, round(c_acctbal, 2) AS csv_balance, round(c_acctbal, 2) AS table_balance FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 def partitioned_pairs(spark, d):
-    """K3: a CSV and a table by key for each category."""
-    path, c = scratch(spark, "pairs"), load(spark, d, "customer").withColumnRenamed("c_nationkey", "k")
-    frames = {"barriers": c.filter("c_mktsegment = 'BUILDING'").select("k", "c_name"), "motivators": c.filter("c_mktsegment = 'MACHINERY'").select("k", "c_name")}
+    """K3: a CSV and a table by key for each category; every row is in both."""
+    path, c = scratch(spark, "pairs"), load(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("id"), "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"), "c_mktsegment")
+    frames = {"barriers": c.filter("c_mktsegment = 'BUILDING'").drop("c_mktsegment"), "motivators": c.filter("c_mktsegment = 'MACHINERY'").drop("c_mktsegment")}
     K.write_pairs(frames, path, "k")
     out = None
     for name in frames:
-        text = spark.read.schema("c_name string, k int").options(header=True).csv(f"{path}/{name}.csv").groupBy("k").agg(F.count(F.lit(1)).alias("n_csv"))
-        both = text.join(spark.read.parquet(f"{path}/{name}.parquet").groupBy("k").agg(F.count(F.lit(1)).alias("n_table")), "k").select(F.lit(name).alias("category"), "k", "n_csv", "n_table")
+        text = spark.read.schema("id long, c_name string, c_acctbal double, k int").options(header=True).csv(f"{path}/{name}.csv").select("k", "id", F.col("c_name").alias("csv_name"), r("c_acctbal", 2).alias("csv_balance"))
+        table = spark.read.parquet(f"{path}/{name}.parquet").select("k", "id", F.col("c_name").alias("table_name"), r("c_acctbal", 2).alias("table_balance"))
+        both = text.join(table, ["k", "id"], "full_outer").withColumn("category", F.lit(name))
         out = both if out is None else out.unionByName(both)
     return out
 
 
-@query("SELECT 'yearly' AS name, count(DISTINCT year(o_orderdate)) AS n FROM orders UNION ALL SELECT 'by_key', count(DISTINCT o_custkey) FROM orders UNION ALL SELECT 'totals', 1 UNION ALL SELECT 'funnel', count(DISTINCT o_orderstatus) FROM orders")
+_EXPORTS = {"yearly": "CAST(year(o_orderdate) AS VARCHAR)", "by_key": "CAST(o_custkey AS VARCHAR)", "totals": "'all'", "funnel": "o_orderstatus"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, {k} AS key, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 6) AS mean FROM orders GROUP BY 2" for n, k in _EXPORTS.items()))
 def four_exports(spark, d):
-    """Several tables as CSV exports of one run."""
+    """Several tables as CSV exports of one run; their rows as they are read back."""
     path, o = scratch(spark, "exports"), load(spark, d, "orders")
-    K.write_csvs({"yearly": o.groupBy(F.year("o_orderdate")).count(), "by_key": o.groupBy("o_custkey").count(), "totals": o.groupBy().count(), "funnel": o.groupBy("o_orderstatus").count()}, path)
-    parts = [spark.read.option("header", True).csv(f"{path}/{n}").agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n in ("yearly", "by_key", "totals", "funnel")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    keys = {"yearly": F.year("o_orderdate").cast("string"), "by_key": F.col("o_custkey").cast("string"), "totals": F.lit("all"), "funnel": F.col("o_orderstatus")}
+    measures = (F.count(F.lit(1)).alias("n_orders"), r(F.sum("o_totalprice"), 2).alias("total"), r(F.avg("o_totalprice"), 6).alias("mean"))
+    K.write_csvs({n: o.groupBy(k.alias("key")).agg(*measures) for n, k in keys.items()}, path)
+    parts = [spark.read.schema("key string, n_orders long, total double, mean double").option("header", True).csv(f"{path}/{n}").select(F.lit(n).alias("name"), "*") for n in keys]
+    return S.union_all(*parts)
 
 
 @query("SELECT count(*) AS n_docs, count(DISTINCT source) AS n_sources, 'demo' AS prompt FROM documents")
@@ -200,17 +206,18 @@ def run_stats(spark, d):
     return found.select("j.*")
 
 
-@query("SELECT * FROM (VALUES ('run_01', 'trial'), ('run_02', 'trial_2'), ('run_03', 'trial_3')) t(run, trial)")
+@query("SELECT 'run_0' || substring(o_orderpriority, 1, 1) AS run, CASE WHEN o_orderpriority = '1-URGENT' THEN 'trial' ELSE 'trial_' || substring(o_orderpriority, 1, 1) END AS trial, o_orderpriority AS priority, count(*) AS n_orders, substring(o_orderpriority, 1, 1) = '5' AS newest FROM orders GROUP BY o_orderpriority")
 def run_folders(spark, d):
-    """The next run's folder, and a free name for a trial."""
-    path, out = scratch(spark, "runs"), []
-    for _ in range(3):
+    """A run for each priority in a folder of the next number and under a free name, found again by name."""
+    path = scratch(spark, "runs")
+    counts = load(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")).orderBy("o_orderpriority").collect()
+    for row in counts:
         run, trial = K.next_run(spark, path), K.free_path(spark, f"{path}/trial")
-        for p in (run, trial):
-            K.write_stats(spark, {}, p)
-        out.append((run.rsplit("/", 1)[1], trial.rsplit("/", 1)[1]))
-    assert K.runs(spark, path) == [a for a, _ in out]
-    return spark.createDataFrame(out, "run string, trial string")
+        for where in (run, trial):
+            K.write_stats(spark, {"priority": row["o_orderpriority"], "n_orders": row["n"], "trial": trial.rsplit("/", 1)[1]}, where)
+    names = K.runs(spark, path)
+    parts = [spark.read.text(f"{path}/{n}").select(F.lit(n).alias("run"), F.from_json("value", "trial string, priority string, n_orders long").alias("j"), F.lit(n == names[-1]).alias("newest")) for n in names]
+    return S.union_all(*parts).select("run", "j.trial", "j.priority", "j.n_orders", "newest")
 
 
 @query("SELECT vec_id AS item_id, CAST(len(embedding) AS INT) AS dims, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total, 1 AS n_computed FROM embeddings")

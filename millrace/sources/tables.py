@@ -78,6 +78,11 @@ def normal_name(name: str) -> str:
     return re.sub(r"_+", "_", re.sub(r"[^0-9A-Za-z_]+", "_", name)).strip("_").lower()
 
 
+def normal_label(name):
+    """X24 for a column of names."""
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(name, "[^0-9A-Za-z_]+", "_"), "_+", "_"), F.lit("_")))
+
+
 def rename_normal(df: DataFrame) -> DataFrame:
     """X24 over all columns."""
     return df.toDF(*[normal_name(c) for c in df.columns])

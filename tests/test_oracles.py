@@ -30,7 +30,7 @@ def cell(v):
 
 def test_every_query_has_sql_or_is_listed():
     without = set(registry.queries()) - set(registry.oracle_sql())
-    assert without == {"semantic_chunks", "mmr_topk", "kmeans_topics", "panel_subset_search", "granger_lags", "random_intercept_model", "random_forest_eval", "keyword_rerank", "staged_topic_search", "snapped_chunks", "density_topics", "density_staged_search", "topic_merge_tree"}
+    assert without == {"semantic_chunks", "mmr_topk", "kmeans_topics", "panel_subset_search", "granger_lags", "random_intercept_model", "random_forest_eval", "keyword_rerank", "staged_topic_search", "snapped_chunks", "density_topics", "density_staged_search", "topic_merge_tree", "best_treatment_year", "mixed_model_terms"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
