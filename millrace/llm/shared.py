@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -54,6 +56,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Seconds between two calls of the driver's collector by ``tidy``, and when the last one was.
+TIDY_SECONDS = 4.0
+_tidied = [0.0]
+
+
+def tidy(spark: SparkSession) -> None:
+    """Have Spark remove shuffle files and checkpoints that nothing refers to any more.
+
+    It does so when the driver's collector runs, which by itself may be half an hour apart; operators of many large shuffles call this after each,
+    so that their disk holds one or two of them, not all. Results do not depend on it.
+    """
+    if time.monotonic() - _tidied[0] >= TIDY_SECONDS:
+        gc.collect()
+        spark._jvm.System.gc()
+        _tidied[0] = time.monotonic()
+
+
 #: Paths that ``stored`` has written and ``release`` has not removed.
 _written: list[str] = []
 
