@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.shared import slices, text_bytes
+from millrace.llm.shared import let_go, slices, text_bytes
 
 #: Buckets of hashed n-grams, for each of ORDERS.
 BUCKETS = 2048
@@ -218,6 +218,7 @@ def predict(docs: DataFrame, model: Codes | None, clear: float = CLEAR) -> DataF
     without a model all are. Rows that repeat get the same result.
     """
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for part in slices(batches, rows=ROWS):
             named, score = verdicts(part.column("text"), model)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(named, pa.string()), pa.array(score.astype(float)), pa.array(score < clear)], names=["doc_id", "lang_pred", "score", "ambiguous"])
@@ -243,6 +244,7 @@ def with_language(docs: DataFrame, clear: float = CLEAR) -> DataFrame:
     schema, names = docs.schema, docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for part in slices(batches, rows=ROWS):
             named, score = verdicts(part.column("text"), model or _NO_CODES)
             good = named != UNDETERMINED

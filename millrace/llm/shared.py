@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import re
 import shutil
@@ -73,6 +74,32 @@ def tidy(spark: SparkSession) -> None:
         _tidied[0] = time.monotonic()
 
 
+#: What operators keep in a worker from task to task, such as encoders; each registers its own table.
+_kept: list[dict] = []
+
+
+def keeps(table: dict) -> dict:
+    """Register a table of what a worker keeps from task to task, for ``let_go``."""
+    _kept.append(table)
+    return table
+
+
+def let_go() -> None:
+    """Drop what other operators have kept in this worker, and give its memory back to the system.
+
+    Workers outlive an operator's tasks, so in a chain of operators each would hold the others' tables besides its own arrays.
+    Called first in tasks that need none of them; costs nothing where nothing is kept, and results do not depend on it.
+    """
+    if any(_kept):
+        for table in _kept:
+            table.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:  # glibc only
+            trim(0)
+
+
 #: Paths that ``stored`` has written and ``release`` has not removed.
 _written: list[str] = []
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from millrace.llm.shared import mix, text_bytes, word_hashes
+from millrace.llm.shared import keeps, mix, text_bytes, word_hashes
 
 #: Units kept in a worker's memory; beyond that the memo begins anew.
 MEMO_UNITS = 2_000_000
@@ -210,11 +210,11 @@ class WordMemo:
         return [raw[4 * a : 4 * b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
 
 
-_memos: dict[str, WordMemo] = {}
+_memos: dict[str, WordMemo] = keeps({})
 
 
 def memo(path: str) -> WordMemo:
-    """The worker's encoder for a tokenizer file, kept from task to task."""
+    """The worker's encoder for a tokenizer file, kept until an operator without encoders runs there (``let_go``)."""
     if path not in _memos:
         _memos[path] = WordMemo(path)
     return _memos[path]

@@ -141,6 +141,19 @@ def test_memo_of_few_units_and_rows_of_slices(monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [m.library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_other_operators_let_encoders_go():
+    from millrace.llm import tokenize
+    from millrace.llm.shared import let_go
+
+    before = memo(default_path())
+    wanted = before.encode(["some words", ""])
+    let_go()
+    assert not tokenize._memos
+    let_go()
+    after = memo(default_path())
+    assert after is not before and after is memo(default_path()) and after.encode(["some words", ""]) == wanted
+
+
 def test_shard_blocks_are_searched(tmp_path):
     path = str(tmp_path / "x.sst")
     with pa.OSFile(path, "wb") as f:
