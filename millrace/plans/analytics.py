@@ -147,8 +147,8 @@ _CONTENT = "list_filter(list_transform(w, lambda x: lower(x)), lambda x: x NOT I
 @query(rf"WITH t AS (SELECT doc_id, {_P.replace('(s,', '(text,')} AS w FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, w, {_CONTENT} AS c FROM t), m AS (SELECT doc_id, w, c, coalesce(list_max(map_values(list_aggregate(c, 'histogram'))), 0) AS top FROM c) SELECT doc_id, CAST(len(w) AS INT) AS n_words, CAST(top AS INT) AS top, len(w) >= 10 AND ({_RUN} OR top > 0.3 * len(c)) AS repetitive FROM m")
 def repetition_flag(spark, d):
     """Equal words in a row, or a content word that is too frequent."""
-    n, top, flag = X.repetition(F.col("text"))
-    return load(spark, d, "documents").filter("text is not null").select("doc_id", n.alias("n_words"), top.alias("top"), flag.alias("repetitive"))
+    found = load(spark, d, "documents").filter("text is not null").select("doc_id", X.repetition(F.col("text")).alias("r"))
+    return found.select("doc_id", F.col("r.n").alias("n_words"), "r.top", F.col("r.flag").alias("repetitive"))
 
 
 @query("SELECT doc_id, CAST(s // 1400 AS INT) AS position, substring(text, CAST(s + 1 AS BIGINT), 1500) AS chunk FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(length(text) - 1, 0), 1400)) AS s FROM documents WHERE length(text) > 0)")
