@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -167,13 +168,14 @@ def block_text(blocks: DataFrame, tables: DataFrame, keys: list[str], least_heig
 
     ``blocks`` (keys, kind, text, x0, y0, x1, y1) of another kind than text, lower than ``least_height``, or
     with more than ``most_overlap`` of their area in one of the page's ``tables`` (keys, x0..y1) are left out.
+    Equal boxes of a page count once; a block is done with at the first that holds it.
     """
     box = ["x0", "y0", "x1", "y1"]
-    per = tables.groupBy(*keys).agg(F.collect_list(F.struct(*box)).alias("_t"))
-    good = blocks.filter((F.col("kind") == "text") & (F.col("y1") - F.col("y0") >= least_height)).join(per, keys, "left")
-    inside = F.exists(F.coalesce("_t", F.array()), lambda t: overlap_share(*[F.col(c) for c in box], *[t[c] for c in box]) > most_overlap)
+    outer = tables.select(*[F.col(c).alias(f"_{c}") for c in (*keys, *box)]).distinct()
+    good = blocks.filter((F.col("kind") == "text") & (F.col("y1") - F.col("y0") >= least_height))
+    met = reduce(and_, [F.col(k) == F.col(f"_{k}") for k in keys]) & (overlap_share(*[F.col(c) for c in box], *[F.col(f"_{c}") for c in box]) > most_overlap)
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("y0", "x0", "text"))), lambda b: b["text"])
-    return good.filter(~inside).groupBy(*keys).agg(F.array_join(ordered, "\n").alias("text"), F.count(F.lit(1)).alias("n_blocks"))
+    return good.join(outer, met, "left_anti").groupBy(*keys).agg(F.array_join(ordered, "\n").alias("text"), F.count(F.lit(1)).alias("n_blocks"))
 
 
 def scan_binary_text(spark: SparkSession, path: str, extract: Callable[[bytes], tuple[str, int]], glob: str = "*.pdf") -> DataFrame:
