@@ -72,8 +72,8 @@ def future_grid(df: DataFrame, entity: str, time: str, until: int) -> DataFrame:
 
 
 def common_periods(a: DataFrame, b: DataFrame, time: str) -> DataFrame:
-    """Periods that both frames have."""
-    return a.select(time).intersect(b.select(time))
+    """Periods that both frames have; each frame's are made distinct in its tasks before any are compared, as INTERSECT joins rows."""
+    return a.select(time).distinct().intersect(b.select(time).distinct())
 
 
 def only_left(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
