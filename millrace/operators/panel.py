@@ -72,8 +72,9 @@ def future_grid(df: DataFrame, entity: str, time: str, until: int) -> DataFrame:
 
 
 def common_periods(a: DataFrame, b: DataFrame, time: str) -> DataFrame:
-    """Periods that both frames have; each frame's are made distinct in its tasks before any are compared, as INTERSECT joins rows."""
-    return a.select(time).distinct().intersect(b.select(time).distinct())
+    """Periods that both frames have, by one grouping whose tasks first keep a row a period; INTERSECT would shuffle each row to its period's task."""
+    sides = a.select(time, F.lit(0).alias("_side")).union(b.select(time, F.lit(1).alias("_side")))
+    return sides.groupBy(time).agg(F.min("_side").alias("_least"), F.max("_side").alias("_most")).filter("_least < _most").select(time)
 
 
 def only_left(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
