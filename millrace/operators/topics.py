@@ -43,8 +43,10 @@ def vocabulary(df: DataFrame, key: str, text: str, stop: list[str], min_df: int
     """
     own = df.select(key, F.filter(words(F.col(text), least), lambda w: ~w.isin(stop)).alias("_w"))
     pairs = F.transform(F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.get("_w", i), w))
-    terms = own.select(key, F.explode(F.concat("_w", pairs)).alias("term"))
-    per = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("_n")).groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("_n").alias("n"))
+    # words are dealt by document once, so that a document's terms are counted where they are made; what is shuffled after is a row a term and task
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many as for terms: adaptive execution would merge parts by the size of the words
+    terms = own.repartition(tasks, key).select(key, F.explode(F.concat("_w", pairs)).alias("term"))
+    per = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("_n")).groupBy("term").agg(F.count(key).alias("n_docs"), F.sum("_n").alias("n"))
     total = df.agg(F.count(F.lit(1)).alias("_all"))
     return per.join(F.broadcast(total)).filter((F.col("n_docs") >= min_df) & (F.col("n_docs") <= max_df * F.col("_all"))).drop("_all")  # one row
 
