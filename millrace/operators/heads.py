@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.text import portions
+
 #: Chunks that a model gets at once.
 BATCH = 32
 _SCORED = "array<struct<label:string,score:double>>"
@@ -57,30 +61,31 @@ class HeadStore:
         """
         schema = f"`{self.key}` {dict(self._stored().dtypes)[self.key]}, scored {_SCORED}"
 
-        def judged(texts: list[str]) -> list[dict]:
-            out: list[dict] = []
+        def judged(texts: list[str]) -> list[tuple]:
+            out: list[tuple] = []
             for k in range(0, len(texts), BATCH):
                 part = pd.Series(texts[k : k + BATCH], dtype=object)
                 try:
                     found = model(part)
-                    out += [{"label": label, "score": None if pd.isna(score) else float(score)} for label, score in zip(found["label"], found["score"])]
+                    out += [(label, None if pd.isna(score) else float(score)) for label, score in zip(found["label"], found["score"])]
                 except RuntimeError:  # the batch did not fit the model
-                    out += [{"label": None, "score": None}] * len(part)
+                    out += [(None, None)] * len(part)
             return out
 
-        def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                rows = [[t or "" for t in texts] if texts is not None else [] for texts in frame["_texts"]]
-                flat = judged([t for texts in rows for t in texts])
-                ends = pd.Series([len(t) for t in rows]).cumsum().tolist()
-                yield pd.DataFrame({frame.columns[0]: frame.iloc[:, 0], "scored": [flat[e - len(t) : e] for t, e in zip(rows, ends)]})
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in portions(batches):
+                texts = part.column(1)
+                found = judged([t or "" for t in texts.flatten().to_pylist()])
+                pairs = pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["label", "score"])
+                ends = np.concatenate([[0], np.cumsum(np.asarray(texts.value_lengths().fill_null(0)))])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], names=[part.schema.names[0], "scored"])
 
         todo = self.pending(head).filter(F.col(self.key).isNotNull()).select(self.key, F.transform("chunks", lambda c: c["text"]).alias("_texts"))
         if todo.isEmpty():
             return 0
         before = self._head(head)
         n = 0 if before is None else before.count()
-        todo.mapInPandas(score, schema).write.mode("append").parquet(f"{self.path}/head={head}")
+        todo.mapInArrow(score, schema).write.mode("append").parquet(f"{self.path}/head={head}")
         return self._head(head).count() - n
 
     def documents(self) -> DataFrame:

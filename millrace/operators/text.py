@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -111,15 +112,34 @@ def semantic_chunks(parts: list[str], low: int = 600, high: int = 1400, lossless
     return out
 
 
+#: Bytes of a batch that Python handles at once.
+PORTION = 4 << 20
+
+
+def portions(batches: Iterator[pa.RecordBatch], most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """Batches halved until each has ``most`` bytes or one row, so that Python objects are made of a bounded part of a batch."""
+    for batch in batches:
+        todo = [batch]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > most:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            elif part.num_rows:
+                yield part
+
+
 def chunk(df: DataFrame, key: str, text: str, low: int = 600, high: int = 1400, lossless: bool = True) -> DataFrame:
     """T1-T4, T6, T10 in one Arrow pass: key, position, chunk."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(k, i, c) for k, t in zip(frame[key], frame[text]) for i, c in enumerate(semantic_chunks(paragraphs(t), low, high, lossless))]
-            yield pd.DataFrame(rows, columns=[key, "position", "chunk"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in portions(batches):
+            found = [semantic_chunks(paragraphs(t.as_py()), low, high, lossless) for t in part.column(1)]
+            of = pa.array([k for k, chunks in enumerate(found) for _ in chunks], pa.int64())
+            position = pa.array([i for chunks in found for i in range(len(chunks))], pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(of), position, pa.array([c for chunks in found for c in chunks], pa.string())], names=[key, "position", "chunk"])
 
-    return df.select(key, text).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, position int, chunk string")
+    return df.select(key, text).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, position int, chunk string")
 
 
 def fixed_windows(df: DataFrame, key: str, text: str, size: int = 1500, overlap: int = 100) -> DataFrame:
@@ -149,11 +169,14 @@ def snapped_windows(text: str, size: int = 1500, overlap: int = 100) -> list[str
 def snapped(df: DataFrame, key: str, text: str, size: int = 1500, overlap: int = 100) -> DataFrame:
     """T5 over Arrow batches: key, position, chunk."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame([(k, i, c) for k, t in zip(frame[key], frame[text]) for i, c in enumerate(snapped_windows(t or "", size, overlap))], columns=[key, "position", "chunk"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in portions(batches):
+            found = [snapped_windows(t.as_py() or "", size, overlap) for t in part.column(1)]
+            of = pa.array([k for k, chunks in enumerate(found) for _ in chunks], pa.int64())
+            position = pa.array([i for chunks in found for i in range(len(chunks))], pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(of), position, pa.array([c for chunks in found for c in chunks], pa.string())], names=[key, "position", "chunk"])
 
-    return df.select(key, text).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, position int, chunk string")
+    return df.select(key, text).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, position int, chunk string")
 
 
 def language_vote(df: DataFrame, key: str, text: str, profiles: dict[str, list[str]], default: str = "en") -> DataFrame:
@@ -240,18 +263,20 @@ def translate(df: DataFrame, text: str, lang: str, models: dict[str, Callable[[p
                 return [(texts.iloc[0], False)]
             return [out for k in range(len(texts)) for out in one(model, texts.iloc[k : k + 1])]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = frame.reset_index(drop=True).assign(translated=False)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in portions(batches):
+            out, langs = part.column(text).to_pylist(), part.column(lang).to_pylist()
+            done = [False] * len(out)
             for name, model in models.items():
-                rows = out.index[(out[lang] == name) & out[text].notna()]
+                rows = [k for k, of in enumerate(langs) if of == name and out[k] is not None]
                 for k in range(0, len(rows), batch):
                     some = rows[k : k + batch]
-                    found = one(model, out.loc[some, text])
-                    out.loc[some, text], out.loc[some, "translated"] = [f[0] for f in found], [f[1] for f in found]
-            yield out
+                    for at, (found, is_done) in zip(some, one(model, pd.Series([out[i] for i in some], index=some, dtype=object))):
+                        out[at], done[at] = found, is_done
+            at = part.schema.get_field_index(text)
+            yield part.set_column(at, part.schema.field(at), pa.array(out, part.schema.field(at).type)).append_column("translated", pa.array(done))
 
-    return df.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", translated boolean")
+    return df.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", translated boolean")
 
 
 def pending(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
