@@ -139,12 +139,12 @@ def before(df: DataFrame, year: int) -> DataFrame:
     return df.filter(F.col("year").isNull() | (F.col("year") < year))
 
 
-def explode_chunks(docs: DataFrame) -> DataFrame:
+def explode_chunks(docs: DataFrame, unknown: str | None = "Unknown") -> DataFrame:
     """A row per chunk with its position; missing ids become ``chunk_000`` and so on.
 
-    Documents without chunks have no rows; missing labels and scores get their defaults.
+    Documents without chunks have no rows; missing labels and scores get their defaults, a missing company ``unknown``.
     """
-    rows = docs.select("pdf_path", F.coalesce("company", F.lit("Unknown")).alias("company"), "company_id", F.coalesce("year", F.lit(0)).alias("year"), F.posexplode("chunks").alias("position", "c"))
+    rows = docs.select("pdf_path", F.coalesce("company", F.lit(unknown)).alias("company"), "company_id", F.coalesce("year", F.lit(0)).alias("year"), F.posexplode("chunks").alias("position", "c"))
     defaults = {"detector_score": 0.0, "specificity_label": "non", "sentiment_label": "neutral", "commitment_label": "no", "netzero_label": "none"}
     fields = [F.coalesce(F.col(f"c.{f.name}"), F.lit(defaults[f.name])).alias(f.name) if f.name in defaults else F.col(f"c.{f.name}").alias(f.name) for f in CHUNK if f.name not in ("chunk_id", "company", "company_id", "year")]
     return rows.select("pdf_path", "company", "company_id", "year", "position", F.coalesce("c.chunk_id", F.format_string("chunk_%03d", "position")).alias("chunk_id"), *fields)
