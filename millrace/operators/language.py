@@ -15,26 +15,49 @@ from millrace.session import settled
 # ---------------------------------------------------------------- sentences
 
 #: Tokens are runs without white space; marks around them are not part of the word.
-TOKEN, AROUND, WORD = r"([^\x20\x09-\x0D]+)", r"""^[("'\[]+|[)"'\],;:]+\z""", r"^\p{L}[\p{L}.\-]*\z"
+SPACE, AROUND, WORD = r"[\x20\x09-\x0D]+", r"""^[("'\[]+|[)"'\],;:]+\z""", r"^\p{L}[\p{L}.\-]*\z"
+#: What a token that may end a sentence ends in before the next: its mark and those around it.
+END = r"""([.!?][)"'\],;:]*) """
+#: Texts that are in lower case as they stand, without a look at Spark's tables of letters, which takes longer than all else about a token.
+SMALL = r"^[\x00-@\[-\x7Fß-öø-ÿ]*\z"
 #: An abbreviation has this score at least; a true one would end in a period with this probability.
 LEAST_SCORE, ALWAYS = 0.3, 0.99
 
 
-def tokens(text: Column) -> Column:
-    """The tokens of a text without the marks around them, as structs: raw, core (with its period), base (lower case, without)."""
-    raw = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
-    core = lambda x: F.regexp_replace(x, AROUND, "")
-    return F.transform(raw, lambda x: F.struct(x.alias("raw"), core(x).alias("core"), F.lower(F.regexp_replace(core(x), r"\.\z", "")).alias("base")))
+def marked(text: Column, gap: str) -> Column:
+    """A text's tokens with a blank between them, ``gap`` after those that may end a sentence. A line feed is in no token, so it can tell gaps."""
+    return F.regexp_replace(F.trim(F.regexp_replace(text, SPACE, " ")), END, f"$1{gap}")
+
+
+def core(raw: Column) -> Column:
+    """A token without the marks around it."""
+    return F.regexp_replace(raw, AROUND, "")
+
+
+def bare(raw: Column) -> Column:
+    """A token's core without its period."""
+    return F.regexp_replace(core(raw), r"\.\z", "")
+
+
+def lower(x: Column) -> Column:
+    """A text in lower case."""
+    return F.when(x.rlike(SMALL), x).otherwise(F.lower(x))
 
 
 def word_statistics(docs: DataFrame, text: str) -> DataFrame:
-    """base, n, n_dot, n_lower, n_middle: how often a word occurs, with a period, in lower case, and capitalised inside a sentence."""
-    per = docs.select(tokens(F.col(text)).alias("w"))
-    spread = per.select(F.explode(F.transform("w", lambda x, i: F.struct(x["base"].alias("base"), x["core"].alias("core"), F.get("w", i - 1)["core"].alias("before")))).alias("t")).select("t.*").filter(F.col("base").rlike(WORD))
-    small = F.substring("core", 1, 1) == F.lower(F.substring("core", 1, 1))
-    inside = F.col("before").isNotNull() & ~F.col("before").rlike(r"[.!?]\z")
-    one = lambda c: F.sum(c.cast("long"))
-    return spread.groupBy("base").agg(F.count(F.lit(1)).alias("n"), one(F.endswith("core", F.lit("."))).alias("n_dot"), one(small).alias("n_lower"), one(~small & inside).alias("n_middle"))
+    """base, n, n_dot, n_lower, n_middle: how often a word occurs, with a period, in lower case, and capitalised inside a sentence.
+
+    Equal tokens are counted first, so that words are told and judged once for each of them.
+    """
+    said = F.split(F.concat(F.lit("\n"), marked(F.col(text), " \n")), " ")  # a line feed before tokens at the start or after an end
+    seen = docs.select(said.alias("_w")).select(F.explode_outer("_w").alias("_said")).groupBy("_said").agg(F.count(F.lit(1)).alias("_n"))
+    seen = seen.select(F.ltrim("_said", F.lit("\n")).alias("_raw"), (~F.startswith("_said", F.lit("\n"))).alias("_inside"), "_n")
+    words = seen.select(lower(bare(F.col("_raw"))).alias("base"), core(F.col("_raw")).alias("_core"), "_inside", "_n")
+    small = F.substring("_core", 1, 1) == lower(F.substring("_core", 1, 1))
+    count = lambda c: F.sum(F.when(c, F.col("_n")).otherwise(0))
+    # words are told by an aggregate, as Spark would push a filter on their base down to each token of the texts
+    sums = words.groupBy("base").agg(F.sum("_n").alias("n"), count(F.endswith("_core", F.lit("."))).alias("n_dot"), count(small).alias("n_lower"), count(~small & F.col("_inside")).alias("n_middle"), F.bool_or(F.col("base").rlike(WORD)).alias("_word"))
+    return sums.filter("_word").drop("_word")
 
 
 def abbreviations(words: DataFrame) -> DataFrame:
@@ -63,22 +86,28 @@ def split_sentences(docs: DataFrame, key: str, text: str, words: DataFrame | Non
     """
     words = settled(word_statistics(docs, text), "words") if words is None else words
     short = settled(abbreviations(words).select("base", F.lit(True).alias("_short")), "abbreviations")
-    rows = docs.select(key, F.col(text).alias("_text"), F.struct(F.col(key), F.md5(F.coalesce(text, F.lit("")))).alias("_row")).dropDuplicates(["_row"]).withColumn("_w", tokens(F.col("_text")))
-    ends = rows.select("_row", F.posexplode(F.transform("_w", lambda x, i: F.struct(x["core"].alias("core"), x["base"].alias("base"), F.get("_w", i + 1)["core"].alias("next"), F.get("_w", i + 1)["base"].alias("next_base")))).alias("at", "t"))
-    ends = ends.select("_row", "at", "t.*").filter(F.col("next").isNotNull() & F.col("core").rlike(r"[.!?]\z"))
-    follows = F.substring("next", 1, 1)
-    small = follows.rlike(r"\p{Ll}")
-    sure = F.col("core").rlike(r"[!?]\z")
-    open_ = F.col("base").rlike(r"^\p{L}\z") | F.col("base").rlike(r"^[0-9]+\z") & small
-    judged = ends.filter(sure | ~open_).join(short, "base", "left").withColumn("_doubt", ~sure & F.coalesce("_short", F.lit(False)))
-    starts = words.filter("n_lower > 0 and n_middle = 0").select(F.col("base").alias("next_base"), F.lit(True).alias("_starts"))
-    kept = judged.filter("not _doubt").select("_row", "at").unionByName(judged.filter(F.col("_doubt") & follows.rlike(r"\p{Lu}")).join(starts, "next_base").select("_row", "at"))
-    cuts = kept.groupBy("_row").agg(F.sort_array(F.collect_list("at")).alias("_cuts"))
-    whole = rows.join(cuts, "_row", "left").filter(F.size("_w") > 0)
+    row = F.struct(F.col(key), F.unhex(F.md5(F.coalesce(text, F.lit(""))))).alias("_row")
+    parts = lambda x: F.split(marked(F.col(x), "\n"), "\n")
+    following = F.slice("_p", F.lit(2), F.size("_p"))
+    # outer, as the filter that explode adds on empty lists would make them once more
+    ends = docs.select(row, parts(text).alias("_p")).select("_row", F.posexplode_outer(F.arrays_zip(F.col("_p").alias("part"), following.alias("next"))).alias("at", "t")).filter("t.next is not null")
+    ends = ends.select("_row", "at", F.substring_index("t.part", " ", -1).alias("raw"), F.substring_index("t.next", " ", 1).alias("next"))
+    follows = F.substring(core(F.col("next")), 1, 1)
+    sure = core(F.col("raw")).rlike(r"[!?]\z")
+    open_ = bare(F.col("raw")).rlike(r"^(\p{L}|[0-9]+)\z") & (~bare(F.col("raw")).rlike(r"^[0-9]+\z") | follows.rlike(r"\p{Ll}"))
+    doubt = ~sure & F.coalesce("_short", F.lit(False))
+    judged = ends.filter(sure | ~open_).withColumn("base", lower(bare(F.col("raw")))).join(short, "base", "left").filter(~doubt | follows.rlike(r"\p{Lu}"))
+    judged = settled(judged.select("_row", "at", F.when(doubt, lower(bare(F.col("next")))).alias("next_base")), "ends")
+    starts = words.filter("n_lower > 0 and n_middle = 0").select(F.col("base").alias("next_base"))
+    kept = judged.filter("next_base is null").unionByName(judged.filter("next_base is not null").join(starts, "next_base", "left_semi").select(*judged.columns))
+    cuts = kept.groupBy("_row").agg(F.sort_array(F.collect_set("at")).alias("_cuts"))
+    whole = docs.select(row, F.col(key), F.col(text).alias("_text")).join(cuts, "_row", "left").dropDuplicates(["_row"])
+    whole = whole.select(key, "_cuts", parts("_text").alias("_p"))
     first = F.concat(F.array(F.lit(0)), F.transform(F.coalesce("_cuts", F.array().cast("array<int>")), lambda c: c + 1))
-    after = F.concat(F.slice("_first", 2, F.size("_first")), F.array(F.size("_w")))
-    pieces = F.transform(F.arrays_zip(F.col("_first").alias("a"), F.col("_after").alias("b")), lambda s: F.array_join(F.transform(F.slice("_w", s["a"] + 1, s["b"] - s["a"]), lambda x: x["raw"]), " "))
-    return whole.withColumn("_first", first).withColumn("_after", after).select(key, F.posexplode(pieces).alias("position", "sentence"))
+    after = F.concat(F.slice("_first", 2, F.size("_first")), F.array(F.size("_p")))
+    pieces = F.transform(F.arrays_zip(F.col("_first").alias("a"), F.col("_after").alias("b")), lambda s: F.array_join(F.slice("_p", s["a"] + 1, s["b"] - s["a"]), " "))
+    found = whole.withColumn("_first", first).withColumn("_after", after).select(key, F.posexplode_outer(pieces).alias("position", "sentence"))
+    return found.filter("sentence != ''")  # that of a text without words
 
 
 # ---------------------------------------------------------------- languages
