@@ -141,7 +141,7 @@ UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, true FROM range(2)""")
 def cached_documents(spark, d):
     """Documents written as JSON by year and read by the data source; two broken entries are rows of their own."""
     path = scratch(spark, "cache")
-    year = F.when(F.col("lang") != "es", 2015 + F.substring("source", 4, 10).cast("int") % 12)
+    year = F.when(~F.col("lang").eqNullSafe("es"), 2015 + F.substr("source", F.lit(4)).cast("int") % 12)
     docs = load(spark, d, "documents").select(F.col("doc_id").cast("string").alias("pdf_path"), F.col("source").alias("company"), F.col("lang").alias("company_id"), year.alias("year"), F.array("text").alias("chunks"))
     docs.withColumn("cache_year", F.col("year")).write.option("ignoreNullFields", "false").partitionBy("cache_year").json(path)
     spark.createDataFrame([('{"pdf_path": "cut off',), ("[1]",)], "value string").coalesce(2).write.mode("append").text(path)

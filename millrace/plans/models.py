@@ -214,7 +214,7 @@ k AS (SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY round(s
 SELECT topic, CASE WHEN topic = -1 THEN 'Outliers (unassigned)' WHEN topic % 5 = 4 THEN 'Topic ' || topic ELSE string_agg(term, ', ' ORDER BY rank) FILTER (rank <= 3) END AS label FROM k GROUP BY topic""")
 def topic_labels(spark, d):
     """M9: three keywords of a topic's documents as its label, Topic N where the keywords are empty, a fixed one for outliers."""
-    docs = load(spark, d, "documents").filter("source is not null").withColumn("topic", F.when(F.col("source") == "src0", -1).otherwise(F.substring("source", 4, 10).cast("int")))
+    docs = load(spark, d, "documents").filter("source is not null").withColumn("topic", F.when(F.col("source") == "src0", -1).otherwise(F.substr("source", F.lit(4)).cast("int")))
     keywords = M.ctfidf(docs, "topic", "text", _STOPS, n=4)
     return M.labels(keywords.withColumn("term", F.when(F.col("topic") % 5 == 4, F.lit("")).otherwise(F.col("term"))).filter("term <> '' or rank = 1"), "topic")
 

@@ -18,6 +18,8 @@ _FIELDS = ("pdf_path", "company", "company_id", "year", "language")
 _ARROW = pa.schema([("pdf_path", pa.string()), ("company", pa.string()), ("company_id", pa.string()), ("year", pa.int32()), ("language", pa.string()), ("chunks", pa.list_(pa.struct([("chunk_id", pa.string()), ("text", pa.string())]))), ("_source_file", pa.string()), ("_error", pa.string())])
 #: A year in a path: ``year=2019`` or ``_2019_``; files of a year that the filter rules out are not opened.
 _YEAR = re.compile(r"(?:year=|_)((?:19|20)\d\d)(?=[_/.]|$)")
+#: Ends of lines; others that Python knows, as U+2028, may be in the texts.
+_LINE = re.compile(r"\r\n?|\n")
 #: Bytes of files that one partition reads, about.
 PART_BYTES = 32 << 20
 
@@ -49,7 +51,7 @@ def records(content: str) -> Iterator[tuple[dict | None, str | None]]:
             yield None, f"{type(error).__name__}: {error}"
             return
         found = []
-        for number, line in enumerate(content.splitlines(), 1):
+        for number, line in enumerate(_LINE.split(content), 1):
             if line.strip():
                 try:
                     found.append((json.loads(line), None))
