@@ -295,6 +295,33 @@ def test_sets_without_partners_are_set_aside_and_no_other(spark, percent):
     assert linked <= left and not left & set(range(100, 130))
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90, 99])
+def test_linked_sets_share_a_signature(percent):
+    rng, threshold, sets = np.random.default_rng(percent), jaccard.Threshold(percent), []
+    fresh = lambda n: rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    for n in [*range(1, 40), 150, 700] * 8:
+        kept = fresh(n)[: n - rng.integers(0, threshold.lacks(n) + 1)]
+        more = max(a for a in range(n + 1) if 100 * len(kept) >= percent * (n + a) or not a)
+        x, y = np.sort(np.concatenate([kept, fresh(n - len(kept))])), np.sort(np.concatenate([kept, fresh(more)]))
+        if len(kept) and 100 * len(kept) >= percent * (n + more) and not np.array_equal(x, y):
+            sets += [x, y]
+    rows, found = jaccard.signatures(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), threshold)
+    own = [set() for _ in sets]
+    for r, f in zip(rows, found):
+        own[r].add(f)
+    assert len(sets) > 15 and all(own[k] & own[k + 1] for k in range(0, len(sets), 2))
+    assert len(jaccard.signatures(np.zeros(0, np.uint64), np.zeros(3, np.int64), threshold)[0]) == 0
+
+
+def test_documents_that_share_passages_in_a_chain_are_no_region(spark, monkeypatch):
+    blocks = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(201)]
+    rows = [(i, blocks[i] + " " + blocks[i + 1]) for i in range(200)] + [(900 + i, t) for i, t in near_copies(6, 1, 120, 4)]
+    sizes, join = [], jaccard.join_regions
+    monkeypatch.setattr(jaccard, "join_regions", lambda rows, *a: sizes.extend(r["count"] for r in rows.groupBy("region").count().collect()) or join(rows, *a))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_documents(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == brute_components(rows, 3, 90) and max(sizes) < 20
+
+
 def test_repeated_ids_with_different_texts_are_one_document(spark):
     a, b = (t for _, t in near_copies(1, 0, 60, 1) + near_copies(1, 0, 60, 2))
     rows = [(5, a), (5, b), (5, b), (7, a + " more"), (9, b + " more"), (9, b + " more"), (11, "alone here and nowhere else")]
